@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from larkspur.sources.shared import table
 
@@ -17,9 +18,25 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from larkspur.llm.simhash import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op7_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from larkspur.llm.langid import identify
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    fold = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4, F.lit(2))
+    return identify(docs, fold != 2).select("doc_id", (fold == 2).alias("held_out"), "lang_pred", "score")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op3_packing": op3_packing,
+        "op4_simhash": op4_simhash,
+        "op7_langid": op7_langid,
     }
 
 
