@@ -32,13 +32,53 @@ def op7_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(docs, fold != 2).select("doc_id", (fold == 2).alias("held_out"), "lang_pred", "score")
 
 
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from larkspur.llm.warc import read, write
+
+    index = write(table(spark, sf_dir, "pages"))
+    return read(index).select(F.col("id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from larkspur.llm.topk import top_inner_products
+
+    return top_inner_products(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op3_packing": op3_packing,
         "op4_simhash": op4_simhash,
         "op7_langid": op7_langid,
+        "op8_warc": op8_warc,
+        "op10_topk": op10_topk,
     }
 
 
+#: Base32 of a digest: groups of 20 bits (5 hex digits) become 4 characters.
+OP8_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+first AS (SELECT html, min(page_id) AS first_id FROM p GROUP BY html),
+h AS (SELECT page_id, html, sha1(html) AS hex, first_id FROM p JOIN first USING (html))
+SELECT page_id, CAST(octet_length(encode(html)) AS BIGINT) AS payload_bytes,
+  array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(1 + ((
+    CAST('0x' || substr(hex, CAST(1 + 5 * (i // 4) AS BIGINT), 5) AS BIGINT) >> CAST(15 - 5 * (i % 4) AS BIGINT)) & 31) AS BIGINT), 1)), '') AS payload_digest,
+  CASE WHEN page_id = first_id THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id = first_id THEN NULL ELSE first_id END AS refers_to
+FROM h
+"""
+OP10_SQL = """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(64 * CAST(x AS DOUBLE))) AS v FROM embeddings
+  WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.v, c.v) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id % 20 = 0 AND q.vec_id <> c.vec_id),
+r AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank, vec_id, score FROM s)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 20
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op8_warc": OP8_SQL,
+        "op10_topk": OP10_SQL,
+    }
