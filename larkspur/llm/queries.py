@@ -10,6 +10,13 @@ from pyspark.sql import functions as F
 from larkspur.sources.shared import table
 
 
+def op2_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from larkspur.llm.ann import build_index, search
+
+    vectors = table(spark, sf_dir, "embeddings")
+    return search(build_index(vectors), vectors.where("vec_id % 50 = 0"))
+
+
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -47,6 +54,7 @@ def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_ann": op2_ann,
         "op3_packing": op3_packing,
         "op4_simhash": op4_simhash,
         "op7_langid": op7_langid,
