@@ -31,6 +31,12 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op6_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from larkspur.llm.lines import classes
+
+    return classes(table(spark, sf_dir, "documents"))
+
+
 def op7_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     from larkspur.llm.langid import identify
 
@@ -57,6 +63,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_ann": op2_ann,
         "op3_packing": op3_packing,
         "op4_simhash": op4_simhash,
+        "op6_lines": op6_lines,
         "op7_langid": op7_langid,
         "op8_warc": op8_warc,
         "op10_topk": op10_topk,
