@@ -262,9 +262,9 @@ def line_links(rows: DataFrame, edits: int, least: int) -> DataFrame:
             a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (one, two))
             pairs = np.unique(np.sort(np.stack([half[a], half[b]], 1), 1), axis=0)
             group = np.unique(np.stack([half[dense], key[dense]], 1), axis=0)
-            gap = np.zeros(len(group))
+            gap = np.zeros(len(group), np.int64)
             return pa.RecordBatch.from_arrays(
-                [pa.array(np.r_[pairs[:, 0], group[:, 0]]), pa.array(np.r_[pairs[:, 1], gap].astype(np.int64), mask=np.r_[np.zeros(len(pairs), bool), gap == 0]), pa.array(np.r_[np.zeros(len(pairs), np.int64), group[:, 1]])],
+                [pa.array(np.r_[pairs[:, 0], group[:, 0]]), pa.array(np.r_[pairs[:, 1], gap], mask=np.r_[np.zeros(len(pairs), bool), gap == 0]), pa.array(np.r_[np.zeros(len(pairs), np.int64), group[:, 1]])],
                 ["a", "b", "group"],
             )
 
