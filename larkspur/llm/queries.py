@@ -31,6 +31,24 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op5_unigram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from larkspur.llm.unigram import decode, encode
+
+    model = public_tokenizers.path("piece_bpe_32k.model")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    coded = decode(encode(docs, model), model)
+    return coded.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_ids"),
+        F.crc32(F.array_join(F.col("ids").cast("array<string>"), " ")).alias("ids_crc32"),
+        "log_score",
+        F.crc32("decoded").alias("decoded_crc32"),
+        (F.col("decoded") == F.col("text")).alias("round_trip"),
+    )
+
+
 def op6_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     from larkspur.llm.lines import classes
 
@@ -63,6 +81,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_ann": op2_ann,
         "op3_packing": op3_packing,
         "op4_simhash": op4_simhash,
+        "op5_unigram": op5_unigram,
         "op6_lines": op6_lines,
         "op7_langid": op7_langid,
         "op8_warc": op8_warc,
