@@ -10,6 +10,15 @@ from pyspark.sql import functions as F
 from larkspur.sources.shared import table
 
 
+def op1_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as files of their source, 64 to a directory; one that begins with a notice is a license file."""
+    from larkspur.llm.licenses import CUE, scan
+
+    path = F.concat_ws("/", "source", "lang", F.floor(F.col("doc_id") / 64).cast("string"), F.concat("doc_id", F.lit(".txt")))
+    docs = table(spark, sf_dir, "documents").select(path.alias("path"), "text")
+    return scan(docs, is_license_file=F.substring_index("text", "\n", 1).rlike(CUE))
+
+
 def op2_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     from larkspur.llm.ann import build_index, search
 
@@ -42,7 +51,7 @@ def op5_unigram(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coded.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_ids"),
-        F.crc32(F.array_join(F.col("ids").cast("array<string>"), " ")).alias("ids_crc32"),
+        F.xxhash64("ids").alias("ids_hash"),
         "log_score",
         F.crc32("decoded").alias("decoded_crc32"),
         (F.col("decoded") == F.col("text")).alias("round_trip"),
@@ -70,6 +79,13 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(index).select(F.col("id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op9_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from larkspur.llm.html import extract
+
+    pages = extract(table(spark, sf_dir, "pages"))
+    return pages.select("page_id", "text", F.char_length("text").cast("long").alias("n_chars"))
+
+
 def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     from larkspur.llm.topk import top_inner_products
 
@@ -78,6 +94,7 @@ def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_licenses": op1_licenses,
         "op2_ann": op2_ann,
         "op3_packing": op3_packing,
         "op4_simhash": op4_simhash,
@@ -85,10 +102,50 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_lines": op6_lines,
         "op7_langid": op7_langid,
         "op8_warc": op8_warc,
+        "op9_html": op9_html,
         "op10_topk": op10_topk,
     }
 
 
+OP1_SQL = r"""
+WITH files AS (
+  SELECT concat_ws('/', source, lang, CAST(CAST(floor(doc_id / 64) AS BIGINT) AS VARCHAR), doc_id || '.txt') AS path, text,
+    coalesce(regexp_matches(split_part(text, chr(10), 1), '{cue}'), false) AS is_file FROM documents),
+units AS (
+  SELECT DISTINCT path, unit FROM (
+    SELECT path, unnest(string_split(text, chr(10))) AS unit, 0 AS kind FROM files
+    UNION ALL SELECT path, unnest(string_split_regex(text, '\n[ \t\r]*\n')), 1 FROM files
+    UNION ALL SELECT path, text, 2 FROM files WHERE is_file)
+  WHERE kind = 2 OR (regexp_matches(unit, '{cue}') AND (kind = 0 OR contains(unit, chr(10))))),
+marks AS (SELECT unit, count(*) AS n FROM units GROUP BY unit),
+shelf(license, template) AS (VALUES {templates}),
+own AS (SELECT unit, n, term, count(*) AS tf FROM (
+  SELECT unit, n, unnest(regexp_extract_all(lower(unit), '{term}')) AS term FROM marks) GROUP BY ALL),
+other AS (SELECT license, term, count(*) AS tf FROM (
+  SELECT license, unnest(regexp_extract_all(lower(template), '{term}')) AS term FROM shelf) GROUP BY ALL),
+total AS (SELECT (SELECT coalesce(sum(n), 0) FROM marks) + (SELECT count(*) FROM shelf) AS total),
+idf AS (SELECT term, ln((1.0::DOUBLE + total) / (1.0::DOUBLE + sum(n))) + 1 AS idf FROM (
+  SELECT term, n FROM own UNION ALL SELECT term, 1 FROM other), total GROUP BY term, total),
+u AS (SELECT unit, term, tf * idf AS w FROM own JOIN idf USING (term)),
+t AS (SELECT license, term, tf * idf AS v FROM other JOIN idf USING (term)),
+un AS (SELECT unit, sqrt(sum(w * w)) AS wn FROM u GROUP BY unit),
+tn AS (SELECT license, sqrt(sum(v * v)) AS vn FROM t GROUP BY license),
+scored AS (SELECT unit, license, round(sum(w * v) / (any_value(wn) * any_value(vn)), 6) AS score
+  FROM u JOIN t USING (term) JOIN un USING (unit) JOIN tn USING (license) GROUP BY unit, license),
+fits AS (SELECT path, license, score, row_number() OVER (PARTITION BY path ORDER BY score DESC, license) AS r
+  FROM units JOIN scored USING (unit) WHERE score >= 0.7),
+mine AS (SELECT path, license, score FROM fits WHERE r = 1),
+dirs AS (SELECT path, regexp_extract(path, '^(.*)/[^/]*$', 1) AS dir FROM files),
+covers AS (SELECT dir, path AS up_path, license AS up_license, score AS up_score FROM (
+  SELECT *, row_number() OVER (PARTITION BY dir ORDER BY score DESC, path) AS r
+  FROM mine JOIN dirs USING (path) WHERE path IN (SELECT path FROM files WHERE is_file)) WHERE r = 1),
+near AS (SELECT path, up_path, up_license, up_score, row_number() OVER (PARTITION BY path ORDER BY length(c.dir) DESC) AS r
+  FROM dirs d JOIN covers c ON d.dir = c.dir OR starts_with(d.dir, c.dir || '/') OR c.dir = '')
+SELECT f.path, coalesce(license, up_license) AS license, coalesce(score, up_score) AS score,
+  CASE WHEN license IS NOT NULL THEN 'own' WHEN up_license IS NOT NULL THEN 'inherited' END AS origin,
+  CASE WHEN license IS NOT NULL THEN f.path ELSE up_path END AS license_path
+FROM files f LEFT JOIN mine USING (path) LEFT JOIN (SELECT * FROM near WHERE r = 1) USING (path)
+"""
 #: Base32 of a digest: groups of 20 bits (5 hex digits) become 4 characters.
 OP8_SQL = """
 WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
@@ -112,7 +169,11 @@ SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank
 
 
 def oracle_sql() -> dict[str, str]:
+    from larkspur.llm.licenses import CUE, TEMPLATES, TERM
+
+    values = ", ".join(f"('{k}', '{v}')" for k, v in TEMPLATES.items())
     return {
+        "op1_licenses": OP1_SQL.replace("{cue}", CUE).replace("{term}", TERM).replace("{templates}", values),
         "op8_warc": OP8_SQL,
         "op10_topk": OP10_SQL,
     }
