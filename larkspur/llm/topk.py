@@ -54,6 +54,10 @@ def search_block(q: np.ndarray, qid: np.ndarray, x: np.ndarray, xid: np.ndarray,
     """(query id, vector id, score) of the k best rows for each query, by elimination; a row with the id of the query is none."""
     out = []
     xn = (x * x).sum(1)
+    largest = max(np.abs(x).max(initial=0), np.abs(q).max(initial=0))
+    # single precision adds the products of small integers without rounding and halves what is read
+    kind = np.float32 if largest * largest * x.shape[1] < 1 << 24 else np.float64
+    x, q = x.astype(kind), q.astype(kind)
     most = xn.max(initial=0) ** 0.5
     from_pivots = np.sqrt(np.maximum(0, ((q[:, None, :] - pivots[None]) ** 2).sum(2))) if len(pivots) else np.zeros((len(q), 0))
     table = np.ascontiguousarray(to_pivots.T, np.float32)
@@ -62,10 +66,10 @@ def search_block(q: np.ndarray, qid: np.ndarray, x: np.ndarray, xid: np.ndarray,
         for p in range(len(table)):
             np.maximum(low, np.abs(table[p] - np.float32(from_pivots[i, p])), out=low)
         norm = (q[i] * q[i]).sum() ** 0.5
-        low = np.maximum(0, low - (1e-3 + 1e-6 * (norm + most)))  # for the rounding of the distances
+        low = np.maximum(0, low.astype(np.float64) - (1e-3 + 1e-6 * (norm + most)))  # for the rounding of the distances
         bound = np.ceil(((q[i] * q[i]).sum() + xn - low * low) / 2)
         bound[xid == qid[i]] = -np.inf
-        best_ids, best = np.zeros(0, np.int64), np.zeros(0)
+        best_ids, best = np.zeros(0, np.int64), np.zeros(0, kind)
         rest, size = np.flatnonzero(np.isfinite(bound)), first
         while len(rest):
             if len(rest) > size:
