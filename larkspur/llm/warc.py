@@ -15,6 +15,7 @@ touch or lie within ``gap`` bytes of each other up to ``span`` bytes, and reads
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 import uuid
 from collections.abc import Iterator
@@ -99,9 +100,10 @@ def write(
     least_revisit: int = 0,
     archive_bytes: int = 256 << 20,
     date: str = "2024-01-01T00:00:00Z",
+    level: int = 6,
     folder: str | None = None,
 ) -> DataFrame:
-    """Write a record per row; returns the index (columns as in ``INDEX``), itself a table in the shared folder.
+    """Write a record per row, each a gzip member of its own of ``level`` (0: not compressed); returns the index (columns as in ``INDEX``), itself a table in the shared folder.
 
     Text payloads are written in UTF-8; null counts as empty. Payloads of under ``least_revisit`` bytes are always
     responses. Rows that repeat both the least id and the payload of a group are all responses; a null id is never the
@@ -132,11 +134,12 @@ def write(
                 for id_, url, payload, refers_to in zip(*(c.to_pylist() for c in part.columns), strict=True):
                     digest = digest_of(payload)
                     data = record(id_, url, payload, digest, refers_to, date)
+                    data = gzip.compress(data, level, mtime=0) if level else data
                     if out is None or offset and offset + len(data) > archive_bytes:
                         if out is not None:
                             out.close()
-                        name = f"{task.partitionId():06d}-{number:04d}-{task.taskAttemptId()}-{uuid.uuid4().hex[:8]}.warc"
-                        out, offset, number = system.open_output_stream(f"{path}/{name}"), 0, number + 1
+                        name = f"{task.partitionId():06d}-{number:04d}-{task.taskAttemptId()}-{uuid.uuid4().hex[:8]}.warc{'.gz' if level else ''}"
+                        out, offset, number = system.open_output_stream(f"{path}/{name}", compression=None), 0, number + 1
                     out.write(data)
                     kind = "response" if refers_to is None else "revisit"
                     made.append((id_, url, f"{to}/{name}", offset, len(data), len(payload), digest, kind, refers_to))
@@ -173,7 +176,8 @@ def read(index: DataFrame, *, gap: int = 64 << 10, span: int = 8 << 20) -> DataF
             data = source.read(max(o + n for o, n in ranges) - begin)
             out = []
             for o, n in ranges:
-                h, block = parse(data[o - begin : o - begin + n])
+                one = data[o - begin : o - begin + n]
+                h, block = parse(gzip.decompress(one) if name.endswith(".gz") else one)
                 digest, kind = h["warc-payload-digest"].removeprefix("sha1:"), h["warc-type"]
                 if kind == "response" and digest_of(block) != digest:
                     raise ValueError(f"{name}: the record at {o} does not have the digest of its header")
