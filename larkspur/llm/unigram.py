@@ -30,7 +30,7 @@ from larkspur.sources.shared import per_worker
 
 MARKER = "▁"
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = range(1, 7)
-CACHE = 400_000
+CACHE = 300_000
 FEW = 12
 TRIES = 32
 
@@ -105,11 +105,19 @@ class Model:
         self.trie = DoubleArray(items)
         self.longest = max(map(len, items), default=0)
         self.splits = not any(MARKER in p.decode().lstrip(MARKER) for p in items)
-        spoken = {NORMAL: True, USER_DEFINED: True}
-        self.spoken = [
-            p.piece.replace(MARKER, " ").encode() if p.type in spoken else bytes([int(p.piece[3:5], 16)]) if p.type == BYTE else b" \xe2\x81\x87 " if p.type == UNKNOWN else b""
+        spoken = [
+            p.piece.replace(MARKER, " ").encode() if p.type in (NORMAL, USER_DEFINED) else bytes([int(p.piece[3:5], 16)]) if p.type == BYTE else b" \xe2\x81\x87 " if p.type == UNKNOWN else b""
             for p in proto.pieces
         ]
+        self.spoken_size = np.array([len(x) for x in spoken])
+        self.spoken_start = np.cumsum(self.spoken_size) - self.spoken_size
+        self.spoken_pool = np.frombuffer(b"".join(spoken), np.uint8)
+        # a spelled character costs the unknown score, at its first byte
+        self.price = score.copy()
+        self.price[self.unknown] = self.unknown_score
+        for b, i in enumerate(self.bytes):
+            if i >= 0:
+                self.price[i] = 0.0 if b & 0xC0 == 0x80 else self.unknown_score
 
     def parts(self, text: str) -> list[str]:
         """The parts of a text that are segmented on their own, with markers."""
@@ -119,23 +127,25 @@ class Model:
         marked = marked.replace(" ", MARKER)
         return re.findall(f"{MARKER}*[^{MARKER}]+|{MARKER}+", marked) if self.splits else [marked]
 
-    def solve(self, parts: list[str]) -> list[tuple[tuple[int, ...], float]]:
-        """Ids and total score of each part."""
-        data = [p.encode("utf-8", "surrogatepass") for p in parts]
-        out: list = [None] * len(parts)
-        order = sorted(range(len(parts)), key=lambda i: len(data[i]))
+    def solve(self, parts: list[str], kept: Parts) -> None:
+        """Add the ids of parts to ``kept``."""
+        data = {p: p.encode("utf-8", "surrogatepass") for p in parts}
+        order = sorted(parts, key=lambda p: len(data[p]))
         at = 0
         while at < len(order):
-            size = max(1, min(8192, (1 << 20) // (len(data[order[at]]) + 8)))
-            group = order[at : at + size]
-            group = [i for i in group if len(data[i]) <= 2 * len(data[order[at]]) + 8]
-            solved = self._many([data[i] for i in group]) if len(group) > FEW else [self._one(data[i]) for i in group]
-            for i, s in zip(group, solved, strict=True):
-                out[i] = s
+            shortest = len(data[order[at]])
+            group = order[at : at + max(1, min(8192, (1 << 20) // (shortest + 8)))]
+            if len(data[group[-1]]) > 2 * shortest + 8:
+                group = [p for p in group if len(data[p]) <= 2 * shortest + 8]
+            if len(group) > FEW:
+                self._many(group, [data[p] for p in group], kept)
+            else:
+                for p in group:
+                    ids = self._one(data[p])
+                    kept.add([p], np.array(ids, np.int32), np.array([len(ids)]))
             at += len(group)
-        return out
 
-    def _path(self, data: bytes, piece: list[int], back: list[int], total: float) -> tuple[tuple[int, ...], float]:
+    def _path(self, data: bytes, piece: list[int], back: list[int]) -> list[int]:
         ids: list[int] = []
         end = len(data)
         while end > 0:
@@ -146,9 +156,9 @@ class Model:
             elif not ids or ids[-1] != self.unknown:
                 ids.append(self.unknown)
             end = back[end]
-        return tuple(reversed(ids)), total
+        return ids[::-1]
 
-    def _one(self, data: bytes) -> tuple[tuple[int, ...], float]:
+    def _one(self, data: bytes) -> list[int]:
         """One part of any length, step by step."""
         base, check, value, score = per_worker(("lists", id(self)), lambda: tuple(x.tolist() for x in (self.trie.base, self.trie.check, self.trie.value, self.score)))
         n = len(data)
@@ -171,9 +181,9 @@ class Model:
                         best[end], piece[end], back[end] = here + score[v], v, i
             if not alone and here + self.unknown_score > best[i + width]:
                 best[i + width], piece[i + width], back[i + width] = here + self.unknown_score, -1, i
-        return self._path(data, piece, back, best[n])
+        return self._path(data, piece, back)
 
-    def _many(self, data: list[bytes]) -> list[tuple[tuple[int, ...], float]]:
+    def _many(self, parts: list[str], data: list[bytes], kept: Parts) -> None:
         """Many parts of similar length at once: each step of the trie is taken by all of them together."""
         base, check, value = self.trie.base, self.trie.check, self.trie.value
         size = np.fromiter(map(len, data), np.int64, len(data))
@@ -217,32 +227,84 @@ class Model:
             better = score > best[r, end]
             r, end = r[better], end[better]
             best[r, end], piece[r, end], back[r, end] = score[better], -1, i
-        return [self._path(d, p, b, t) for d, p, b, t in zip(data, piece.tolist(), back.tolist(), best[np.arange(len(data)), size].tolist(), strict=True)]
-
-    def encode(self, texts: list[str | None], kept: dict[str, tuple[tuple[int, ...], float]]) -> list[tuple[np.ndarray, float] | None]:
-        """Ids and score of each text; ``kept`` caches parts."""
-        parts = [None if t is None else self.parts(t) for t in texts]
-        new = list({p for own in parts if own for p in own if p not in kept})
-        if len(kept) + len(new) > CACHE:
+        # all ways back at once: one step of each part at a time
+        end, live, steps = size.copy(), np.arange(len(data)), []
+        taken, odd = np.zeros(len(data), np.int64), np.zeros(len(data), bool)
+        while len(live):
+            p = piece[live, end[live]]
+            steps.append((live, p))
+            odd[live] |= p < 0
+            taken[live] += 1
+            end[live] = back[live, end[live]]
+            live = live[end[live] > 0]
+        last = np.cumsum(taken) - 1
+        ids = np.zeros(taken.sum(), np.int32)
+        for i, (live, p) in enumerate(steps):
+            ids[last[live] - i] = p
+        if odd.any():  # parts with characters that no piece covers are spelled one by one
+            plain = np.repeat(~odd, taken)
+            kept.add([p for p, o in zip(parts, odd.tolist(), strict=True) if not o], ids[plain], taken[~odd])
+            for r in np.flatnonzero(odd).tolist():
+                own = self._path(data[r], piece[r].tolist(), back[r].tolist())
+                kept.add([parts[r]], np.array(own, np.int32), np.array([len(own)]))
+        else:
+            kept.add(parts, ids, taken)
+
+    def encode(self, texts: list[str | None], kept: Parts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of all texts in a row, their number per text, and the score of each; ``kept`` caches parts."""
+        parts = [self.parts(t or "") for t in texts]
+        new = set(chain.from_iterable(parts)).difference(kept.slot)
+        if len(kept.slot) + len(new) > CACHE:
             kept.clear()
-            new = list({p for own in parts if own for p in own})
-        kept.update(zip(new, self.solve(new), strict=True))
-        out = []
-        for own in parts:
-            if own is None:
-                out.append(None)
-            else:
-                found = list(map(kept.__getitem__, own))
-                ids = np.fromiter(chain.from_iterable([x[0] for x in found]), np.int32)
-                if not self.fallback and len(ids):  # runs of unknown characters over the ends of parts
-                    ids = ids[np.r_[True, (ids[1:] != self.unknown) | (ids[:-1] != self.unknown)]]
-                out.append((ids, float(sum([x[1] for x in found]))))
-        return out
-
-    def decode(self, ids: list[int]) -> str:
-        """Text of ids: markers become spaces, byte pieces bytes (invalid ones U+FFFD), the dummy prefix goes."""
-        text = b"".join(map(self.spoken.__getitem__, ids)).decode("utf-8", "replace")
-        return text[1:] if self.prefix and text.startswith(" ") else text
+            new = set(chain.from_iterable(parts))
+        self.solve(list(new), kept)
+        per_text = np.fromiter(map(len, parts), np.int64, len(parts))
+        slots = np.fromiter(map(kept.slot.__getitem__, chain.from_iterable(parts)), np.int64, per_text.sum())
+        ids, size = kept.gather(slots)
+        owner = np.repeat(np.repeat(np.arange(len(parts)), per_text), size)
+        if not self.fallback and len(ids):  # runs of unknown characters over the ends of parts
+            first = np.r_[True, (ids[1:] != self.unknown) | (ids[:-1] != self.unknown) | (owner[1:] != owner[:-1])]
+            ids, owner = ids[first], owner[first]
+        counts = np.bincount(owner, minlength=len(parts))
+        return ids, counts, np.bincount(owner, self.price[ids], minlength=len(parts))
+
+    def decode(self, ids: np.ndarray, counts: np.ndarray) -> list[str]:
+        """Texts of ids in a row: markers become spaces, byte pieces bytes (invalid ones U+FFFD), the dummy prefix goes."""
+        size = self.spoken_size[ids]
+        data = self.spoken_pool[np.repeat(self.spoken_start[ids] - (np.cumsum(size) - size), size) + np.arange(size.sum())].tobytes()
+        ends = np.r_[0, np.cumsum(size)][np.cumsum(np.r_[0, counts])].tolist()
+        texts = [data[s:e].decode("utf-8", "replace") for s, e in zip(ends[:-1], ends[1:], strict=True)]
+        return [t[1:] if self.prefix and t[:1] == " " else t for t in texts]
+
+
+class Parts:
+    """Solved parts: a slot for each, and the ids of all slots in one array."""
+
+    def __init__(self) -> None:
+        self.clear()
+
+    def clear(self) -> None:
+        self.slot: dict[str, int] = {}
+        self.ids = np.zeros(1 << 16, np.int32)
+        self.start = np.zeros(1 << 14, np.int64)
+        self.used = 0
+
+    def add(self, parts: list[str], ids: np.ndarray, counts: np.ndarray) -> None:
+        n = len(self.slot)
+        while n + len(parts) + 1 > len(self.start):
+            self.start = np.concatenate([self.start, np.zeros_like(self.start)])
+        while self.used + len(ids) > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
+        self.slot.update(zip(parts, range(n, n + len(parts)), strict=True))
+        self.ids[self.used : self.used + len(ids)] = ids
+        self.start[n + 1 : n + 1 + len(parts)] = self.used + np.cumsum(counts)
+        self.used += len(ids)
+
+    def gather(self, slots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the slots one after another, and their number per slot."""
+        start = self.start[slots]
+        size = self.start[slots + 1] - start
+        return self.ids[np.repeat(start - (np.cumsum(size) - size), size) + np.arange(size.sum())], size
 
 
 def _with(df: DataFrame, added: list[T.StructField]) -> tuple[list[str], T.StructType]:
@@ -260,17 +322,15 @@ def encode(docs: DataFrame, model: str, *, text_col: str = "text") -> DataFrame:
     kept, schema = _with(docs, [T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("log_score", T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = per_worker(("parts", model), dict)
+        cache = per_worker(("parts", model), Parts)
         for batch in batches:
             for part in slices(batch, text_col, 2 << 20):
-                found = shared.value.encode(part.column(text_col).to_pylist(), cache)
-                ids = [None if x is None else x[0] for x in found]
-                flat = np.concatenate([np.zeros(0, np.int32), *(x for x in ids if x is not None)])
-                ends = np.cumsum([0, *(0 if x is None else len(x) for x in ids)])
-                offsets = pa.array(ends.astype(np.int32), mask=np.array([*(x is None for x in ids), False]))
-                lists = pa.ListArray.from_arrays(offsets, pa.array(flat))
-                score = pa.array([None if x is None else x[1] for x in found], pa.float64())
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in kept), lists, score], [*kept, "ids", "log_score"])
+                texts = part.column(text_col)
+                gap = texts.is_null().to_numpy(zero_copy_only=False)
+                ids, counts, score = shared.value.encode(texts.to_pylist(), cache)
+                ends = pa.array(np.cumsum(np.r_[0, counts]).astype(np.int32), mask=np.r_[gap, False])
+                lists = pa.ListArray.from_arrays(ends, pa.array(ids))
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in kept), lists, pa.array(score, mask=gap)], [*kept, "ids", "log_score"])
 
     return docs.mapInArrow(run, schema)
 
@@ -284,7 +344,10 @@ def decode(tokens: DataFrame, model: str, *, ids_col: str = "ids", to: str = "de
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                text = [None if x is None else shared.value.decode(x) for x in part.column(ids_col).to_pylist()]
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in kept), pa.array(text, pa.string())], [*kept, to])
+                lists = part.column(ids_col)
+                gap = lists.is_null().to_numpy(zero_copy_only=False)
+                counts = np.where(gap, 0, lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
+                text = shared.value.decode(lists.flatten().to_numpy(zero_copy_only=False), counts)
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in kept), pa.array([None if g else t for t, g in zip(text, gap.tolist(), strict=True)], pa.string())], [*kept, to])
 
     return tokens.mapInArrow(run, schema)
