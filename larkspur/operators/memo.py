@@ -165,6 +165,13 @@ def _run_bodies(rows: DataFrame, t: Task) -> DataFrame:
     return rows.select("key", *t.columns).mapInPandas(body, "key string, result string, error string, started timestamp, ended timestamp")
 
 
+def decoded(results: DataFrame, schema: T.StructType) -> DataFrame:
+    """(key, value) of the stored results that decode under a schema; others are no results."""
+    strict = T.StructType([*schema.fields, T.StructField("_corrupt_record", T.StringType())])
+    parsed = results.select("key", F.from_json("result", strict, {"mode": "PERMISSIVE"}).alias("v")).where("v is not null and v._corrupt_record is null")
+    return parsed.select("key", F.struct(*(F.col("v")[f.name].alias(f.name) for f in schema.fields)).alias("value"))
+
+
 def submit(t: Task, rows: DataFrame, store: Store, *, use_cache: bool = True, no_cache: bool = False, attempts: int = 1, lineage: list[str] | None = None) -> DataFrame:
     """``rows`` with ``value`` (struct of the task's columns), ``error`` and ``from_cache``.
 
@@ -175,9 +182,7 @@ def submit(t: Task, rows: DataFrame, store: Store, *, use_cache: bool = True, no
         raise SubmissionError("a task body must not submit tasks")
     rows = rows.withColumn("key", t.key())
     distinct = coalesced(rows.select("key", *dict.fromkeys(t.columns)))
-    known = store.table(t).withColumn("value", F.from_json("result", t.out))
-    # what does not decode is no result
-    known = known.where(F.col("value").isNotNull()).dropDuplicates(["key"]).select("key", "value")
+    known = decoded(store.table(t), t.out).dropDuplicates(["key"])
     if use_cache:
         found = known.join(distinct.select("key"), "key", "left_semi")
         todo = misses(distinct, known)

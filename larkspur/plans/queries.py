@@ -128,16 +128,16 @@ def fan_out(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(
-    "SELECT source AS key, bool_and(l.doc_id IS NOT NULL AND (d.doc_id % 2 = 0 OR d.n_chars % 3 = l.quality)) AS valid "
-    "FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id WHERE d.doc_id % 11 = 0 GROUP BY source"
+    "SELECT d.doc_id // 2 AS key, bool_and(l.doc_id IS NOT NULL AND (d.doc_id % 2 = 0 OR d.n_chars % 3 = l.quality)) AS valid "
+    "FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id GROUP BY 1"
 )
 def verify_on_hit(spark: SparkSession, sf: str) -> DataFrame:
-    """Results are sources, their files every eleventh document; labels list what exists (hash: quality)."""
-    docs = table(spark, sf, "documents").where("doc_id % 11 = 0")
+    """Each result refers to two documents; labels list what exists (hash: quality), even ids are mutable."""
+    docs = table(spark, sf, "documents")
     file = F.struct(
         F.col("doc_id").cast("string").alias("path"), F.lit(1).cast("long").alias("byte_size"), (F.col("n_chars") % 3).cast("int").alias("hash"), (F.col("doc_id") % 2 == 0).alias("mutable")
     )
-    results = docs.groupBy(F.col("source").alias("key")).agg(F.collect_list(file).alias("files"))
+    results = docs.groupBy(F.expr("doc_id div 2").alias("key")).agg(F.collect_list(file).alias("files"))
     listing = table(spark, sf, "labels").select(F.col("doc_id").cast("string").alias("path"), F.lit(1).cast("long").alias("byte_size"), F.col("quality").alias("hash"))
     return memo.verify_files(results, listing)
 

@@ -1,0 +1,68 @@
+import json
+
+import pytest
+
+from larkspur.plans import barrier, recursion
+from larkspur.streaming import state
+
+
+def after(*events):
+    s = {}
+    for e in events:
+        s = state.reduce(s, *(e + (None, None))[:3])
+    return s
+
+
+def test_reducer():
+    assert after(("Incremented",))["counter"] == 1
+    assert after(("NodeRequested", "A"), ("NodeRequested", "B"), ("NodeIsPending", "A", "n1"))["in_flight"] == ["B"]
+    got = after(("NodeRequested", "A"), ("NodeRequested", "B"), ("NodeRequested", "A"), ("NodeRequestFailed", "B"))
+    assert (got["in_flight"], got["requested"]) == (["A", "A"], 3)
+    got = after(("NodeRequested", "A"), ("NodeRequested", "A"), ("NodeRequested", "B"), ("NodeIsPending", "A", "n"))
+    assert sorted(got["in_flight"]) == ["A", "B"]
+    assert after(("NodeRequested", "A"), ("AllStop",)) == {"requested": 1}
+    assert after(("RendezvousJoined", "0", "p"), ("RendezvousRead", "0", "2"), ("RendezvousRead", "1", "2")) == {}
+    assert after(("RendezvousRead", "0", "2")) == {}
+
+
+def test_scheduling_rules():
+    queued = after(("Enqueued", "p1", "t"), ("Enqueued", "p2", "t"))
+    assert queued == {"proxies": ["p1", "p2"], "task": "t", "status": "queued"}
+    running = after(("Enqueued", "p1", "t"), ("TaskScheduled", "l", "a"), ("Enqueued", "p2", "t"))
+    assert (running["status"], running["proxies"], running["launcher"]) == ("scheduled", ["p1", "p2"], "l")
+    assert after(("Enqueued", "p1", "t"), ("TaskScheduled", "l"), ("TaskDone",)) == {"ended": "TaskDone"}
+    assert after(("Enqueued", "p1", "t"), ("TaskFailed",)) == {"ended": "TaskFailed"}  # queued again meanwhile
+    assert after(("TaskFailed",)) == {}  # unknown
+    kept = after(("Enqueued", "s~1", "t"), ("Enqueued", "r~1", "t"), ("SessionDropped", "s"))
+    assert kept["proxies"] == ["r~1"]
+
+
+def test_stream_equals_batch(spark):
+    import larkspur.plans.queries as q
+
+    sf = "/root/testdata/sf0.001"
+    batch = {tuple(r) for r in q.QUERIES["event_fold"](spark, sf).collect()}
+    stream = {tuple(r) for r in q.QUERIES["event_fold_stream"](spark, sf).select("entity", "state", "n_events").collect()}
+    assert batch == stream
+    assert all(json.loads(s) is not None for _, s, _ in batch)
+
+
+def test_all_gather(spark):
+    assert barrier.all_gather(spark, ["a", "b", "c"]) == [["a", "b", "c"]] * 3
+    with pytest.raises(barrier.RendezvousError):
+        barrier.all_gather(spark, [])
+    with pytest.raises(barrier.RendezvousError, match="slots"):
+        barrier.all_gather(spark, ["x"] * 10_000)
+
+
+def test_invalid_groups(spark):
+    rows = [("dup", 0, 2, "a"), ("dup", 0, 2, "b"), ("size", 0, 2, "a"), ("size", 1, 3, "a"), ("out", 5, 2, "a"), ("ok", 0, 1, "a"), ("ok", 0, 1, "a")]
+    df = spark.createDataFrame(rows, "`group` string, rank int, world_size int, payload string")
+    got = dict(barrier.invalid(df).collect())
+    assert got == {"dup": "duplicate rank 0 in group dup", "size": "worldSize mismatch", "out": "rank out of range"}
+    assert [(r.group, r.peers) for r in barrier.gathered(df.where("`group` = 'ok'")).collect()] == [("ok", ["a"])]
+
+
+def test_closure_of_a_cycle(spark):
+    df = spark.createDataFrame([(1, 2), (2, 3), (3, 1)], "child long, parent long")
+    assert recursion.closure(df).count() == 9
