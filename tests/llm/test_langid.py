@@ -1,0 +1,60 @@
+import zlib
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from larkspur.llm import langid
+from larkspur.llm.queries import op7_langid
+from tests.llm.data import edge_documents, no_documents
+
+
+def test_held_out_accuracy(spark):
+    docs = {r.doc_id: r for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()}
+    got = op7_langid(spark, "/root/testdata/sf0.01").collect()
+    assert len(got) == len(docs)
+    assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2) for r in got)
+    held = [r for r in got if r.held_out]
+    assert sum(r.lang_pred == docs[r.doc_id].lang for r in held) / len(held) > 0.98
+    assert all(0 <= r.score <= 1 for r in got)
+
+
+def test_edges(spark):
+    got = langid.identify(edge_documents(spark), F.col("lang").isNotNull()).collect()
+    of = {}
+    for r in got:
+        of.setdefault(r.doc_id, set()).add(r.lang_pred)
+    assert len(got) == 18
+    for i in (4, 5, 6, 11, 12):
+        assert of[i] == {"und"}
+    for i, lang in ((13, "en"), (14, "de"), (15, "fr"), (17, "es")):
+        assert of[i] == {lang}
+    assert len(of[9]) == 1
+    assert "score" in got[0].asDict()
+    assert all(isinstance(r.score, float) for r in got)
+
+
+def test_nothing_to_learn(spark):
+    assert {r.lang_pred for r in langid.identify(edge_documents(spark), F.lit(False)).collect()} == {"und"}
+    assert langid.identify(no_documents(spark), F.lit(True)).count() == 0
+
+
+def test_one_language(spark):
+    rows = langid.identify(edge_documents(spark), F.col("lang") == "de").collect()
+    assert {r.lang_pred for r in rows} == {"und", "de"}
+
+
+def test_whole_text_counts(monkeypatch):
+    text = "abc déf " * 500
+    whole = langid.features(text, 4096)
+    monkeypatch.setattr(langid, "CHUNK", 97)
+    assert np.allclose(whole, langid.features(text, 4096), atol=1e-6)
+    assert langid.features("1234 !!", 64) is None
+    assert np.linalg.norm(whole) == pytest.approx(1, abs=1e-5)
+
+
+def test_three_languages_of_a_family_and_a_lone_one():
+    texts = {"en": "the and of that with this have", "de": "der und die das nicht mit sich", "nl": "het een van niet dat zijn met", "xx": "zzz qqq xqz zqx"}
+    x = np.array([langid.features(f"{t} {i % 3}", 4096) for t in texts.values() for i in range(6)], np.float32)
+    m = langid.Model(x, [k for k in texts for _ in range(6)], 4096)
+    assert [k for k, _ in m.predict(x)] == [k for k in texts for _ in range(6)]
