@@ -219,4 +219,6 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     merged = part.join(of, "component").select("fp", "component_id")
     # fingerprints without a link keep their own least id
     every = least.join(merged, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
+    # as a table of its own, so that the join to the documents can split a fingerprint that very many share
+    every = materialize(every, "fingerprint-components")
     return fps.join(every, "fp").select(id_col, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
