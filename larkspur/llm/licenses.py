@@ -54,12 +54,12 @@ def terms_of(text: str | Column) -> Column:
 
 
 def candidates(files: DataFrame, cue: str = CUE) -> DataFrame:
-    """(path, unit): candidate notices of files (path, text, is_license_file)."""
+    """(path, is_license_file, unit): candidate notices of files (path, text, is_license_file)."""
     lines = F.filter(F.split("text", "\n"), lambda x: x.rlike(cue))
     paragraphs = F.filter(F.split("text", PARAGRAPH), lambda x: x.rlike(cue) & x.contains("\n"))
     whole = F.when(F.col("is_license_file"), F.array("text")).otherwise(F.array().cast("array<string>"))
     units = F.array_distinct(F.concat(lines, paragraphs, whole))
-    return files.where(F.col("text").rlike(cue) | F.col("is_license_file")).select("path", F.explode(units).alias("unit"))
+    return files.where(F.col("text").rlike(cue) | F.col("is_license_file")).select("path", "is_license_file", F.explode(units).alias("unit"))
 
 
 def score_units(units: DataFrame, templates: DataFrame, least: float) -> DataFrame:
@@ -99,14 +99,16 @@ def scan(files: DataFrame, *, path_col: str = "path", text_col: str = "text", is
     rows = files.select(F.col(path_col).cast("string").alias("path"), F.col(text_col).cast("string").alias("text"), known.alias("is_license_file"))
     shelf = spark.createDataFrame(sorted((templates or TEMPLATES).items()), "license string, template string")
 
-    found = candidates(rows).select("path", F.md5("unit").alias("mark"), "unit")
+    # the one pass over the texts; all that follows reads candidates or paths
+    found = materialize(candidates(rows).select("path", "is_license_file", F.md5("unit").alias("mark"), "unit"), "license-candidates")
     units = found.groupBy("mark").agg(F.first("unit").alias("unit"), F.count("*").alias("n"))
     scored = materialize(score_units(units, shelf, least), "license-units")
-    best = found.select("path", "mark").join(scored, "mark").groupBy("path").agg(F.min(F.struct((-F.col("score")).alias("s"), "license")).alias("b"))
-    own = materialize(best.select("path", F.col("b.license").alias("license"), (-F.col("b.s")).alias("score")), "license-own")
+    best = found.select("path", "is_license_file", "mark").join(scored, "mark").groupBy("path")
+    best = best.agg(F.min(F.struct((-F.col("score")).alias("s"), "license")).alias("b"), F.bool_or("is_license_file").alias("is_license_file"))
+    own = materialize(best.select("path", "is_license_file", F.col("b.license").alias("license"), (-F.col("b.s")).alias("score")), "license-own")
 
     folder = F.when(F.col("path").contains("/"), F.regexp_extract("path", r"^(.*)/[^/]*$", 1)).when(F.col("path").isNotNull(), F.lit(""))
-    notices = rows.where("is_license_file").select("path").distinct().join(own, "path").select(folder.alias("dir"), "path", "license", "score")
+    notices = own.where("is_license_file and path is not null").select(folder.alias("dir"), "path", "license", "score")
     covers = notices.groupBy("dir").agg(F.min(F.struct((-F.col("score")).alias("s"), "path", "license")).alias("c"))
     dirs = rows.select(folder.alias("dir")).where("dir is not null").distinct()
     parts = F.split("dir", "/")
@@ -116,7 +118,7 @@ def scan(files: DataFrame, *, path_col: str = "path", text_col: str = "text", is
     nearest = steps.join(covers.withColumnRenamed("dir", "up"), "up").groupBy("dir").agg(F.max_by("c", "depth").alias("c"))
     nearest = materialize(nearest.select("dir", (-F.col("c.s")).alias("up_score"), F.col("c.path").alias("up_path"), F.col("c.license").alias("up_license")), "license-dirs")
 
-    joined = rows.select("path", folder.alias("dir")).join(own, "path", "left").join(nearest, "dir", "left")
+    joined = rows.select("path", folder.alias("dir")).join(own.drop("is_license_file"), "path", "left").join(nearest, "dir", "left")
     mine = F.col("license").isNotNull()
     return joined.select(
         F.col("path").alias(path_col),
