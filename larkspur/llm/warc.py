@@ -9,7 +9,7 @@ Payloads that occur before are not stored again: of records with equal payloads
 the least id is a ``response``, the others are ``revisit`` records that refer to it.
 
 Reading. Selected index rows are dealt by ranges of (archive, offset); a task sorts its own, merges ranges that
-touch or lie within ``gap`` bytes of each other up to ``span`` bytes, and reads each merged range once.
+touch or lie within ``gap`` bytes of each other, up to ``span`` bytes of uncompressed records, and reads each once.
 """
 
 from __future__ import annotations
@@ -160,7 +160,7 @@ def _batch(rows: list[tuple], schema: str) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, _ARROW[t]) for c, t in zip(cols, types, strict=True)], list(names))
 
 
-def read(index: DataFrame, *, gap: int = 64 << 10, span: int = 8 << 20) -> DataFrame:
+def read(index: DataFrame, *, gap: int = 64 << 10, span: int = 8 << 20, per_task: int = 64 << 20) -> DataFrame:
     """The records of the index rows in ``index`` (columns as in ``RECORDS``), parsed from the archives.
 
     A revisit has an empty payload; ``payload_bytes`` and ``payload_digest`` are those of the full one.
@@ -186,21 +186,28 @@ def read(index: DataFrame, *, gap: int = 64 << 10, span: int = 8 << 20) -> DataF
             return out
 
         pending: list[tuple[int, int]] = []
+        held = 0
         for batch in batches:
-            for archive, offset, length in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if pending and (archive != name or offset > sum(pending[-1]) + gap or offset + length - pending[0][0] > span):
+            for archive, offset, length, weight in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if pending and (archive != name or offset > sum(pending[-1]) + gap or held + weight > span):
                     yield _batch(records(pending), RECORDS)
-                    pending = []
+                    pending, held = [], 0
                 if archive != name:
                     if source is not None:
                         source.close()
                     system, path = open_folder(archive)
                     name, source = archive, system.open_input_file(path)
                 pending.append((offset, length))
+                held += weight
         if pending:
             yield _batch(records(pending), RECORDS)
         if source is not None:
             source.close()
 
-    chosen = index.select("archive", "offset", "length").repartitionByRange("archive", "offset").sortWithinPartitions("archive", "offset")
-    return chosen.mapInArrow(run, RECORDS)
+    # the bytes a record holds in memory, not compressed
+    weight = F.greatest("length", F.when(F.col("record_type") == "response", F.col("payload_bytes")).otherwise(0))
+    chosen = index.select("archive", "offset", "length", weight.alias("weight"))
+    total = chosen.agg(F.sum("weight")).first()[0] or 0
+    tasks = max(-(-total // per_task), min(-(-total // (1 << 20)), index.sparkSession.sparkContext.defaultParallelism), 1)
+    dealt = chosen.repartitionByRange(tasks, "archive", "offset").sortWithinPartitions("archive", "offset")
+    return dealt.mapInArrow(run, RECORDS)
