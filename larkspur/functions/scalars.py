@@ -65,6 +65,13 @@ def java_hash(text: str) -> int:
     return h - (1 << 32) if h >= 1 << 31 else h
 
 
+def etag_hash(text: str | Column) -> Column:
+    """``java_hash`` of a text of the basic plane as a column; -1 for null, as where a server names no tag."""
+    units = F.filter(F.split(_c(text), ""), lambda x: x != "")
+    h = F.aggregate(units, F.lit(0).cast("bigint"), lambda a, x: (a * 31 + F.ascii(x)).bitwiseAND(F.lit(0xFFFFFFFF)))
+    return F.when(_c(text).isNull(), F.lit(-1).cast("bigint")).when(h >= 1 << 31, h - (1 << 32)).otherwise(h)
+
+
 def part_size(part: str | Column, first: int, step: int = 800, most: int = 1_900_000_000, tiers: int = 40) -> Column:
     """Size of an upload part: ``first``, doubled after every ``step`` parts, at most ``most``."""
     tier = F.greatest(F.least(F.floor((_c(part) - 1) / step), F.lit(tiers)), F.lit(0))

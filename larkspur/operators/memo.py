@@ -74,7 +74,7 @@ class Store:
         at = jvm.org.apache.hadoop.fs.Path(self.path)
         if not at.getFileSystem(conf).exists(at):
             return self.spark.createDataFrame([], STORE)
-        found = self.spark.read.schema(STORE).parquet(self.path)
+        found = self.spark.read.schema(STORE).option("ignoreCorruptFiles", "true").parquet(self.path)
         return found.where((F.col("task") == t.name) & (F.col("version") == t.version)) if t else found
 
     def append(self, results: DataFrame) -> None:
@@ -205,6 +205,12 @@ def submit(t: Task, rows: DataFrame, store: Store, *, use_cache: bool = True, no
     return rows.join(materialize(answers, "memo-answers"), "key", "left")
 
 
+def audited(rows: DataFrame, *messages: Column, to: str = "logs") -> DataFrame:
+    """``rows`` with log records of their own: messages that are not null, stamped with the time of the query."""
+    records = [F.struct(m.cast("string").alias("data"), F.current_timestamp().alias("ts")) for m in messages]
+    return rows.withColumn(to, F.filter(F.array(*records), lambda r: r["data"].isNotNull()))
+
+
 def inherit(lineage: str | Column, own: str | Column) -> Column:
     """The ancestors of a child: those of its parent, then the parent."""
     lineage, own = (F.col(x) if isinstance(x, str) else x for x in (lineage, own))

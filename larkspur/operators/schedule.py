@@ -66,6 +66,15 @@ def allowed_nodes(max_nodes: int, max_cumulative: int, max_pending: int, active:
     return max(0, min(max_nodes - active, max_cumulative - cumulative))
 
 
+def cold_start(queued: DataFrame, plan: DataFrame, workers: DataFrame) -> DataFrame:
+    """(shape, n): the plan, or one node for the head of the queue where there is no plan, no worker, but work."""
+    shape = [c for c in plan.columns if c != "n"]
+    if not plan.isEmpty() or not workers.isEmpty():
+        return plan
+    head = queued.orderBy(F.desc("priority"), "key").limit(1)
+    return head.select(*shape, F.lit(1).cast("long").alias("n"))
+
+
 def pack_requests(requests: pd.DataFrame, nodes: pd.DataFrame) -> pd.DataFrame:
     """Best fit, largest first: each request goes to the smallest node that still fits it.
 

@@ -225,6 +225,42 @@ def rendezvous_barrier(spark: SparkSession, sf: str) -> DataFrame:
     return spark.createDataFrame([(r, ",".join(p)) for r, p in enumerate(peers)], "rank int, peers string")
 
 
+@query("SELECT l_orderkey, CAST(sum(q) + count(*) * 2 AS BIGINT) AS total FROM (SELECT l_orderkey, CAST(floor(l_quantity) AS BIGINT) + 1 AS q FROM lineitem) GROUP BY l_orderkey")
+def chain(spark: SparkSession, sf: str) -> DataFrame:
+    """The output of one step is the input of the next."""
+    one = table(spark, sf, "lineitem").select("l_orderkey", (F.floor("l_quantity") + 1).cast("long").alias("q"))
+    two = one.withColumn("q", F.col("q") + 2)
+    return two.groupBy("l_orderkey").agg(F.sum("q").alias("total"))
+
+
+@query("SELECT (SELECT count(*) FROM orders WHERE o_orderstatus = 'F') AS a, (SELECT count(*) FROM lineitem WHERE l_returnflag = 'R') AS b")
+def fork_join(spark: SparkSession, sf: str) -> DataFrame:
+    """Two branches that are independent of each other, and both their results."""
+    a = table(spark, sf, "orders").where("o_orderstatus = 'F'").select(F.lit("a").alias("branch"))
+    b = table(spark, sf, "lineitem").where("l_returnflag = 'R'").select(F.lit("b").alias("branch"))
+    return a.union(b).agg(F.count(F.when(F.col("branch") == "a", 1)).alias("a"), F.count(F.when(F.col("branch") == "b", 1)).alias("b"))
+
+
+@query("SELECT doc_id, concat_ws('/', 'run', sha256(concat_ws('|', CAST(doc_id AS VARCHAR), source)), lang) AS path FROM documents")
+def scoped_paths(spark: SparkSession, sf: str) -> DataFrame:
+    """A folder of its own for each input."""
+    from larkspur.sources.blobs import scoped_path
+
+    return table(spark, sf, "documents").select("doc_id", scoped_path(("run",), keys.data_hash("doc_id", "source"), "lang").alias("path"))
+
+
+@query("SELECT key, array_to_string([key // 4, key // 2, key], ',') AS lineage FROM tasks", "tasks")
+def lineage_inheritance(spark: SparkSession, sf: str) -> DataFrame:
+    tasks = relation(spark, sf, "tasks").select("key", F.expr("array(key div 4, key div 2)").alias("lineage"))
+    return tasks.select("key", F.array_join(memo.inherit("lineage", "key").cast("array<string>"), ",").alias("lineage"))
+
+
+@query("SELECT key, CASE WHEN gpu > 0 THEN 1 ELSE 0 END + CASE WHEN image IS NOT NULL THEN 1 ELSE 0 END AS n_logs FROM tasks", "tasks")
+def audit_logs(spark: SparkSession, sf: str) -> DataFrame:
+    rows = memo.audited(relation(spark, sf, "tasks"), F.when(F.col("gpu") > 0, "takes a gpu"), F.col("image"))
+    return rows.select("key", F.size("logs").alias("n_logs"))
+
+
 # --- predicates and scalars -----------------------------------------------------------------------------------------
 
 _MIX = And((Has("spot"), Not(Has("gpu:a100"))))
@@ -358,6 +394,14 @@ def cache_file_name(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "pages").select("page_id", scalars.cache_file_name(F.col("page_id").cast("string"), "url").alias("name"))
 
 
+@query(
+    "SELECT page_id, CASE WHEN h >= 2147483648 THEN h - 4294967296 ELSE h END AS hash FROM (SELECT page_id, "
+    "list_reduce(list_prepend(0::BIGINT, list_transform(string_split(md5(url), ''), lambda c: ascii(c)::BIGINT)), lambda a, x: (a * 31 + x) & 4294967295) AS h FROM pages)"
+)
+def etag_hash(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "pages").select("page_id", scalars.etag_hash(F.md5("url")).alias("hash"))
+
+
 @query("SELECT part, CAST(least(5242880.0 * pow(2, least((part - 1) // 800, 40)), 1900000000.0) AS BIGINT) AS size FROM (SELECT DISTINCT CAST(1 + o_orderkey % 10000 AS BIGINT) AS part FROM orders)")
 def upload_part_size(spark: SparkSession, sf: str) -> DataFrame:
     parts = table(spark, sf, "orders").select((1 + F.col("o_orderkey") % 10000).cast("long").alias("part")).distinct()
@@ -444,6 +488,14 @@ def scale_out_caps(spark: SparkSession, sf: str) -> DataFrame:
     return spark.createDataFrame([(i, schedule.allowed_nodes(*c)) for i, c in enumerate(cases)], "pool int, allowed int")
 
 
+@query("SELECT min_cpu, memory, gpu, 1::BIGINT AS n FROM tasks WHERE state = 'queued' ORDER BY priority DESC, key LIMIT 1", "tasks")
+def cold_start(spark: SparkSession, sf: str) -> DataFrame:
+    """Work is queued, nothing is planned and no worker is known."""
+    queued = relation(spark, sf, "tasks").where("state = 'queued'")
+    plan = schedule.unmet_demand(queued, queued, _SHAPE)
+    return schedule.cold_start(queued, plan, relation(spark, sf, "nodes").where("state = 'gone'"))
+
+
 @query()
 def best_fit_packing(spark: SparkSession, sf: str) -> DataFrame:
     """Queued tasks of each launcher over the nodes of its pool."""
@@ -560,6 +612,12 @@ def cardinality_cap(spark: SparkSession, sf: str) -> DataFrame:
     return metrics.capped(counts, "name", "first", 10)
 
 
+@query("SELECT task, version, state, count(*) AS n FROM tasks GROUP BY ALL", "tasks")
+def task_counters(spark: SparkSession, sf: str) -> DataFrame:
+    """Tasks by what became of them, by name and version."""
+    return relation(spark, sf, "tasks").groupBy("task", "version", "state").agg(F.count("*").alias("n"))
+
+
 @query("SELECT kind, count(*) AS n FROM queue_events GROUP BY kind", "queue_events")
 def event_counters(spark: SparkSession, sf: str) -> DataFrame:
     return relation(spark, sf, "queue_events").groupBy("kind").agg(F.count("*").alias("n"))
@@ -658,6 +716,19 @@ def late_completion(spark: SparkSession, sf: str) -> DataFrame:
     return state.late_completions(relation(spark, sf, "queue_events").withColumnRenamed("key", "entity"))
 
 
+@query("SELECT node FROM nodes WHERE state = 'pending' AND 1000 - node * 7 > 900", "nodes")
+def pending_timeout(spark: SparkSession, sf: str) -> DataFrame:
+    return state.pending_timeouts(relation(spark, sf, "nodes").where("state = 'pending'").select("node", (F.col("node") * 7).alias("since")), 1000, 900)
+
+
+@query("SELECT launcher AS session FROM queue_events WHERE kind IN ('Enqueued', 'TaskDone') GROUP BY launcher HAVING arg_max(kind, seq) = 'Enqueued'", "queue_events")
+def main_sessions(spark: SparkSession, sf: str) -> DataFrame:
+    """Sessions that joined (Enqueued) and did not leave (TaskDone) since."""
+    kind = F.when(F.col("kind") == "Enqueued", "MainJoined").when(F.col("kind") == "TaskDone", "MainLeft")
+    events = relation(spark, sf, "queue_events").select(F.col("launcher").alias("session"), "seq", kind.alias("kind")).where("kind is not null")
+    return state.sessions_left(events)
+
+
 @query("SELECT key, launcher FROM queue_events WHERE launcher % 5 <> 0", "queue_events")
 def session_gc(spark: SparkSession, sf: str) -> DataFrame:
     proxy = F.concat(F.lit("s"), (F.col("launcher") % 5).cast("string"), F.lit("~"), F.col("launcher").cast("string"))

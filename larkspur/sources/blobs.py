@@ -80,6 +80,29 @@ class BlobStore:
         self._fs.rename(part, target)
         return made
 
+    def import_folder(self, folder: str) -> list[Handle]:
+        """Import all files under a folder of any file system, with their paths below it."""
+        files = self.spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
+        start = folder.split("://")[-1].removeprefix("file:").rstrip("/")
+        rows = files.select("path", "content").toLocalIterator()  # one at a time: contents may be large
+        return [self.put(r.path[r.path.index(start) + len(start) + 1 :], bytes(r.content)) for r in rows]
+
+    def local(self, handle: Handle) -> str:
+        """A local copy, checked against the handle and reused while it fits."""
+        import hashlib
+        import re
+        import tempfile
+
+        name = re.sub(r"[^\w.-]", "_", handle.path.rsplit("/", 1)[-1])[:80]
+        key = hashlib.sha256(f"{self.uri(handle.path)}:{handle.byte_size}:{handle.hash}".encode()).hexdigest()
+        target = os.path.join(tempfile.gettempdir(), f"{key}-{name}")
+        if not os.path.exists(target) or os.path.getsize(target) != handle.byte_size:
+            part = f"{target}.{os.getpid()}"
+            with open(part, "wb") as f:
+                f.write(self.get(handle.path))
+            os.replace(part, target)
+        return target
+
     def get(self, path: str, offset: int = 0) -> bytes:
         """The bytes of a file from an offset on."""
         source = self._fs.open(self._path(self.uri(path)))

@@ -171,6 +171,16 @@ def late_completions(events: DataFrame) -> DataFrame:
     return events.withColumn("_before", before).where("kind = 'TaskDone' and _before = 'Enqueued'").select("entity", "seq")
 
 
+def pending_timeouts(pending: DataFrame, now: int, seconds: int) -> DataFrame:
+    """(node): nodes pending since (node, since) for longer than allowed; they are given up."""
+    return pending.where(F.lit(now) - F.col("since") > seconds).select("node")
+
+
+def sessions_left(events: DataFrame) -> DataFrame:
+    """(session) that joined and did not leave since; when there is none, the last one out clears the state."""
+    return last_event(events, "session").where("kind = 'MainJoined'").select("session")
+
+
 def drop_session(waiting: DataFrame, session: str, proxy: str = "proxy") -> DataFrame:
     """Waiters that do not belong to a session."""
     return waiting.where(~F.col(proxy).startswith(f"{session}~"))

@@ -1,0 +1,124 @@
+import threading
+import time
+
+import pytest
+
+from larkspur.operators.memo import SubmissionError
+from larkspur.operators.runtime import ResourceRequest, Settings, cancellable, parent, retry
+from larkspur.sources.blobs import BlobStore
+from larkspur.sources.shared import new_path
+from larkspur.sources.state_store import Conflict, VersionedState
+
+
+def test_requests():
+    assert ResourceRequest(2, 100).row() == (2, 2, 100, 0, 0, None)
+    assert ResourceRequest((1, 4), 100, gpu=1, image="i").row() == (1, 4, 100, 0, 1, "i")
+    with pytest.raises(ValueError, match="valid"):
+        ResourceRequest((4, 1), 100)
+
+
+def test_parent_runs_on_the_driver_only(spark):
+    @parent
+    def orchestrate(n):
+        return n + 1
+
+    assert orchestrate(1) == 2
+    failed = spark.sparkContext.parallelize([1], 1).map(lambda x: _outcome(orchestrate, x)).collect()
+    assert failed == [SubmissionError.__name__]
+
+
+def _outcome(f, x):
+    try:
+        return f(x)
+    except Exception as e:
+        return type(e).__name__
+
+
+def test_cancellation(spark):
+    def slow(batches):
+        for b in batches:
+            time.sleep(30)
+            yield b
+
+    started = time.time()
+    with cancellable(spark, "stop-me") as scope:
+        timer = threading.Timer(3, scope.cancel)
+        timer.start()
+        with pytest.raises(Exception, match=r"(?i)cancel|interrupt"):
+            spark.range(4).mapInPandas(slow, "id long").count()
+    assert time.time() - started < 25
+
+
+def test_retry():
+    calls = []
+
+    def flaky():
+        calls.append(1)
+        if len(calls) < 3:
+            raise OSError("again")
+        return "done"
+
+    assert retry(flaky, 3, 0) == "done"
+    with pytest.raises(OSError):
+        calls.clear()
+        retry(flaky, 1, 0)
+
+
+def test_settings(spark):
+    assert Settings.of(spark).max_series == 5000
+    spark.conf.set("spark.larkspur.max_series", "50")
+    spark.conf.set("spark.larkspur.cache_enabled", "false")
+    try:
+        assert (Settings.of(spark).max_series, Settings.of(spark).cache_enabled) == (50, False)
+    finally:
+        spark.conf.unset("spark.larkspur.max_series")
+        spark.conf.unset("spark.larkspur.cache_enabled")
+
+
+def test_state_updates_are_applied_once(spark):
+    folder = new_path(spark, "state")
+    state = VersionedState(spark, folder)
+    assert state.read() == (0, None)
+    for _ in range(3):
+        state.update(lambda s: {"n": (s or {"n": 0})["n"] + 1})
+    other = VersionedState(spark, folder)
+    interfered = []
+
+    def change(s):
+        if not interfered:
+            interfered.append(1)
+            other.update(lambda t: {"n": t["n"] + 10})
+        return {"n": s["n"] + 1}
+
+    assert state.update(change) == {"n": 14}
+    version, _ = state.read()
+    assert state.update(lambda s: s) == {"n": 14}
+    assert state.read()[0] == version
+
+
+def test_state_limits(spark):
+    state = VersionedState(spark, new_path(spark, "state"), most=200, keep=2)
+    with pytest.raises(ValueError, match="bytes"):
+        state.update(lambda _: {str(i): i * 7919 for i in range(1000)})
+    for i in range(5):
+        state.update(lambda _, i=i: {"n": i})
+    assert len(state._versions()) == 2
+
+    def always_late(s):
+        VersionedState.update(state, lambda t: {"n": t["n"] + 1}) if not s.get("stop") else None
+        return {"n": -1}
+
+    with pytest.raises(Conflict):
+        state.update(always_late, tries=2)
+
+
+def test_folder_import_and_local_copy(spark):
+    source = BlobStore(spark, new_path(spark, "in"))
+    source.put("a/b", b"one")
+    source.put("c", b"two")
+    store = BlobStore(spark, new_path(spark, "blobs"))
+    handles = {h.path: h for h in store.import_folder(source.root)}
+    assert set(handles) == {"a/b", "c"}
+    with open(store.local(handles["c"]), "rb") as f:
+        assert f.read() == b"two"
+    assert store.local(handles["c"]) == store.local(handles["c"])
