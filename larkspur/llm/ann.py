@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from larkspur.llm.topk import _matrix, usable
 from larkspur.sources.shared import materialize
 
-INDEX = "dim int, shard long, node int, id long, v array<float>, entry boolean, neighbours array<int>"
+INDEX = "dim int, shard long, node int, id long, v array<{kind}>, entry boolean, neighbours array<int>"
 OUT = "query_id long, vec_id long, score double"
 ENTRIES = 8
 
@@ -142,20 +142,26 @@ def _unit(v: np.ndarray) -> np.ndarray:
     return v / np.sqrt((v * v).sum(1, keepdims=True))
 
 
+def _kind(df: DataFrame, column: str) -> str:
+    """Components keep their precision: double stays double, all else fits float."""
+    return "double" if dict(df.dtypes)[column] == "array<double>" else "float"
+
+
 def build_index(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embedding", shard: int = 4096, degree: int = 48, beam: int = 96, alpha: float = 1.2) -> DataFrame:
     """The graph index (columns as in ``INDEX``), a table in the shared folder with a row for each usable input row.
 
     Vectors that are null, empty, zero or hold null or non-finite components, and rows with a null id, are left out.
     """
     zero = ~F.exists(vector_col, lambda v: v != 0)
+    kind = _kind(vectors, vector_col)
     rows = vectors.where(usable(vector_col) & ~zero & F.col(id_col).isNotNull()).select(
-        F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<float>").alias("v"), F.size(vector_col).alias("dim")
+        F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast(f"array<{kind}>").alias("v"), F.size(vector_col).alias("dim")
     )
     shards = -(-rows.count() // shard) or 1
 
     def build(table: pa.Table) -> pa.Table:
         table = table.sort_by([("id", "ascending")])
-        v = _matrix(table.column("v")).astype(np.float32)
+        v = _matrix(table.column("v"))
         distinct, first, node = np.unique(v, axis=0, return_index=True, return_inverse=True)
         node = node.ravel()
         graph, entries = build_graph(_unit(distinct).astype(np.float32), degree, beam, alpha)
@@ -175,7 +181,7 @@ def build_index(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: str =
         )
 
     dealt = rows.withColumn("shard", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(shards)))
-    return materialize(dealt.groupBy("dim", "shard").applyInArrow(build, INDEX), "graph-index")
+    return materialize(dealt.groupBy("dim", "shard").applyInArrow(build, INDEX.format(kind=kind)), "graph-index")
 
 
 def search(index: DataFrame, queries: DataFrame, *, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding", beam: int = 128, block: int = 1024) -> DataFrame:
@@ -186,7 +192,7 @@ def search(index: DataFrame, queries: DataFrame, *, k: int = 5, id_col: str = "v
     """
     zero = ~F.exists(vector_col, lambda v: v != 0)
     asks = queries.where(usable(vector_col) & ~zero & F.col(id_col).isNotNull())
-    asks = asks.groupBy(F.col(id_col).cast("long").alias("id")).agg(F.min(F.col(vector_col).cast("array<float>")).alias("v"))
+    asks = asks.groupBy(F.col(id_col).cast("long").alias("id")).agg(F.min(F.col(vector_col).cast(f"array<{_kind(queries, vector_col)}>")).alias("v"))
     blocks = -(-asks.count() // block) or 1
     shards = (index.agg(F.max("shard")).first()[0] or 0) + 1
     x = index.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))

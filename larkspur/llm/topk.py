@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from larkspur.sources.shared import materialize
 
+LIMIT = (1 << 63) - 1
 OUT = "query_id long, vec_id long, score long"
 
 
@@ -53,11 +54,18 @@ def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
 def search_block(q: np.ndarray, qid: np.ndarray, x: np.ndarray, xid: np.ndarray, to_pivots: np.ndarray, pivots: np.ndarray, k: int, first: int = 256) -> list[tuple[int, int, int]]:
     """(query id, vector id, score) of the k best rows for each query, by elimination; a row with the id of the query is none."""
     out = []
-    xn = (x * x).sum(1)
+    exact_x, exact_q = x, q
+    x, q = x.astype(np.float64), q.astype(np.float64)
     largest = max(np.abs(x).max(initial=0), np.abs(q).max(initial=0))
-    # single precision adds the products of small integers without rounding and halves what is read
-    kind = np.float32 if largest * largest * x.shape[1] < 1 << 24 else np.float64
-    x, q = x.astype(kind), q.astype(kind)
+    total = largest * largest * x.shape[1]
+    # single precision adds the products of small integers without rounding and halves what is read;
+    # beyond what double precision holds, scores are added as integers of any size
+    kind = np.float32 if total < 1 << 24 else np.float64 if total < 1 << 53 else object
+    if kind is np.float32:
+        x, q = x.astype(kind), q.astype(kind)
+    if kind is not object:
+        exact_x, exact_q = x, q
+    xn = (x * x).sum(1)
     most = xn.max(initial=0) ** 0.5
     from_pivots = np.sqrt(np.maximum(0, ((q[:, None, :] - pivots[None]) ** 2).sum(2))) if len(pivots) else np.zeros((len(q), 0))
     table = np.ascontiguousarray(to_pivots.T, np.float32)
@@ -67,7 +75,8 @@ def search_block(q: np.ndarray, qid: np.ndarray, x: np.ndarray, xid: np.ndarray,
             np.maximum(low, np.abs(table[p] - np.float32(from_pivots[i, p])), out=low)
         norm = (q[i] * q[i]).sum() ** 0.5
         low = np.maximum(0, low.astype(np.float64) - (1e-3 + 1e-6 * (norm + most)))  # for the rounding of the distances
-        bound = np.ceil(((q[i] * q[i]).sum() + xn - low * low) / 2)
+        both = (q[i] * q[i]).sum() + xn.astype(np.float64)
+        bound = np.ceil((both - low * low) / 2 + (1e-12 * both if kind is object else 0))
         bound[xid == qid[i]] = -np.inf
         best_ids, best = np.zeros(0, np.int64), np.zeros(0, kind)
         rest, size = np.flatnonzero(np.isfinite(bound)), first
@@ -77,14 +86,14 @@ def search_block(q: np.ndarray, qid: np.ndarray, x: np.ndarray, xid: np.ndarray,
                 now, rest = rest[top[:size]], rest[top[size:]]
             else:
                 now, rest = rest, rest[:0]
-            best = np.r_[best, x[now] @ q[i]]
+            best = np.r_[best, exact_x[now].astype(kind) @ exact_q[i].astype(kind)]
             best_ids = np.r_[best_ids, xid[now]]
             order = np.lexsort((best_ids, -best))[:k]
             best, best_ids = best[order], best_ids[order]
             if len(best) == k:
                 rest = rest[bound[rest] >= best[-1]]  # equal bounds may tie with a smaller id
             size *= 4
-        out += [(int(qid[i]), int(v), int(s)) for v, s in zip(best_ids, best, strict=True)]
+        out += [(int(qid[i]), int(v), max(-LIMIT - 1, min(LIMIT, int(s)))) for v, s in zip(best_ids, best, strict=True)]
     return out
 
 
@@ -107,16 +116,16 @@ def top_inner_products(
     smaller id. Vectors that are null, empty or hold null or non-finite components, and rows with a null id, take
     no part; vectors meet only vectors of their own length. Repeated rows count each on their own as candidates; a
     query id that repeats gives the results of one of its rows (that with the least vector). Fewer candidates than k: all.
-    The pivots come from ``pivot_sample`` rows (the least by hash of the id); they affect speed only.
+    Components and scores beyond 64 bits become the nearest long. The pivots come from ``pivot_sample`` rows (the least by hash of the id); they affect speed only.
     """
     whole = F.transform(F.col(vector_col), lambda v: F.floor(F.lit(scale) * v.cast("double")))
     rows = vectors.where(usable(vector_col) & F.col(id_col).isNotNull()).select(
-        F.col(id_col).cast("long").alias("id"), whole.cast("array<double>").alias("v"), F.coalesce(is_query, F.lit(False)).alias("asks")
+        F.col(id_col).cast("long").alias("id"), whole.alias("v"), F.coalesce(is_query, F.lit(False)).alias("asks")
     )
     sample = rows.orderBy(F.xxhash64("id"), "id").limit(pivot_sample).select("v").collect()
     by_dim: dict[int, list[list[float]]] = {}
     for r in sample:
-        by_dim.setdefault(len(r.v), []).append(r.v)
+        by_dim.setdefault(len(r.v), []).append([float(c) for c in r.v])
     chosen = {d: choose_pivots(np.array(v), pivots) for d, v in by_dim.items()}
     shared = vectors.sparkSession.sparkContext.broadcast(chosen)
 
@@ -129,13 +138,13 @@ def top_inner_products(
                 p = shared.value.get(d)
                 if p is None:
                     continue
-                x = _matrix(v.take(pa.array(at)))
+                x = _matrix(v.take(pa.array(at))).astype(np.float64)
                 far = np.sqrt(np.maximum(0, (x * x).sum(1)[:, None] + (p * p).sum(1) - 2 * x @ p.T))
                 for i, row in zip(at.tolist(), far.tolist(), strict=True):
                     out[i] = row
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.list_(pa.float64()))], [*batch.schema.names, "far"])
 
-    indexed = materialize(rows.mapInArrow(distances, "id long, v array<double>, asks boolean, far array<double>"), "pivot-table")
+    indexed = materialize(rows.mapInArrow(distances, "id long, v array<long>, asks boolean, far array<double>"), "pivot-table")
     counts = indexed.agg(F.count("*"), F.count(F.when(F.col("asks"), 1))).first()
     shards, blocks = -(-counts[0] // shard) or 1, -(-counts[1] // block) or 1
     x = indexed.select("id", "v", "far", F.size("v").alias("dim"), F.pmod(F.xxhash64("id", F.lit(1)), F.lit(shards)).alias("shard"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))

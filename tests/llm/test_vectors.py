@@ -41,6 +41,19 @@ def test_topk_odd_vectors(spark):
     assert topk.top_inner_products(data.limit(0), F.lit(True)).count() == 0
 
 
+def test_topk_of_large_components(spark):
+    import pyspark.sql.functions as F
+
+    data = spark.createDataFrame([(0, [3e38, 1.0]), (1, [3e38, 0.0]), (2, [1e9, 1e9]), (3, [1e9, 1e9 + 64])], "vec_id long, embedding array<double>")
+    got = {(r.query_id, r["rank"]): (r.vec_id, r.score) for r in topk.top_inner_products(data, F.lit(True), k=2).collect()}
+    assert got[0, 1] == (1, (1 << 63) - 1)
+    assert got[2, 1][1] == (1 << 63) - 1
+    small = spark.createDataFrame([(0, [1e6 + 0.5, 1.0]), (1, [1e6, 3.0]), (2, [1e6, 2.0])], "vec_id long, embedding array<double>")
+    got = {(r.query_id, r["rank"]): (r.vec_id, r.score) for r in topk.top_inner_products(small, F.lit(True), k=2).collect()}
+    assert got[0, 1] == (1, 64_000_032 * 64_000_000 + 64 * 192)
+    assert got[1, 2] == (2, 64_000_000**2 + 192 * 128)
+
+
 def test_topk_blocks_against_all(spark):
     r = np.random.default_rng(2)
     x = np.floor(64 * r.normal(0, 0.3, (500, 8)))
