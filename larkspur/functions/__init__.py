@@ -1 +1 @@
-
+"""Functions over columns: keys, selectors, resources, scalars."""
