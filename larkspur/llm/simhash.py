@@ -33,6 +33,8 @@ BITS, ERRORS = 64, 4
 SEGMENTS = ((0, 22), (22, 21), (43, 21))
 SEED = 42
 LARGE = 64
+#: Fingerprints whose keys one task makes (about 1.5 kB each).
+PER_TASK = 131_072
 
 
 def fingerprint(text: str | None, width: int = 4) -> int:
@@ -199,7 +201,10 @@ def links(distinct: DataFrame) -> DataFrame:
         if len(held_key):
             yield edges(held_key, held_fp)
 
-    spreaded = distinct.select("fp").mapInArrow(spread, "key long, fp long")
+    # fingerprints are few bytes, so Spark would put millions of them, and their keys, into one task
+    n = distinct.count()
+    tasks = max(-(-n // PER_TASK), min(-(-n // 4096), 2 * distinct.sparkSession.sparkContext.defaultParallelism), 1)
+    spreaded = distinct.select("fp").repartition(tasks).mapInArrow(spread, "key long, fp long")
     return spreaded.repartition("key").sortWithinPartitions("key").mapInArrow(check, "a long, b long")
 
 
@@ -212,7 +217,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     ignored; an empty table gives no rows.
     """
     fps = materialize(fingerprints(docs, id_col=id_col, text_col=text_col, width=width), "fingerprints")
-    least = fps.groupBy("fp").agg(F.min(id_col).alias("least"))
+    least = materialize(fps.groupBy("fp").agg(F.min(id_col).alias("least")), "fingerprint-least")
     found = components(links(least))
     part = found.join(least, found.node == least.fp).select("fp", "least", "component")
     of = part.groupBy("component").agg(F.min("least").alias("component_id"))
