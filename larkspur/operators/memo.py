@@ -83,12 +83,12 @@ class Store:
 
 def hits(keys: DataFrame, store: DataFrame, key: str = "key") -> DataFrame:
     """Keys with a stored result."""
-    return keys.join(store.select(key).distinct(), key, "left_semi")
+    return keys.join(store.select(key), key, "left_semi")
 
 
 def misses(keys: DataFrame, store: DataFrame, key: str = "key") -> DataFrame:
     """Keys without one; these are run."""
-    return keys.join(store.select(key).distinct(), key, "left_anti")
+    return keys.join(store.select(key), key, "left_anti")
 
 
 def coalesced(rows: DataFrame, key: str = "key") -> DataFrame:

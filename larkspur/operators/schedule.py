@@ -109,27 +109,31 @@ def pack(requests: DataFrame, nodes: DataFrame, pool: str) -> DataFrame:
     return requests.groupBy(pool).cogroup(nodes.groupBy(pool)).applyInPandas(run, f"{pool} {kind}, task long, node long")
 
 
-def round_robin(requests: DataFrame, hosts: list[tuple[str, int, int]]) -> DataFrame:
-    """(task, host): requests (task, cpu, memory) in order of task; the first host that fits, which then goes last.
+def round_robin(requests: DataFrame, hosts: list[tuple[str, int, int]], pool: str = "pool") -> DataFrame:
+    """(pool, task, host): the first of a pool's hosts that fits each request, which then goes to the end of the list.
 
-    An order-dependent walk over one stream of requests: rows come sorted, the host list is the only state.
+    requests: (pool, task, cpu, memory), walked in order of task in every pool on its own; each pool starts with all
+    ``hosts`` (name, cpu, memory). Rows come as a sorted stream, and the host list is the only state.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        free = [list(h) for h in hosts]
+        now, free = None, []
         for batch in batches:
             out = []
             for r in batch.itertuples():
+                if r.pool != now:
+                    now, free = r.pool, [list(h) for h in hosts]
                 i = next((i for i, h in enumerate(free) if h[1] >= r.cpu and h[2] >= r.memory), None)
                 if i is not None:
                     h = free.pop(i)
                     h[1] -= r.cpu
                     h[2] -= r.memory
                     free.append(h)
-                out.append((r.task, None if i is None else free[-1][0]))
-            yield pd.DataFrame(out, columns=["task", "host"])
+                out.append((r.pool, r.task, None if i is None else free[-1][0]))
+            yield pd.DataFrame(out, columns=["pool", "task", "host"])
 
-    return requests.select("task", "cpu", "memory").coalesce(1).sortWithinPartitions("task").mapInPandas(run, "task long, host string")
+    cols = requests.select(F.col(pool).cast("long").alias("pool"), "task", "cpu", "memory")
+    return cols.repartition("pool").sortWithinPartitions("pool", "task").mapInPandas(run, "pool long, task long, host string")
 
 
 def route_queue(asks: DataFrame, queues: DataFrame, instances: DataFrame) -> DataFrame:

@@ -506,7 +506,7 @@ def best_fit_packing(spark: SparkSession, sf: str) -> DataFrame:
 
 @query()
 def round_robin_hosts(spark: SparkSession, sf: str) -> DataFrame:
-    tasks = relation(spark, sf, "tasks").where("state = 'queued'").select(F.col("key").alias("task"), F.col("min_cpu").alias("cpu"), "memory")
+    tasks = relation(spark, sf, "tasks").where("state = 'queued'").select(F.col("launcher").alias("pool"), F.col("key").alias("task"), F.col("min_cpu").alias("cpu"), "memory")
     return schedule.round_robin(tasks, [("h1", 64, 64000), ("h2", 128, 32000), ("h3", 32, 128000)])
 
 

@@ -74,3 +74,10 @@ def test_cardinality_cap(spark):
 def test_queue_waits(spark):
     df = spark.createDataFrame([("k", 1, "Enqueued", 10), ("k", 2, "Enqueued", 14), ("k", 3, "TaskScheduled", 20), ("x", 1, "TaskScheduled", 5)], "key string, seq int, kind string, moment int")
     assert [tuple(r) for r in metrics.queue_waits(df).collect()] == [("k", 3, 6)]
+
+
+def test_round_robin(spark):
+    rows = [(1, 1, 1, 10), (1, 2, 1, 10), (1, 3, 1, 10), (1, 4, 9, 10), (2, 1, 1, 10)]
+    df = spark.createDataFrame(rows, "pool long, task long, cpu int, memory int")
+    got = {(r.pool, r.task): r.host for r in schedule.round_robin(df, [("a", 2, 100), ("b", 4, 100)]).collect()}
+    assert got == {(1, 1): "a", (1, 2): "b", (1, 3): "a", (1, 4): None, (2, 1): "a"}
