@@ -71,3 +71,21 @@ def per_worker(key: Any, build: Callable[[], Any]) -> Any:
     if key not in kept:
         kept[key] = build()
     return kept[key]
+
+
+def ship(spark: SparkSession, name: str, value: Any) -> Callable[[], Any]:
+    """A function that gives ``value`` in every Python worker: broadcast once, loaded once by each worker.
+
+    The value may be of this package's classes, which workers cannot import. A worker keeps the newest value of a name.
+    """
+    from pyspark import cloudpickle
+
+    sent, mark = spark.sparkContext.broadcast(cloudpickle.dumps(value)), uuid.uuid4().hex
+
+    def get() -> Any:
+        slot = per_worker(("shipped", name), dict)
+        if slot.get("mark") != mark:
+            slot.update(mark=mark, value=cloudpickle.loads(sent.value))
+        return slot["value"]
+
+    return get
