@@ -7,11 +7,12 @@ Two words that differ in at most two bits have an index in common.
 
 from __future__ import annotations
 
-from functools import cache
 from itertools import combinations
 
 import numpy as np
 
+from larkspur.sources.shared import per_worker
+
 N, K = 23, 12
 #: Fixed value: the generator polynomial x^11 + x^10 + x^6 + x^5 + x^4 + x^2 + 1.
 GENERATOR = 0b110001110101
@@ -24,7 +25,6 @@ def _mod(word: int) -> int:
     return word
 
 
-@cache
 def _tables() -> tuple[np.ndarray, np.ndarray]:
     """Syndromes of the high 12 bits by their value; per syndrome six error patterns of weight 4 or less, padded with -1."""
     unit = [_mod(1 << i) for i in range(N)]
@@ -45,7 +45,7 @@ def _tables() -> tuple[np.ndarray, np.ndarray]:
 
 def indices(words: np.ndarray) -> np.ndarray:
     """For each 23-bit word a row of six codeword indices, -1 where there are fewer."""
-    high, errors = _tables()
+    high, errors = per_worker("golay", _tables)
     words = words.astype(np.int32)
     syndrome = high[words >> (N - K)] ^ (words & ((1 << (N - K)) - 1))
     found = errors[syndrome]

@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from larkspur.llm.batches import slices
+from larkspur.sources.shared import ship
 
 UNKNOWN = "und"
 #: Families of languages by ISO 639-1 code. A code that is not listed is a family of its own.
@@ -219,12 +220,12 @@ def identify(
     up to 65536.
     """
     model = fit(docs.where(learn_from), id_col=id_col, text_col=text_col, lang_col=lang_col, sample=sample, dims=dims)
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = ship(docs.sparkSession, "langid", model)
     kept = docs.drop("lang_pred", "score")
     schema = pa.schema([("lang_pred", pa.string()), ("score", pa.float64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value
+        m = shared()
         for batch in batches:
             for part in slices(batch, text_col):
                 found = [features(t, dims) for t in part.column(text_col).to_pylist()]

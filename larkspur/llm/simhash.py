@@ -23,9 +23,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from larkspur.llm import golay
 from larkspur.llm.batches import slices
 from larkspur.llm.components import components
+from larkspur.llm.golay import indices
 from larkspur.sources.shared import materialize
 
 BITS, ERRORS = 64, 4
@@ -74,7 +74,7 @@ def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
 def keys(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(key, row) for all keys of unsigned fingerprints; pairs within ERRORS bits have a key in common."""
     seg = [(fps >> np.uint64(low)) & np.uint64((1 << n) - 1) for low, n in SEGMENTS]
-    fuzzy = [golay.indices(s) for s in seg]
+    fuzzy = [indices(s) for s in seg]
     out, rows, kind = [], [], 0
 
     def add(exact: np.ndarray, third: np.ndarray) -> None:
