@@ -63,20 +63,21 @@ def search_block(q: np.ndarray, qid: np.ndarray, x: np.ndarray, xid: np.ndarray,
     kind = np.float32 if total < 1 << 24 else np.float64 if total < 1 << 53 else object
     if kind is np.float32:
         x, q = x.astype(kind), q.astype(kind)
-    if kind is not object:
-        exact_x, exact_q = x, q
     xn = (x * x).sum(1)
     most = xn.max(initial=0) ** 0.5
     from_pivots = np.sqrt(np.maximum(0, ((q[:, None, :] - pivots[None]) ** 2).sum(2))) if len(pivots) else np.zeros((len(q), 0))
     table = np.ascontiguousarray(to_pivots.T, np.float32)
+    xn = xn.astype(np.float64)
+    low, gap, rows = np.zeros(len(x), np.float32), np.zeros(len(x), np.float32), np.zeros_like(x)
     for i in range(len(q)):
-        low = np.zeros(len(x), np.float32)
+        low[:] = 0
         for p in range(len(table)):
-            np.maximum(low, np.abs(table[p] - np.float32(from_pivots[i, p])), out=low)
-        norm = (q[i] * q[i]).sum() ** 0.5
-        low = np.maximum(0, low.astype(np.float64) - (1e-3 + 1e-6 * (norm + most)))  # for the rounding of the distances
-        both = (q[i] * q[i]).sum() + xn.astype(np.float64)
-        bound = np.ceil((both - low * low) / 2 + (1e-12 * both if kind is object else 0))
+            np.subtract(table[p], np.float32(from_pivots[i, p]), out=gap)
+            np.maximum(low, np.abs(gap, out=gap), out=low)
+        square = float((q[i] * q[i]).sum())
+        least = np.maximum(0, low.astype(np.float64) - (1e-3 + 1e-6 * (square**0.5 + most)))  # for the rounding of the distances
+        both = square + xn
+        bound = np.ceil((both - least * least) / 2 + (1e-12 * both if kind is object else 0))
         bound[xid == qid[i]] = -np.inf
         best_ids, best = np.zeros(0, np.int64), np.zeros(0, kind)
         rest, size = np.flatnonzero(np.isfinite(bound)), first
@@ -86,8 +87,13 @@ def search_block(q: np.ndarray, qid: np.ndarray, x: np.ndarray, xid: np.ndarray,
                 now, rest = rest[top[:size]], rest[top[size:]]
             else:
                 now, rest = rest, rest[:0]
-            best = np.r_[best, exact_x[now].astype(kind) @ exact_q[i].astype(kind)]
-            best_ids = np.r_[best_ids, xid[now]]
+            if kind is object:
+                score = exact_x[now].astype(kind) @ exact_q[i].astype(kind)
+            else:
+                score = np.take(x, now, axis=0, out=rows[: len(now)], mode="clip") @ q[i]
+            if len(best) == k:  # those below the k-th score so far cannot stay
+                now, score = now[score >= best[-1]], score[score >= best[-1]]
+            best, best_ids = np.concatenate([best, score]), np.concatenate([best_ids, xid[now]])
             order = np.lexsort((best_ids, -best))[:k]
             best, best_ids = best[order], best_ids[order]
             if len(best) == k:
