@@ -43,11 +43,11 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_unigram(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    from larkspur.llm.unigram import decode, encode
+    from larkspur.llm.unigram import encode
 
     model = public_tokenizers.path("piece_bpe_32k.model")
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    coded = decode(encode(docs, model), model)
+    coded = encode(docs, model, decode_to="decoded")
     return coded.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_ids"),

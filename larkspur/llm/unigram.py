@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from larkspur.llm.batches import slices
-from larkspur.sources.shared import per_worker
+from larkspur.sources.shared import ship
 
 MARKER = "▁"
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = range(1, 7)
@@ -91,6 +91,8 @@ class Model:
             usable = np.isin(kinds, (NORMAL, USER_DEFINED))
             score = -np.log1p(-np.minimum(score, 0)) - np.log((1 / (1 - np.minimum(score, 0)))[usable].sum())
         self.score = score
+        self.lists: tuple[list, ...] | None = None  # the trie for single steps, made when first needed
+        self.kept = Parts()
         self.prefix = proto.normalizer_spec.add_dummy_prefix
         if proto.normalizer_spec.precompiled_charsmap or proto.normalizer_spec.remove_extra_whitespaces:
             raise ValueError("only models without normalization rules are supported")
@@ -160,7 +162,9 @@ class Model:
 
     def _one(self, data: bytes) -> list[int]:
         """One part of any length, step by step."""
-        base, check, value, score = per_worker(("lists", id(self)), lambda: tuple(x.tolist() for x in (self.trie.base, self.trie.check, self.trie.value, self.score)))
+        if self.lists is None:
+            self.lists = tuple(x.tolist() for x in (self.trie.base, self.trie.check, self.trie.value, self.score))
+        base, check, value, score = self.lists
         n = len(data)
         best, piece, back = [-np.inf] * (n + 1), [-1] * (n + 1), [0] * (n + 1)
         best[0] = 0.0
@@ -312,32 +316,41 @@ def _with(df: DataFrame, added: list[T.StructField]) -> tuple[list[str], T.Struc
     return kept, T.StructType([T.StructField(c, df.schema[c].dataType) for c in kept] + added)
 
 
-def encode(docs: DataFrame, model: str, *, text_col: str = "text") -> DataFrame:
-    """``docs`` with ``ids`` (array<int>) and ``log_score`` for every row; both replace columns of these names.
+def _texts(texts: list[str], gap: np.ndarray) -> pa.Array:
+    return pa.array([None if g else t for t, g in zip(texts, gap.tolist(), strict=True)], pa.string())
+
+
+def encode(docs: DataFrame, model: str, *, text_col: str = "text", decode_to: str | None = None) -> DataFrame:
+    """``docs`` with ``ids`` (array<int>) and ``log_score`` for every row, and the text of its ids in ``decode_to`` if given.
+
+    The new columns replace those of their names.
 
     Null text gives null ids and score; empty text gives no ids and score 0. Equal texts get equal ids. ``model`` is the
     path of a model file on the driver. An empty table gives no rows.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(Model(model))
-    kept, schema = _with(docs, [T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("log_score", T.DoubleType())])
+    shared = ship(docs.sparkSession, "unigram", Model(model))
+    added = [T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("log_score", T.DoubleType())]
+    kept, schema = _with(docs, added + ([T.StructField(decode_to, T.StringType())] if decode_to else []))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = per_worker(("parts", model), Parts)
         for batch in batches:
             for part in slices(batch, text_col, 2 << 20):
                 texts = part.column(text_col)
                 gap = texts.is_null().to_numpy(zero_copy_only=False)
-                ids, counts, score = shared.value.encode(texts.to_pylist(), cache)
+                ids, counts, score = shared().encode(texts.to_pylist(), shared().kept)
                 ends = pa.array(np.cumsum(np.r_[0, counts]).astype(np.int32), mask=np.r_[gap, False])
                 lists = pa.ListArray.from_arrays(ends, pa.array(ids))
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in kept), lists, pa.array(score, mask=gap)], [*kept, "ids", "log_score"])
+                cols = [*(part.column(c) for c in kept), lists, pa.array(score, mask=gap)]
+                if decode_to:
+                    cols.append(_texts(shared().decode(ids, counts), gap))
+                yield pa.RecordBatch.from_arrays(cols, schema.names)
 
     return docs.mapInArrow(run, schema)
 
 
 def decode(tokens: DataFrame, model: str, *, ids_col: str = "ids", to: str = "decoded") -> DataFrame:
     """``tokens`` with the text of its ids in column ``to``; null ids give null, an id outside the model an error."""
-    shared = tokens.sparkSession.sparkContext.broadcast(Model(model))
+    shared = ship(tokens.sparkSession, "unigram", Model(model))
     kept, schema = _with(tokens, [T.StructField(to, T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -347,7 +360,7 @@ def decode(tokens: DataFrame, model: str, *, ids_col: str = "ids", to: str = "de
                 lists = part.column(ids_col)
                 gap = lists.is_null().to_numpy(zero_copy_only=False)
                 counts = np.where(gap, 0, lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
-                text = shared.value.decode(lists.flatten().to_numpy(zero_copy_only=False), counts)
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in kept), pa.array([None if g else t for t, g in zip(text, gap.tolist(), strict=True)], pa.string())], [*kept, to])
+                text = shared().decode(lists.flatten().to_numpy(zero_copy_only=False), counts)
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in kept), _texts(text, gap)], schema.names)
 
     return tokens.mapInArrow(run, schema)

@@ -107,6 +107,8 @@ def test_query(spark):
 def test_edges(spark):
     docs = edge_documents(spark)
     got = unigram.decode(unigram.encode(docs, PATH), PATH).collect()
+    key = lambda r: (str(r.doc_id), str(r.ids), str(r.decoded))
+    assert sorted(map(key, unigram.encode(docs, PATH, decode_to="decoded").collect())) == sorted(map(key, got))
     want = {}
     for r in edge_rows():
         want.setdefault(r[0], []).append(r[1])
