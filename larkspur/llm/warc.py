@@ -87,7 +87,8 @@ def parse(data: bytes) -> tuple[dict[str, str], bytes]:
 
 
 def open_folder(uri: str) -> tuple[pafs.FileSystem, str]:
-    """The file system and path of a folder URI (file, hdfs, s3, gs or a plain path)."""
+    """The file system and path of a folder URI (file, hdfs, s3 or s3a, gs or a plain path)."""
+    uri = f"s3://{uri.removeprefix('s3a://')}" if uri.startswith("s3a://") else uri
     return pafs.FileSystem.from_uri(uri if "://" in uri else "file://" + uri.removeprefix("file:"))
 
 
