@@ -109,6 +109,41 @@ def pack(requests: DataFrame, nodes: DataFrame, pool: str) -> DataFrame:
     return requests.groupBy(pool).cogroup(nodes.groupBy(pool)).applyInPandas(run, f"{pool} {kind}, task long, node long")
 
 
+SHAPE = ("gpu", "min_cpu", "max_cpu", "memory", "scratch")
+
+
+def place_shapes(shapes: pd.DataFrame, nodes: pd.DataFrame) -> list[int]:
+    """How many requests of each row of ``shapes`` (SHAPE and n) find a place, by the rule of ``pack_requests``."""
+    free = [[n.gpu, n.cpu, n.memory, n.scratch, n.node] for n in nodes.itertuples()]
+    placed = dict.fromkeys(shapes.index, 0)
+    order = shapes.sort_values(["gpu", "min_cpu", "memory", "scratch", "max_cpu"], ascending=[False, False, False, False, True])
+    for r in order.itertuples():
+        while placed[r.Index] < r.n:
+            best = min((f for f in free if f[0] >= r.gpu and f[1] >= r.min_cpu and f[2] >= r.memory and f[3] >= r.scratch), default=None)
+            if best is None:
+                break
+            best[0] -= r.gpu
+            best[1] = max(0, best[1] - r.max_cpu)
+            best[2] -= r.memory
+            best[3] -= r.scratch
+            placed[r.Index] += 1
+            if not (r.gpu or r.max_cpu or r.memory or r.scratch):  # takes nothing: all of them fit
+                placed[r.Index] = r.n
+    return list(placed.values())
+
+
+def scale_out_plan(requests: DataFrame, nodes: DataFrame, pool: str) -> DataFrame:
+    """(pool, SHAPE, n): how many nodes of each shape a pool lacks. Requests are counted by shape first, so a pool's
+    placement sees its shapes and nodes, however many requests there are."""
+    counts = requests.groupBy(pool, *SHAPE).agg(F.count("*").alias("n"))
+
+    def run(key: tuple, r: pd.DataFrame, n: pd.DataFrame) -> pd.DataFrame:
+        r["n"] -= place_shapes(r, n)
+        return r[r["n"] > 0]
+
+    return counts.groupBy(pool).cogroup(nodes.groupBy(pool)).applyInPandas(run, counts.schema)
+
+
 def round_robin(requests: DataFrame, hosts: list[tuple[str, int, int]], pool: str = "pool") -> DataFrame:
     """(pool, task, host): the first of a pool's hosts that fits each request, which then goes to the end of the list.
 

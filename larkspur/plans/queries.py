@@ -504,6 +504,14 @@ def best_fit_packing(spark: SparkSession, sf: str) -> DataFrame:
     return schedule.pack(tasks, nodes, "pool")
 
 
+@query()
+def scale_out_plan(spark: SparkSession, sf: str) -> DataFrame:
+    """What the nodes of each pool cannot take, by shape."""
+    tasks = relation(spark, sf, "tasks").where("state = 'queued'").withColumn("pool", F.col("launcher") % 5)
+    nodes = relation(spark, sf, "nodes").select((F.col("node") % 5).alias("pool"), "node", "cpu", "memory", "scratch", F.size("gpu").alias("gpu"))
+    return schedule.scale_out_plan(tasks, nodes, "pool")
+
+
 @query()
 def round_robin_hosts(spark: SparkSession, sf: str) -> DataFrame:
     tasks = relation(spark, sf, "tasks").where("state = 'queued'").select(F.col("launcher").alias("pool"), F.col("key").alias("task"), F.col("min_cpu").alias("cpu"), "memory")

@@ -81,3 +81,12 @@ def test_round_robin(spark):
     df = spark.createDataFrame(rows, "pool long, task long, cpu int, memory int")
     got = {(r.pool, r.task): r.host for r in schedule.round_robin(df, [("a", 2, 100), ("b", 4, 100)]).collect()}
     assert got == {(1, 1): "a", (1, 2): "b", (1, 3): "a", (1, 4): None, (2, 1): "a"}
+
+
+def test_plan_counts_what_packing_leaves(spark):
+    import larkspur.plans.queries as q
+
+    sf = "/root/testdata/sf0.001"
+    left = q.QUERIES["best_fit_packing"](spark, sf).where("node is null").count()
+    plan = q.QUERIES["scale_out_plan"](spark, sf).collect()
+    assert sum(r.n for r in plan) == left > 0
