@@ -10,22 +10,22 @@ from pyspark.sql import functions as F
 from larkspur.sources.shared import materialize
 
 
-def closure(edges: DataFrame, child: str = "child", parent: str = "parent", most: int = 64) -> DataFrame:
+def closure(edges: DataFrame, child: str = "child", parent: str = "parent", most: int = 1 << 20) -> DataFrame:
     """(child, parent, depth): every ancestor of every node, at its least depth.
 
-    Paths double in each round: a table of ancestors up to 2^k steps joins itself on where paths meet. Cycles end by
-    themselves, since only new pairs go on.
+    Paths double in each round: a shortest path of more than L and up to 2 L steps is one of exactly L steps and one of at
+    most L. In a tree each pair is found once. Cycles end by themselves, since only new pairs go on.
     """
     known = materialize(edges.select(F.col(child).alias("child"), F.col(parent).alias("parent"), F.lit(1).alias("depth")).distinct(), "closure")
-    size = known.count()
-    for _ in range(most.bit_length()):
-        far = known.alias("a").join(known.alias("b"), F.col("a.parent") == F.col("b.child"))
+    size, length = known.count(), 1
+    while length < most:
+        far = known.where(F.col("depth") == length).alias("a").join(known.alias("b"), F.col("a.parent") == F.col("b.child"))
         longer = far.select(F.col("a.child").alias("child"), F.col("b.parent").alias("parent"), (F.col("a.depth") + F.col("b.depth")).alias("depth"))
         known = materialize(known.union(longer).groupBy("child", "parent").agg(F.min("depth").alias("depth")), "closure")
         now = known.count()
         if now == size:
             break
-        size = now
+        size, length = now, 2 * length
     return known
 
 
