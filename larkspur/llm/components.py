@@ -14,6 +14,10 @@ from pyspark.sql import functions as F
 from larkspur.sources.shared import materialize, remove
 
 
+#: Edges to a file of an edge table.
+PER_FILE = 200_000
+
+
 def _star(edges: DataFrame, large: bool) -> DataFrame:
     """edges: (u, v); the star of each u over its v."""
     least = edges.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
@@ -32,16 +36,18 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """
     now = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v"), (F.col(a).isNull() | F.col(b).isNull()).alias("gap"))
     now = materialize(now.where("not gap and u > v").select("u", "v").distinct(), "edges")
-    before = None
+    rows, before = now.count(), None
     while True:
+        # few edges go to few files
+        files = -(-rows // PER_FILE) or 1
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = materialize(_star(both, True).distinct(), "large")
+        large = materialize(_star(both, True).distinct().coalesce(files), "large")
         # a node's neighbours that are not larger: the edges as they are, since u > v
-        new = materialize(_star(large, False).distinct(), "small")
+        new = materialize(_star(large, False).distinct().coalesce(files), "small")
         mark = new.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         remove(now.sparkSession, now)
         remove(now.sparkSession, large)
         now = new
         if mark == before:
             return now.select(F.col("u").alias("node"), F.col("v").alias("component")).union(now.select(F.col("v"), F.col("v")).distinct())
-        before = mark
+        rows, before = mark[0], mark

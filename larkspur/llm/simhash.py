@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from larkspur.llm.batches import slices
-from larkspur.llm.components import components
+from larkspur.llm.components import PER_FILE, components
 from larkspur.llm.golay import indices
 from larkspur.sources.shared import materialize
 
@@ -217,7 +217,8 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     ignored; an empty table gives no rows.
     """
     fps = materialize(fingerprints(docs, id_col=id_col, text_col=text_col, width=width), "fingerprints")
-    least = materialize(fps.groupBy("fp").agg(F.min(id_col).alias("least")), "fingerprint-least")
+    files = -(-fps.count() // PER_FILE) or 1  # small tables are few files
+    least = materialize(fps.groupBy("fp").agg(F.min(id_col).alias("least")).coalesce(files), "fingerprint-least")
     found = components(links(least))
     part = found.join(least, found.node == least.fp).select("fp", "least", "component")
     of = part.groupBy("component").agg(F.min("least").alias("component_id"))
@@ -225,5 +226,5 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     # fingerprints without a link keep their own least id
     every = least.join(merged, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
     # as a table of its own, so that the join to the documents can split a fingerprint that very many share
-    every = materialize(every, "fingerprint-components")
+    every = materialize(every.coalesce(files), "fingerprint-components")
     return fps.join(every, "fp").select(id_col, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
