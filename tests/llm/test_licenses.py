@@ -1,6 +1,7 @@
 import math
 import re
 from collections import Counter
+from pathlib import Path
 
 from pyspark.sql import functions as F
 
@@ -77,3 +78,55 @@ def test_native_plan(spark):
     assert "Python" not in plan
     assert "Arrow" not in plan
     assert df.select(F.size(licenses.terms_of("text"))).first()[0] == 5
+
+
+GPL2_HEADER = """This program is free software; you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation; either version 2 of the License, or
+(at your option) any later version.
+
+This program is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE."""
+MIT_BODY = """Copyright (c) 2019 Some One
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
+AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER
+LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM,
+OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE
+SOFTWARE.
+"""
+
+
+def test_texts_headers_and_tags(spark):
+    texts = {f.stem: f.read_text() for f in (Path(licenses.__file__).parent / "license_texts").glob("*.txt")}
+    commented = "/*\n" + "\n".join(f" * {x}".rstrip() for x in GPL2_HEADER.split("\n")) + "\n */\nint main;"
+    hashed = "\n".join(f"# {x}".rstrip() for x in MIT_BODY.split("\n")) + "\nimport os\n"
+    got = scan(
+        spark,
+        [
+            *((f"{k}/LICENSE", "Some project, all of it\n\n" + t) for k, t in texts.items()),
+            ("mit/LICENSE", MIT_BODY), ("agpl/COPYING", texts["GPL-3.0"].replace("GENERAL", "AFFERO GENERAL").replace("29 June", "19 November")),
+            ("src/a.c", commented), ("src/b.py", hashed), ("src/c.py", "#!x\n# SPDX-License-Identifier: GPL-2.0-or-later WITH x\ny"),
+            ("src/d.c", "// SPDX-License-Identifier: Apache-2.0\ny"), ("src/e.c", "// SPDX-License-Identifier: Zlib\ny"),
+            ("src/f.js", "/* SPDX-License-Identifier: (ISC OR MIT) */\ny"), ("src/g", "We have a license to sing and the copyright of the song"),
+        ],
+    )
+    for k in texts:
+        assert (got[f"{k}/LICENSE"].license, got[f"{k}/LICENSE"].origin) == (k, "own")
+    assert got["mit/LICENSE"].license == "MIT"
+    assert got["agpl/COPYING"].license == "AGPL-3.0"
+    want = {"a.c": "GPL-2.0", "b.py": "MIT", "c.py": "GPL-2.0", "d.c": "Apache-2.0", "e.c": None, "f.js": "ISC", "g": None}
+    assert {k: got[f"src/{k}"].license for k in want} == want
