@@ -7,8 +7,9 @@ corpus, copies included, and the short notices. The best template of cosine ``le
 
 Next to the short notices stand further templates: titles, standard headers and full texts. They are scored with the
 same weights but are not counted in N and df, so the scores of the short notices do not depend on them. An SPDX tag names
-its licenses exactly (score 1). For headers, a further candidate is the comment a file begins with and, where its comment
-markers hide them, its paragraphs; like the further templates, further candidates do not count in N and df.
+its licenses exactly (score 1). For headers, further candidates are the comment a file begins with, its paragraphs where
+comment markers hide them, and windows of two lines or more around each line with a cue, without comment markers; like the
+further templates, they do not count in N and df. A line that is a short notice word for word needs no windows.
 
 A license file gives its license to its directory. A file without an own license takes that of the nearest
 directory above it: paths are joined through their directories, each taken once, against the ancestors' licenses.
@@ -20,6 +21,7 @@ skewed keys at run time.
 
 from __future__ import annotations
 
+import re
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -120,6 +122,8 @@ LICENSE_FILE = r"(?i)^(un)?(licen[sc]e|copying|notice|copyright)s?([-._].*)?$"
 #: The comment a text begins with, and the comment markers around a line.
 COMMENT = r"^\s*(/\*(?:[^*]|\*(?!/))*+\*/|<!--(?:[^-]|-(?!->))*+-->|(?:[ \t]*+(?://|#|--|;|%)[^\n]*+\n?)++)"
 MARKERS = r"(?m)^[ \t]*(?:/\*+|\*+/|\*+|//+|#+|--+|;+|%+|<!--)?[ \t]*|[ \t]*(?:\*+/|-->)?[ \t\r]*$"
+#: Lines of the longest window: the longest short notice, wrapped at 30 characters.
+WINDOW = 5
 PLACES = 6
 
 
@@ -146,7 +150,18 @@ def candidates(files: DataFrame, cue: str = CUE) -> DataFrame:
     units = F.array_distinct(F.concat(lines, paragraphs, whole))
     comment = F.regexp_replace(F.regexp_extract("text", COMMENT, 1), MARKERS, "")
     head = F.filter(F.concat(F.split(comment, PARAGRAPH), F.array(comment)), lambda x: x.rlike(cue))
-    some = files.where(F.col("text").rlike(cue) | F.col("is_license_file")).select("path", "is_license_file", units.alias("units"), head.alias("more"))
+    notices = [" ".join(re.findall(TERM.replace(r"\p{L}", r"[^\W\d_]"), t.lower())) for t in TEMPLATES.values()]
+    lined = files.where(F.col("text").rlike(cue) | F.col("is_license_file")).withColumn("bare", F.split(F.regexp_replace("text", MARKERS, ""), "\n"))
+    at = F.filter(F.sequence(F.lit(0), F.size("bare") - 1), lambda i: F.get("bare", i).rlike(cue) & ~F.concat_ws(" ", terms_of(F.get("bare", i))).isin(notices))
+    spans = F.array(*(F.struct(F.lit(before).alias("before"), F.lit(n).alias("n")) for n in range(2, WINDOW + 1) for before in range(n)))
+
+    def window(i: Column, span: Column) -> Column:
+        begin = F.greatest(i - span["before"], F.lit(0))
+        return F.array_join(F.slice("bare", begin + 1, i - span["before"] + span["n"] - begin), "\n")
+
+    windows = F.flatten(F.transform("at", lambda i: F.transform(spans, lambda span: window(i, span))))
+    some = lined.select("path", "is_license_file", "bare", units.alias("units"), head.alias("head"), at.alias("at"))
+    some = some.select("path", "is_license_file", "units", F.array_distinct(F.concat("head", windows)).alias("more"))
 
     def marked(found: Column | str, counted: bool) -> Column:
         return F.transform(found, lambda x: F.struct(x.alias("unit"), F.lit(counted).alias("counted")))

@@ -130,3 +130,16 @@ def test_texts_headers_and_tags(spark):
     assert got["agpl/COPYING"].license == "AGPL-3.0"
     want = {"a.c": "GPL-2.0", "b.py": "MIT", "c.py": "GPL-2.0", "d.c": "Apache-2.0", "e.c": None, "f.js": "ISC", "g": None}
     assert {k: got[f"src/{k}"].license for k in want} == want
+
+
+def test_wrapped_notices(spark):
+    got = scan(
+        spark,
+        [
+            ("a", "This is a tool for people who sort\nthe mail of others by its color.\nThis work is licensed under the GNU General Public\nLicense, version 2.\nMore of it is told in the manual."),
+            ("b.py", "# a tool for people\n# This Source Code Form is\n# subject to the terms of the\n# Mozilla Public License, v.\n# 2.0. And so on, as told in the long manual of this tool"),
+            ("c.c", "x = 1;\n// Licensed under the Apache\n// License, Version 2.0.\ny = 2;"),
+        ],
+    )
+    assert {k: (r.license, r.score) for k, r in got.items() if k != "b.py"} == {"a": ("GPL-2.0", 1.0), "c.c": ("Apache-2.0", 1.0)}
+    assert got["b.py"].license == "MPL-2.0"
