@@ -23,7 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from larkspur.llm.batches import slices
@@ -216,11 +216,11 @@ def group_links(lines: list[tuple[bytes, str]], edits: int) -> list[tuple[bytes,
     return edges
 
 
-def _flat(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[tuple[list, list[int], list[str]]]:
+def _flat(batches: Iterator[pa.RecordBatch], least: int, name: str = "doc_id") -> Iterator[tuple[list, list[int], list[str]]]:
     for batch in batches:
         for part in slices(batch, "text", 1 << 20):
             docs, numbers, lines = [], [], []
-            for doc, text in zip(part.column("doc_id").to_pylist(), part.column("text").to_pylist(), strict=True):
+            for doc, text in zip(part.column(name).to_pylist(), part.column("text").to_pylist(), strict=True):
                 for i, line in eligible(text, least):
                     docs.append(doc)
                     numbers.append(i)
@@ -357,32 +357,46 @@ def _xxhash64_of_longs(values: np.ndarray, seed: int = 42) -> np.ndarray:
     return (h & np.uint64((1 << 62) - 1)).astype(np.int64)  # a power of two below divides 2^62
 
 
-def classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", edits: int = 2, least: int = 24) -> DataFrame:
-    """One row per line that takes part: id, ``line_no`` (from 0), ``class_doc_id``, ``class_line_no`` and ``keep``.
+def _row_key(text: str | Column) -> Column:
+    """What tells rows of one id, or without an id, apart."""
+    return F.unhex(F.md5(F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))))
 
-    The class of a line is what links reach from it; it is named by its first occurrence in order of id and number, and
-    that occurrence alone has ``keep``. Null and empty texts have no lines. A null id comes before all others. Ids
-    are taken to tell rows apart: repeated rows get the same result each. Other columns are ignored; an empty table
-    gives no rows. ``least`` is greater than ``edits``.
-    """
+
+def _classes(docs: DataFrame, id_col: str, text_col: str, edits: int, least: int) -> DataFrame:
+    """(doc_id, row, line_no, class): class is a struct (doc_id, line_no, row); equal to the line's own where the line is kept."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
     def occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for docs_, numbers, lines in _flat(batches, least):
-            yield pa.RecordBatch.from_arrays([pa.array(docs_, pa.int64()), pa.array(numbers, pa.int32()), pa.array([digest(t) for t in lines], pa.binary())], ["doc_id", "line_no", "id"])
+        for docs_, numbers, lines in _flat(batches, least, "name"):
+            doc, row = [d["doc_id"] for d in docs_], [d["row"] for d in docs_]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(doc, pa.int64()), pa.array(row, pa.binary()), pa.array(numbers, pa.int32()), pa.array([digest(t) for t in lines], pa.binary())], ["doc_id", "row", "line_no", "id"]
+            )
 
-    every = materialize(rows.mapInArrow(occurrences, "doc_id long, line_no int, id binary"), "lines")
-    first = every.groupBy("id").agg(F.min(F.struct("doc_id", "line_no")).alias("first"), F.count("*").alias("n"))
+    named = rows.select(F.struct("doc_id", _row_key("text").alias("row")).alias("name"), "text")
+    every = materialize(named.mapInArrow(occurrences, "doc_id long, row binary, line_no int, id binary"), "lines")
+    own = F.struct("doc_id", "line_no", "row")
+    first = every.groupBy("id").agg(F.min(own).alias("first"), F.count("*").alias("n"))
     linked = components(line_links(rows, edits, least))
     named = first.join(linked, first.id == linked.node, "left").select("id", "first", "n", "component")
     head = named.where("component is not null").groupBy("component").agg(F.min("first").alias("head"))
     of = named.where("n > 1 or component is not null").join(head, "component", "left")
     of = materialize(of.select("id", F.coalesce("head", "first").alias("class")), "line-classes")
-    own = F.struct("doc_id", "line_no")
     out = every.join(of, "id", "left").withColumn("class", F.coalesce("class", own))
-    return out.select(
-        F.col("doc_id").alias(id_col), "line_no", F.col("class.doc_id").alias("class_doc_id"), F.col("class.line_no").alias("class_line_no"), own.eqNullSafe(F.col("class")).alias("keep")
-    )
+    return out.select("doc_id", "row", "line_no", "class", own.eqNullSafe(F.col("class")).alias("keep"))
+
+
+def classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", edits: int = 2, least: int = 24) -> DataFrame:
+    """One row per line that takes part: id, ``line_no`` (from 0), ``class_doc_id``, ``class_line_no`` and ``keep``.
+
+    The class of a line is what links reach from it; it is named by its first occurrence in order of id and number (of
+    rows that share both, in order of a digest of the text), and that occurrence alone has ``keep``. Null and empty texts have no lines. A null id
+    comes before all others. Rows are told apart by id and text, so different texts without an id, or of one id, are different
+    documents; repeated rows get the same result each. Other columns are ignored; an empty table
+    gives no rows. ``least`` is greater than ``edits``.
+    """
+    found = _classes(docs, id_col, text_col, edits, least)
+    return found.select(F.col("doc_id").alias(id_col), "line_no", F.col("class.doc_id").alias("class_doc_id"), F.col("class.line_no").alias("class_line_no"), "keep")
 
 
 def deduplicate(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", edits: int = 2, least: int = 24) -> DataFrame:
@@ -390,9 +404,9 @@ def deduplicate(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
 
     Null texts stay null; a text all of whose lines go becomes empty.
     """
-    found = classes(docs, id_col=id_col, text_col=text_col, edits=edits, least=least)
-    gone = found.where("not keep").groupBy(F.col(id_col).alias("_id")).agg(F.collect_set("line_no").alias("_gone"))
+    found = _classes(docs, id_col, text_col, edits, least)
+    gone = found.where("not keep").groupBy(F.col("doc_id").alias("_id"), F.col("row").alias("_row")).agg(F.collect_set("line_no").alias("_gone"))
     lines = F.filter(F.split(text_col, "\n"), lambda _, i: ~F.array_contains("_gone", i))
     text = F.when(F.col("_gone").isNull(), F.col(text_col)).otherwise(F.array_join(lines, "\n"))
-    joined = docs.join(gone, docs[id_col].cast("long").eqNullSafe(gone["_id"]), "left")
+    joined = docs.join(gone, docs[id_col].cast("long").eqNullSafe(gone["_id"]) & (_row_key(docs[text_col].cast("string")) == gone["_row"]), "left")
     return joined.select(*(text.alias(c) if c == text_col else docs[c] for c in docs.columns))

@@ -133,3 +133,16 @@ def test_texts_without_repeated_lines(spark):
     got = lines.deduplicate(df).collect()
     assert got[0].asDict().keys() == {"doc_id", "text", "_id"}
     assert {r.doc_id: r.text for r in got} == {1: f"{long}\nshort", 2: "other\nshort", 3: None, 4: "", 5: ""}
+
+
+def test_rows_without_or_with_one_id(spark):
+    a, b, c = (f"{x} line that is long enough to count" for x in ("the first unique", "some other thing in a", "here is the last"))
+    rows = [(None, f"{a}\n{b}\n{b}"), (None, f"x\ny\n{c}"), (None, f"z\n{b}"), (5, f"{a}\nu"), (5, f"{c}\nv"), (6, "v\nw")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(r.text for r in lines.deduplicate(df).collect())
+    assert sum(t.split("\n").count(b) for t in got) == 1
+    assert sorted(t.replace(f"\n{b}", "") for t in got) == sorted([a, f"x\ny\n{c}", "z", "u", "v", "v\nw"])
+    assert sum(r.keep for r in lines.classes(df).collect()) == 3
+    seven = f"{a}, seven\n{c}, seven"
+    df = spark.createDataFrame([(7, f"{a}, seven\n{a}, seven"), (7, seven)], "doc_id long, text string")
+    assert sum(t.count(f"{c}, seven") for t in (r.text for r in lines.deduplicate(df).collect())) == 1
