@@ -2,8 +2,9 @@
 
 A tokenizer reads tags, text, comments and raw-text elements; a tree builder adds implied tags (html, head, body,
 table rows and bodies) and closes elements whose end tags may be left out. Elements that are never rendered, the
-``hidden`` attribute, inline styles and simple rules of the page's own style sheets (tag, .class, #id, tag.class with
-display: none or visibility: hidden) decide what is visible. The renderer lays out blocks on lines of their
+``hidden`` attribute, inline styles and the page's own style sheets decide what is visible: of the rules whose selector is one compound
+of tag, classes and id the cascade is followed. A rule hides only where it holds on any screen; one under a condition, or of a selector
+that is not evaluated, can only show (over rules of the sheets, not over inline styles), so no text is lost to it. The renderer lays out blocks on lines of their
 own with a blank line around paragraphs and headings, lists with markers and indentation, preformatted text as it is,
 and tables with padded columns.
 """
@@ -64,9 +65,15 @@ TOKEN = re.compile(r"<(?:(!--)|(/?)([a-zA-Z][^\s/>\x00]*)|([!?]|/(?=[^a-zA-Z])))
 ATTRIBUTE = re.compile(r"""[\s/]*([^\s/>=][^\s/>=]*)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]*)))?""")
 TAG_END = re.compile(r"""(?:[^>"']|(?<==)"[^"]*"|(?<==)'[^']*'|(?<==\s)"[^"]*"|(?<==\s)'[^']*'|["'])*?>""")
 BLANKS = re.compile(f"[{SPACE}]+")
-RULE = re.compile(r"([^{}]+)\{([^{}]*)\}")
-HIDES = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))\b", re.I)
-SIMPLE = re.compile(r"([a-zA-Z][\w-]*)?(?:([.#])([\w-]+))?$")
+CSS = re.compile(r"([^{};]*)([{};]|$)")
+COMPOUND = re.compile(r"(\*|[a-zA-Z][\w-]*)?((?:[.#][\w-]+)*)$")
+NAMES = re.compile(r"([.#])([\w-]+)")
+#: Not evaluated; a selector with a state that a page does not start in is not met.
+COMPLEX = re.compile(r"[\s>+~:\[&]")
+STATES = re.compile(r":(?:hover|focus|active|visited|target)", re.I)
+HIDDEN = {"display": ("none",), "visibility": ("hidden", "collapse")}
+#: Levels of the cascade.
+SHEET, SHOWS, INLINE, IMPORTANT = 0, 1, 2, 3
 
 
 class Node:
@@ -90,7 +97,7 @@ def parse(page: str) -> tuple[Node, list[str]]:
     head, body = Node("head", {}), Node("body", {})
     root.children = [head, body]
     stack: list[Node] = [root, head]
-    styles: list[str] = []
+    styles: list[str] = []  # with their media
 
     def in_body() -> None:
         if stack[1] is head:
@@ -208,7 +215,7 @@ def parse(page: str) -> tuple[Node, list[str]]:
                 at = n if stop is None else stop.start()
                 start(name, attrs)
                 if name == "style":
-                    styles.append(data)
+                    styles.append(f"@media {attrs['media']}{{{data}}}" if attrs.get("media", "").strip() else data)
                 if data and name != "script":
                     stack[-1].children.append(entities.unescape(data) if name in RCDATA else data)
             elif name == "plaintext":
@@ -226,25 +233,97 @@ def parse(page: str) -> tuple[Node, list[str]]:
     return root, styles
 
 
-def hiding_rules(styles: list[str]) -> frozenset[tuple[str, str, str]]:
-    """(tag or '', '.' or '#' or '', name) of the simple selectors that hide."""
-    found = set()
+def declared(body: str) -> list[tuple[str, bool, bool]]:
+    """(property, hides, important) of the declarations of display and visibility."""
+    found = []
+    for part in body.split(";"):
+        name, _, value = part.partition(":")
+        name, value = name.strip().lower(), value.strip().lower()
+        if name in HIDDEN and value:
+            found.append((name, value.split("!")[0].strip() in HIDDEN[name], "!" in value))
+    return found
+
+
+def applies(prelude: str) -> bool | None:
+    """Whether the rules of an at-rule hold on a screen; None where that depends on more."""
+    name, _, rest = prelude.partition(" ") if "(" not in prelude.split(" ")[0] else (prelude.split("(")[0], "", "(")
+    if name == "@layer":
+        return True
+    if name != "@media":
+        return None
+    found = []
+    for query in rest.split(","):
+        q = " ".join(query.lower().split()).removeprefix("only ")
+        if q in ("", "all", "screen", "not print", "not speech"):
+            found.append(True)
+        elif q in ("not all", "not screen") or re.match(r"(?:print|speech)\b", q):
+            found.append(False)
+        else:
+            found.append(None)
+    return True if True in found else None if None in found else False
+
+
+def sheet_rules(styles: list[str]) -> list[tuple[str, str, bool | None]]:
+    """(selectors, declarations, whether the rule holds) of style rules in order, also of those within at-rules."""
+    found = []
     for style in styles:
-        if "none" not in style and "hidden" not in style and "collapse" not in style:
+        stack: list[list] = []  # prelude, declarations, state
+        for m in CSS.finditer(re.sub(r"/\*.*?\*/|<!--|-->", "", style, flags=re.S)):
+            text, end = m[1].strip(), m[2]
+            if end == "{":
+                outer = stack[-1] if stack else ["", [], True]
+                if text.startswith("@"):
+                    here = applies(text)
+                    state = False if False in (here, outer[2]) else True if here and outer[2] else None
+                    stack.append([outer[0], [], state])
+                else:  # a nested rule is not evaluated
+                    stack.append([f"& {text}" if outer[0] else text, [], outer[2]])
+                continue
+            if stack and text:
+                stack[-1][1].append(text)
+            if end == "}" and stack:
+                selectors, body, state = stack.pop()
+                if selectors and body:
+                    found.append((selectors, ";".join(body), state))
+        found += [(selectors, ";".join(body), state) for selectors, body, state in reversed(stack) if selectors and body]
+    return found
+
+
+def hiding_rules(styles: list[str]) -> dict[str, list[tuple]]:
+    """By .class, #id, tag or * of a selector: (classes and ids, tag, property, rank, hides). Empty if nothing hides."""
+    if not any(x in style.lower() for style in styles for x in ("none", "hidden", "collapse")):
+        return {}
+    rules: dict[str, list[tuple]] = {}
+    any_hides = False
+    for order, (selectors, body, state) in enumerate(sheet_rules(styles)):
+        facts = declared(body)
+        if state is False or not facts:
             continue
-        for m in RULE.finditer(re.sub(r"/\*.*?\*/", "", style, flags=re.S)):
-            if HIDES.search(m[2]):
-                for selector in m[1].split(","):
-                    s = SIMPLE.match(selector.strip())
-                    if s and (s[1] or s[2]):
-                        found.add(((s[1] or "").lower(), s[2] or "", s[3] or ""))
-    return frozenset(found)
+        for selector in selectors.split(","):
+            selector = selector.strip()
+            if not selector or STATES.search(selector):
+                continue
+            sure = state and not COMPLEX.search(selector)
+            m = COMPOUND.match(re.split(r"[:\[]", re.split(r"[\s>+~&]+", selector)[-1])[0])
+            if not m:
+                continue
+            names = NAMES.findall(m[2])
+            tag = "" if m[1] in (None, "*") else m[1].lower()
+            weight = (sum(k == "#" for k, _ in names), sum(k == "." for k, _ in names), bool(tag))
+            key = "".join(names[-1]) if names else tag or "*"
+            for name, hides, important in facts:
+                if hides and not sure:
+                    continue
+                any_hides |= hides
+                level = (SHEET if sure else SHOWS) + IMPORTANT * important
+                rules.setdefault(key, []).append((frozenset("".join(n) for n in names), tag, name, (level, weight, order), hides))
+    return rules if any_hides else {}
 
 
 class Layout:
     """Collects lines: inline text with collapsed white space, blocks on lines of their own."""
 
-    def __init__(self, rules: frozenset[tuple[str, str, str]]):
+    def __init__(self, rules: dict[str, list[tuple]]):
         self.rules = rules
         self.lines: list[str] = []
         self.now: list[str] = []
@@ -259,14 +338,19 @@ class Layout:
             return True
         if node.name == "dialog" and "open" not in a:
             return True
-        if not a:
-            return (node.name, "", "") in self.rules if self.rules else False
-        if "hidden" in a and a["hidden"].lower() != "until-found" or node.name == "input" or "style" in a and HIDES.search(a["style"]):
+        if "hidden" in a and a["hidden"].lower() != "until-found" or node.name == "input":
             return True
+        best: dict[str, tuple] = {}
+        if "style" in a:
+            for i, (name, hides, important) in enumerate(declared(a["style"])):
+                best[name] = max(best.get(name, ((-1,), False)), ((INLINE + IMPORTANT * important, (), i), hides))
         if self.rules:
-            names = [("", "")] + [(".", c) for c in a.get("class", "").split()] + [("#", a.get("id", ""))]
-            return any((tag, *x) in self.rules for tag in ("", node.name) for x in names)
-        return False
+            names = {f".{c}" for c in a.get("class", "").split()} | ({f"#{a['id']}"} if "id" in a else set())
+            for key in ("*", node.name, *names):
+                for needs, tag, name, rank, hides in self.rules.get(key, ()):
+                    if tag in ("", node.name) and needs <= names:
+                        best[name] = max(best.get(name, ((-1,), False)), (rank, hides))
+        return any(hides for _, hides in best.values())
 
     def word(self, text: str) -> None:
         if not self.now:

@@ -86,3 +86,31 @@ def test_frame(spark):
     got = extract(df).collect()
     assert sorted(((r.page_id, r.text) for r in got), key=str) == [(1, None), (2, "a"), (2, "a"), (None, "")]
     assert extract(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize(
+    ("style", "text"),
+    [
+        ("@media print{.note,aside{display:none}}", "a\nb\nc"),
+        ("@media (max-width: 600px){.note{display:none}}", "a\nb\nc"),
+        ("@media screen, print{.note{display:none}} .x{color:red}", "b\nc"),
+        ("@import url(x);@media all{.note{display:none}}", "b\nc"),
+        (".tab{display:none}.tab.active{display:block}", "a\nb"),
+        (".note{display:none}.note{display:block}", "a\nb\nc"),
+        (".note{display:none !important}.note{display:block}", "b\nc"),
+        (".note{display:none}@media print{.note{display:block}}", "b\nc"),
+        (".note{display:none}main .note{display:block}", "a\nb\nc"),
+        (".note{display:none}.note:hover{display:block}", "b\nc"),
+        ("div{display:block}.note{display:none}", "b\nc"),
+        (".note{visibility:hidden}.note{display:block}", "b\nc"),
+        ("@supports (x:y){.note{display:none}}", "a\nb\nc"),
+    ],
+)
+def test_style_sheets(style, text):
+    assert text_of(f"<style>{style}</style><div class=note>a</div><div class='tab active'>b</div><div class=tab>c</div>") == text
+
+
+def test_media_of_a_sheet_and_inline_styles():
+    assert text_of("<style media=print>.x{display:none}</style><p class=x>a") == "a"
+    assert text_of("<style>.x{display:none}</style><p class=x style='display:block'>a") == "a"
+    assert text_of("<style>.a .x{display:block}</style><p class=x style='display:none'>a<p>b") == "b"
