@@ -179,7 +179,7 @@ def submit(t: Task, rows: DataFrame, store: Store, *, use_cache: bool = True, no
     times. Only the driver may submit.
     """
     if TaskContext.get() is not None:
-        raise SubmissionError("a task body must not submit tasks")
+        raise SubmissionError("a task body must not submit")
     rows = rows.withColumn("key", t.key())
     distinct = coalesced(rows.select("key", *dict.fromkeys(t.columns)))
     known = decoded(store.table(t), t.out).dropDuplicates(["key"])
@@ -227,7 +227,7 @@ def inherited_labels(parent: str | Column, own: str | Column) -> Column:
 
 
 def node_local(key: str, build: Callable[[], object]) -> object:
-    """A resource made once in each worker process and kept for later tasks there."""
+    """A resource made once in each worker process and kept there."""
     from larkspur.sources.shared import per_worker
 
     return per_worker(("node-local", key), build)

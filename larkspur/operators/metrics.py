@@ -1,4 +1,4 @@
-"""Metrics of the engine's state, each a DataFrame over a relation of tasks, nodes or events."""
+"""Metrics of the engine's state, each a DataFrame over a relation of submissions, nodes or events."""
 
 from __future__ import annotations
 
@@ -10,9 +10,9 @@ WAIT_BOUNDS = (0.1, 1, 10, 60, 600)
 OTHER = "_other"
 
 
-def count_by_task(tasks: DataFrame) -> DataFrame:
+def count_by_task(submissions: DataFrame) -> DataFrame:
     """(task, version, n)."""
-    return tasks.groupBy("task", "version").agg(F.count("*").alias("n"))
+    return submissions.groupBy("task", "version").agg(F.count("*").alias("n"))
 
 
 def totals(rows: DataFrame, columns: list[str], by: list[str] | None = None) -> DataFrame:

@@ -1,4 +1,4 @@
-"""What surrounds a submission: resource requests, orchestrating tasks, cancellation, retries, settings."""
+"""What surrounds a submission: resource requests, orchestrating functions, cancellation, retries, settings."""
 
 from __future__ import annotations
 
@@ -54,12 +54,12 @@ class ResourceRequest:
 
 
 def parent(body: Callable[..., R]) -> Callable[..., R]:
-    """An orchestrating function: it may submit tasks, so it runs on the driver only."""
+    """An orchestrating function: it may submit, so it runs on the driver only."""
 
     @functools.wraps(body)
     def run(*args: Any, **kwargs: Any) -> R:
         if TaskContext.get() is not None:
-            raise SubmissionError(f"{body.__name__} submits tasks and cannot run inside one")
+            raise SubmissionError(f"{body.__name__} submits and cannot run inside a submission")
         return body(*args, **kwargs)
 
     return run

@@ -1,4 +1,4 @@
-"""Scheduling queries over relations of tasks, nodes and allocations."""
+"""Scheduling queries over relations of submissions, nodes and allocations."""
 
 from __future__ import annotations
 
@@ -11,13 +11,13 @@ from pyspark.sql import functions as F
 from larkspur.functions.resources import Request, Supply, can_fulfill
 
 
-def fits(tasks: DataFrame, nodes: DataFrame, selector: Column | None = None) -> DataFrame:
+def fits(submissions: DataFrame, nodes: DataFrame, selector: Column | None = None) -> DataFrame:
     """(shape columns, n_tasks, node): which node can take which request.
 
-    Requests are grouped by shape first, so the inequality join pairs distinct shapes with nodes, not tasks with nodes.
+    Requests are grouped by shape first, so the inequality join pairs distinct shapes with nodes, not submissions with nodes.
     """
     shape = ["min_cpu", "memory", "scratch", "gpu", "image"]
-    shapes = tasks.groupBy(*shape).agg(F.count("*").alias("n_tasks"))
+    shapes = submissions.groupBy(*shape).agg(F.count("*").alias("n_tasks"))
     right = nodes.select("node", *(F.col(c).alias(f"node_{c}") for c in ("cpu", "memory", "scratch", "gpu", "image", "labels")))
     request = Request(F.col("min_cpu"), F.col("min_cpu"), F.col("memory"), F.col("scratch"), F.col("gpu"), F.col("image"))
     ok = can_fulfill(Supply.of("node_"), request)
@@ -25,14 +25,14 @@ def fits(tasks: DataFrame, nodes: DataFrame, selector: Column | None = None) ->
 
 
 def free_capacity(nodes: DataFrame, launchers: DataFrame, scheduled: DataFrame) -> DataFrame:
-    """(node, free_cpu, free_memory): idle nodes keep all; tasks of launchers without a node deduct nothing."""
+    """(node, free_cpu, free_memory): idle nodes keep all; submissions of launchers without a node deduct nothing."""
     used = scheduled.join(launchers.where("node is not null"), "launcher").groupBy("node").agg(F.sum("cpu").alias("used_cpu"), F.sum("memory").alias("used_memory"))
     left = lambda c: (F.col(c) - F.coalesce(F.col(f"used_{c}"), F.lit(0))).alias(f"free_{c}")
     return nodes.join(used, "node", "left").select("node", left("cpu"), left("memory"))
 
 
 def not_blocked(queued: DataFrame, scheduled: DataFrame, key: str = "key", lineage: str = "lineage") -> DataFrame:
-    """Queued tasks that are no ancestor of a queued or scheduled one."""
+    """Queued submissions that are no ancestor of a queued or scheduled one."""
     ancestors = queued.select(F.explode(lineage).alias(key)).union(scheduled.select(F.explode(lineage).alias(key))).distinct()
     return queued.join(ancestors, key, "left_anti")
 

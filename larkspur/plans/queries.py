@@ -115,9 +115,9 @@ def waiters(spark: SparkSession, sf: str) -> DataFrame:
     return memo.waiters(events).select("key", joined("proxies").alias("proxies"), "n")
 
 
-@query("SELECT launcher, arg_max(memory, key) AS memory, count(DISTINCT memory) AS n_requests FROM tasks GROUP BY launcher", "tasks")
+@query("SELECT launcher, arg_max(memory, key) AS memory, count(DISTINCT memory) AS n_requests FROM submissions GROUP BY launcher", "submissions")
 def newest_request(spark: SparkSession, sf: str) -> DataFrame:
-    return memo.newest_request(relation(spark, sf, "tasks"), "launcher", "memory", "key")
+    return memo.newest_request(relation(spark, sf, "submissions"), "launcher", "memory", "key")
 
 
 @query("SELECT o_orderkey AS proxy, o_custkey AS key, c_acctbal AS result FROM orders JOIN customer ON o_custkey = c_custkey")
@@ -159,11 +159,11 @@ def inherited_labels(spark: SparkSession, sf: str) -> DataFrame:
     return relation(spark, sf, "nodes").select("node", F.array_join(memo.inherited_labels(F.col("labels"), own), ",").alias("labels"))
 
 
-@query("SELECT key, CASE WHEN try_cast(task AS INTEGER) IS NULL THEN 'run again' ELSE 'hit' END AS outcome FROM tasks", "tasks")
+@query("SELECT key, CASE WHEN try_cast(task AS INTEGER) IS NULL THEN 'run again' ELSE 'hit' END AS outcome FROM submissions", "submissions")
 def decode_fallback(spark: SparkSession, sf: str) -> DataFrame:
     """A stored result that does not decode as what is expected counts as a miss."""
     decoded = F.try_to_number("task", F.lit("999999"))
-    return relation(spark, sf, "tasks").select("key", F.when(decoded.isNull(), "run again").otherwise("hit").alias("outcome"))
+    return relation(spark, sf, "submissions").select("key", F.when(decoded.isNull(), "run again").otherwise("hit").alias("outcome"))
 
 
 # --- composition ----------------------------------------------------------------------------------------------------
@@ -249,15 +249,15 @@ def scoped_paths(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "documents").select("doc_id", scoped_path(("run",), keys.data_hash("doc_id", "source"), "lang").alias("path"))
 
 
-@query("SELECT key, array_to_string([key // 4, key // 2, key], ',') AS lineage FROM tasks", "tasks")
+@query("SELECT key, array_to_string([key // 4, key // 2, key], ',') AS lineage FROM submissions", "submissions")
 def lineage_inheritance(spark: SparkSession, sf: str) -> DataFrame:
-    tasks = relation(spark, sf, "tasks").select("key", F.expr("array(key div 4, key div 2)").alias("lineage"))
-    return tasks.select("key", F.array_join(memo.inherit("lineage", "key").cast("array<string>"), ",").alias("lineage"))
+    submissions = relation(spark, sf, "submissions").select("key", F.expr("array(key div 4, key div 2)").alias("lineage"))
+    return submissions.select("key", F.array_join(memo.inherit("lineage", "key").cast("array<string>"), ",").alias("lineage"))
 
 
-@query("SELECT key, CASE WHEN gpu > 0 THEN 1 ELSE 0 END + CASE WHEN image IS NOT NULL THEN 1 ELSE 0 END AS n_logs FROM tasks", "tasks")
+@query("SELECT key, CASE WHEN gpu > 0 THEN 1 ELSE 0 END + CASE WHEN image IS NOT NULL THEN 1 ELSE 0 END AS n_logs FROM submissions", "submissions")
 def audit_logs(spark: SparkSession, sf: str) -> DataFrame:
-    rows = memo.audited(relation(spark, sf, "tasks"), F.when(F.col("gpu") > 0, "takes a gpu"), F.col("image"))
+    rows = memo.audited(relation(spark, sf, "submissions"), F.when(F.col("gpu") > 0, "takes a gpu"), F.col("image"))
     return rows.select("key", F.size("logs").alias("n_logs"))
 
 
@@ -283,9 +283,9 @@ def selectors(spark: SparkSession, sf: str) -> DataFrame:
 _FIT = "n.cpu >= t.min_cpu AND n.memory >= t.memory AND n.scratch >= t.scratch AND len(n.gpu) >= t.gpu AND (t.image IS NULL OR coalesce(t.image = n.image, false))"
 
 
-@query(f"SELECT t.min_cpu, t.memory, t.scratch, t.gpu, t.image, t.n_tasks, n.node FROM (SELECT min_cpu, memory, scratch, gpu, image, count(*) AS n_tasks FROM tasks GROUP BY ALL) t JOIN nodes n ON {_FIT} AND list_contains(n.labels, 'spot')", "tasks", "nodes")
+@query(f"SELECT t.min_cpu, t.memory, t.scratch, t.gpu, t.image, t.n_tasks, n.node FROM (SELECT min_cpu, memory, scratch, gpu, image, count(*) AS n_tasks FROM submissions GROUP BY ALL) t JOIN nodes n ON {_FIT} AND list_contains(n.labels, 'spot')", "submissions", "nodes")
 def can_fulfill_request(spark: SparkSession, sf: str) -> DataFrame:
-    return schedule.fits(relation(spark, sf, "tasks"), relation(spark, sf, "nodes"), matches(Has("spot"), "node_labels"))
+    return schedule.fits(relation(spark, sf, "submissions"), relation(spark, sf, "nodes"), matches(Has("spot"), "node_labels"))
 
 
 @query("SELECT node, cpu >= 6 AND memory >= 3000 AND scratch >= 1000 AND list_contains(gpu, 0) AS holds FROM nodes", "nodes")
@@ -294,54 +294,54 @@ def can_fulfill_allocated(spark: SparkSession, sf: str) -> DataFrame:
     return relation(spark, sf, "nodes").select("node", resources.can_hold(Supply.of(), grant).alias("holds"))
 
 
-@query(f"SELECT t.code_version, n.node, count(*) AS n FROM tasks t JOIN nodes n ON t.code_version = (CASE WHEN n.node % 2 = 0 THEN 'v0' ELSE 'v1' END) AND t.launcher = n.node AND {_FIT} GROUP BY ALL", "tasks", "nodes")
+@query(f"SELECT t.code_version, n.node, count(*) AS n FROM submissions t JOIN nodes n ON t.code_version = (CASE WHEN n.node % 2 = 0 THEN 'v0' ELSE 'v1' END) AND t.launcher = n.node AND {_FIT} GROUP BY ALL", "submissions", "nodes")
 def same_code_version(spark: SparkSession, sf: str) -> DataFrame:
     """Work goes only to nodes of the same code version."""
     nodes = relation(spark, sf, "nodes").select(F.col("node").alias("launcher"), *(F.col(c).alias(f"n_{c}") for c in ("cpu", "memory", "scratch", "gpu", "image")))
     version = F.when(F.col("launcher") % 2 == 0, "v0").otherwise("v1")
-    both = relation(spark, sf, "tasks").join(nodes, "launcher").where((F.col("code_version") == version) & resources.can_fulfill(Supply.of("n_"), Request.of()))
+    both = relation(spark, sf, "submissions").join(nodes, "launcher").where((F.col("code_version") == version) & resources.can_fulfill(Supply.of("n_"), Request.of()))
     return both.groupBy("code_version", F.col("launcher").alias("node")).agg(F.count("*").alias("n"))
 
 
 def _pairs(spark: SparkSession, sf: str) -> DataFrame:
     nodes = relation(spark, sf, "nodes").select(F.col("node").alias("launcher"), *(F.col(c).alias(f"n_{c}") for c in ("cpu", "memory", "scratch", "gpu", "image")))
-    return relation(spark, sf, "tasks").join(nodes, "launcher")
+    return relation(spark, sf, "submissions").join(nodes, "launcher")
 
 
 def _flat(s: Supply) -> list[F.Column]:
     return [s.cpu.cast("long").alias("cpu"), s.memory.cast("long").alias("memory"), s.scratch.cast("long").alias("scratch"), F.array_join(s.gpu.cast("array<string>"), ",").alias("gpu"), s.image.alias("image")]
 
 
-_PAIRS = "FROM tasks t JOIN nodes n ON t.launcher = n.node"
+_PAIRS = "FROM submissions t JOIN nodes n ON t.launcher = n.node"
 
 
 def _gpu(list_sql: str) -> str:
     return f"coalesce(array_to_string({list_sql}, ','), '') AS gpu"
 
 
-@query(f"SELECT t.key, CAST(greatest(n.cpu - t.max_cpu, 0) AS BIGINT) AS cpu, CAST(n.memory - t.memory AS BIGINT) AS memory, CAST(n.scratch - t.scratch AS BIGINT) AS scratch, {_gpu('n.gpu[t.gpu + 1:]')}, n.image {_PAIRS}", "tasks", "nodes")
+@query(f"SELECT t.key, CAST(greatest(n.cpu - t.max_cpu, 0) AS BIGINT) AS cpu, CAST(n.memory - t.memory AS BIGINT) AS memory, CAST(n.scratch - t.scratch AS BIGINT) AS scratch, {_gpu('n.gpu[t.gpu + 1:]')}, n.image {_PAIRS}", "submissions", "nodes")
 def subtract_request(spark: SparkSession, sf: str) -> DataFrame:
     return _pairs(spark, sf).select("key", *_flat(resources.subtract_request(Supply.of("n_"), Request.of())))
 
 
-@query(f"SELECT t.key, CAST(n.cpu - t.min_cpu AS BIGINT) AS cpu, CAST(n.memory - t.memory AS BIGINT) AS memory, CAST(n.scratch - t.scratch AS BIGINT) AS scratch, {_gpu('list_filter(n.gpu, lambda x: x <> 0)')}, n.image {_PAIRS}", "tasks", "nodes")
+@query(f"SELECT t.key, CAST(n.cpu - t.min_cpu AS BIGINT) AS cpu, CAST(n.memory - t.memory AS BIGINT) AS memory, CAST(n.scratch - t.scratch AS BIGINT) AS scratch, {_gpu('list_filter(n.gpu, lambda x: x <> 0)')}, n.image {_PAIRS}", "submissions", "nodes")
 def subtract_allocated(spark: SparkSession, sf: str) -> DataFrame:
     grant = Supply(F.col("min_cpu"), F.col("memory"), F.col("scratch"), F.array(F.lit(0)), F.lit(None).cast("string"))
     return _pairs(spark, sf).select("key", *_flat(resources.subtract(Supply.of("n_"), grant)))
 
 
-@query(f"SELECT t.key, CAST(n.cpu + t.min_cpu AS BIGINT) AS cpu, CAST(n.memory + t.memory AS BIGINT) AS memory, CAST(n.scratch + t.scratch AS BIGINT) AS scratch, {_gpu('list_sort(list_concat(n.gpu, [7, 9]))')}, n.image {_PAIRS}", "tasks", "nodes")
+@query(f"SELECT t.key, CAST(n.cpu + t.min_cpu AS BIGINT) AS cpu, CAST(n.memory + t.memory AS BIGINT) AS memory, CAST(n.scratch + t.scratch AS BIGINT) AS scratch, {_gpu('list_sort(list_concat(n.gpu, [7, 9]))')}, n.image {_PAIRS}", "submissions", "nodes")
 def add_back(spark: SparkSession, sf: str) -> DataFrame:
     grant = Supply(F.col("min_cpu"), F.col("memory"), F.col("scratch"), F.array(F.lit(7), F.lit(9)), F.lit(None).cast("string"))
     return _pairs(spark, sf).select("key", *_flat(resources.add_back(Supply.of("n_"), grant)))
 
 
-@query(f"SELECT t.key, CAST(least(n.cpu, t.max_cpu) AS BIGINT) AS cpu, CAST(t.memory AS BIGINT) AS memory, CAST(t.scratch AS BIGINT) AS scratch, {_gpu('n.gpu[1:t.gpu]')}, CASE WHEN t.image = n.image THEN t.image END AS image {_PAIRS}", "tasks", "nodes")
+@query(f"SELECT t.key, CAST(least(n.cpu, t.max_cpu) AS BIGINT) AS cpu, CAST(t.memory AS BIGINT) AS memory, CAST(t.scratch AS BIGINT) AS scratch, {_gpu('n.gpu[1:t.gpu]')}, CASE WHEN t.image = n.image THEN t.image END AS image {_PAIRS}", "submissions", "nodes")
 def maximum_grant(spark: SparkSession, sf: str) -> DataFrame:
     return _pairs(spark, sf).select("key", *_flat(resources.maximum_grant(Supply.of("n_"), Request.of())))
 
 
-@query(f"SELECT t.key, CAST(t.min_cpu AS BIGINT) AS cpu, CAST(t.memory AS BIGINT) AS memory, CAST(t.scratch AS BIGINT) AS scratch, {_gpu('n.gpu[1:t.gpu]')}, t.image {_PAIRS}", "tasks", "nodes")
+@query(f"SELECT t.key, CAST(t.min_cpu AS BIGINT) AS cpu, CAST(t.memory AS BIGINT) AS memory, CAST(t.scratch AS BIGINT) AS scratch, {_gpu('n.gpu[1:t.gpu]')}, t.image {_PAIRS}", "submissions", "nodes")
 def minimum_grant(spark: SparkSession, sf: str) -> DataFrame:
     return _pairs(spark, sf).select("key", *_flat(resources.minimum_grant(Supply.of("n_"), Request.of())))
 
@@ -351,10 +351,10 @@ def subtract_all(spark: SparkSession, sf: str) -> DataFrame:
     return relation(spark, sf, "nodes").select("node", *_flat(resources.subtract_all(Supply.of())))
 
 
-@query("SELECT key, CAST(greatest(min_cpu, 4) AS BIGINT) AS min_cpu, CAST(greatest(max_cpu, min_cpu, 4) AS BIGINT) AS max_cpu, CAST(greatest(memory, 2000) AS BIGINT) AS memory FROM tasks", "tasks")
+@query("SELECT key, CAST(greatest(min_cpu, 4) AS BIGINT) AS min_cpu, CAST(greatest(max_cpu, min_cpu, 4) AS BIGINT) AS max_cpu, CAST(greatest(memory, 2000) AS BIGINT) AS memory FROM submissions", "submissions")
 def clamp_to_minimums(spark: SparkSession, sf: str) -> DataFrame:
     r = resources.clamp(Request.of(), 4, 2000)
-    return relation(spark, sf, "tasks").select("key", r.min_cpu.cast("long").alias("min_cpu"), r.max_cpu.cast("long").alias("max_cpu"), r.memory.cast("long").alias("memory"))
+    return relation(spark, sf, "submissions").select("key", r.min_cpu.cast("long").alias("min_cpu"), r.max_cpu.cast("long").alias("max_cpu"), r.memory.cast("long").alias("memory"))
 
 
 @query("SELECT node, list_sort(list_distinct(gpu)) = gpu AS valid, false AS reversed_valid FROM nodes WHERE len(gpu) > 1", "nodes")
@@ -442,20 +442,20 @@ def base64_round_trip(spark: SparkSession, sf: str) -> DataFrame:
 # --- joins and scheduling -------------------------------------------------------------------------------------------
 
 
-@query("SELECT node, CAST(cpu - coalesce(used_cpu, 0) AS BIGINT) AS free_cpu, CAST(memory - coalesce(used_memory, 0) AS BIGINT) AS free_memory FROM nodes LEFT JOIN (SELECT launcher % 40 AS node, sum(min_cpu) AS used_cpu, sum(memory) AS used_memory FROM tasks WHERE state = 'scheduled' AND launcher < 40 GROUP BY launcher % 40) USING (node)", "tasks", "nodes")
+@query("SELECT node, CAST(cpu - coalesce(used_cpu, 0) AS BIGINT) AS free_cpu, CAST(memory - coalesce(used_memory, 0) AS BIGINT) AS free_memory FROM nodes LEFT JOIN (SELECT launcher % 40 AS node, sum(min_cpu) AS used_cpu, sum(memory) AS used_memory FROM submissions WHERE state = 'scheduled' AND launcher < 40 GROUP BY launcher % 40) USING (node)", "submissions", "nodes")
 def free_capacity(spark: SparkSession, sf: str) -> DataFrame:
-    """Launchers from 40 on have no node; their tasks deduct nothing."""
-    tasks = relation(spark, sf, "tasks").where("state = 'scheduled'").select("launcher", F.col("min_cpu").alias("cpu"), "memory")
+    """Launchers from 40 on have no node; their submissions deduct nothing."""
+    submissions = relation(spark, sf, "submissions").where("state = 'scheduled'").select("launcher", F.col("min_cpu").alias("cpu"), "memory")
     launchers = spark.range(50).select(F.col("id").alias("launcher"), F.when(F.col("id") < 40, F.col("id")).alias("node"))
-    free = schedule.free_capacity(relation(spark, sf, "nodes"), launchers, tasks)
+    free = schedule.free_capacity(relation(spark, sf, "nodes"), launchers, submissions)
     return free.select("node", F.col("free_cpu").cast("long").alias("free_cpu"), F.col("free_memory").cast("long").alias("free_memory"))
 
 
-@query("SELECT key FROM tasks WHERE state = 'queued' AND key NOT IN (SELECT key // 2 FROM tasks WHERE state IN ('queued', 'scheduled') UNION ALL SELECT key // 4 FROM tasks WHERE state IN ('queued', 'scheduled'))", "tasks")
+@query("SELECT key FROM submissions WHERE state = 'queued' AND key NOT IN (SELECT key // 2 FROM submissions WHERE state IN ('queued', 'scheduled') UNION ALL SELECT key // 4 FROM submissions WHERE state IN ('queued', 'scheduled'))", "submissions")
 def blocked_by_descendant(spark: SparkSession, sf: str) -> DataFrame:
-    """Queued tasks without a queued or scheduled descendant."""
-    tasks = relation(spark, sf, "tasks").select("key", "state", F.expr("array(key div 2, key div 4)").alias("lineage"))
-    return schedule.not_blocked(tasks.where("state = 'queued'"), tasks.where("state = 'scheduled'")).select("key")
+    """Queued submissions without a queued or scheduled descendant."""
+    submissions = relation(spark, sf, "submissions").select("key", "state", F.expr("array(key div 2, key div 4)").alias("lineage"))
+    return schedule.not_blocked(submissions.where("state = 'queued'"), submissions.where("state = 'scheduled'")).select("key")
 
 
 @query("SELECT node, arg_min(member, position) AS owner FROM (SELECT node, unnest(range(3)) AS position FROM nodes) JOIN (SELECT * FROM (VALUES ('a', 0), ('b', 1), ('c', 2)) m(member, position)) USING (position) WHERE (node + position) % 3 < 2 GROUP BY node", "nodes")
@@ -466,19 +466,19 @@ def owner_first_match(spark: SparkSession, sf: str) -> DataFrame:
     return schedule.first_match(claims, "node", "position").select("node", "owner")
 
 
-@query("SELECT key FROM tasks WHERE state = 'queued' AND min_cpu <= 6 AND memory <= 3000 AND scratch <= 300 AND gpu <= 1 AND coalesce(image = 'img-a', true) AND code_version = 'v1' ORDER BY priority DESC, depth DESC, key LIMIT 1", "tasks")
+@query("SELECT key FROM submissions WHERE state = 'queued' AND min_cpu <= 6 AND memory <= 3000 AND scratch <= 300 AND gpu <= 1 AND coalesce(image = 'img-a', true) AND code_version = 'v1' ORDER BY priority DESC, depth DESC, key LIMIT 1", "submissions")
 def ask_for_work(spark: SparkSession, sf: str) -> DataFrame:
     supply = Supply(F.lit(6), F.lit(3000), F.lit(300), F.array(F.lit(0)), F.lit("img-a"))
-    return schedule.ask_for_work(relation(spark, sf, "tasks").where("state = 'queued'"), supply, "v1").select("key")
+    return schedule.ask_for_work(relation(spark, sf, "submissions").where("state = 'queued'"), supply, "v1").select("key")
 
 
 _SHAPE = ["min_cpu", "memory", "gpu"]
 
 
-@query("SELECT w.min_cpu, w.memory, w.gpu, w.n - coalesce(g.n, 0) AS n FROM (SELECT min_cpu, memory, gpu, count(*) AS n FROM tasks WHERE state = 'queued' GROUP BY ALL) w LEFT JOIN (SELECT min_cpu, memory, gpu, count(*) AS n FROM tasks WHERE state = 'scheduled' GROUP BY ALL) g USING (min_cpu, memory, gpu) WHERE w.n > coalesce(g.n, 0)", "tasks")
+@query("SELECT w.min_cpu, w.memory, w.gpu, w.n - coalesce(g.n, 0) AS n FROM (SELECT min_cpu, memory, gpu, count(*) AS n FROM submissions WHERE state = 'queued' GROUP BY ALL) w LEFT JOIN (SELECT min_cpu, memory, gpu, count(*) AS n FROM submissions WHERE state = 'scheduled' GROUP BY ALL) g USING (min_cpu, memory, gpu) WHERE w.n > coalesce(g.n, 0)", "submissions")
 def unmet_demand(spark: SparkSession, sf: str) -> DataFrame:
-    tasks = relation(spark, sf, "tasks")
-    return schedule.unmet_demand(tasks.where("state = 'queued'"), tasks.where("state = 'scheduled'"), _SHAPE)
+    submissions = relation(spark, sf, "submissions")
+    return schedule.unmet_demand(submissions.where("state = 'queued'"), submissions.where("state = 'scheduled'"), _SHAPE)
 
 
 @query("SELECT pool, allowed FROM (VALUES (0, 3), (1, 0), (2, 2), (3, 0)) t(pool, allowed)")
@@ -488,34 +488,34 @@ def scale_out_caps(spark: SparkSession, sf: str) -> DataFrame:
     return spark.createDataFrame([(i, schedule.allowed_nodes(*c)) for i, c in enumerate(cases)], "pool int, allowed int")
 
 
-@query("SELECT min_cpu, memory, gpu, 1::BIGINT AS n FROM tasks WHERE state = 'queued' ORDER BY priority DESC, key LIMIT 1", "tasks")
+@query("SELECT min_cpu, memory, gpu, 1::BIGINT AS n FROM submissions WHERE state = 'queued' ORDER BY priority DESC, key LIMIT 1", "submissions")
 def cold_start(spark: SparkSession, sf: str) -> DataFrame:
     """Work is queued, nothing is planned and no worker is known."""
-    queued = relation(spark, sf, "tasks").where("state = 'queued'")
+    queued = relation(spark, sf, "submissions").where("state = 'queued'")
     plan = schedule.unmet_demand(queued, queued, _SHAPE)
     return schedule.cold_start(queued, plan, relation(spark, sf, "nodes").where("state = 'gone'"))
 
 
 @query()
 def best_fit_packing(spark: SparkSession, sf: str) -> DataFrame:
-    """Queued tasks of each launcher over the nodes of its pool."""
-    tasks = relation(spark, sf, "tasks").where("state = 'queued'").select((F.col("launcher") % 5).alias("pool"), F.col("key").alias("task"), "min_cpu", "max_cpu", "memory", "scratch", "gpu")
+    """Queued submissions of each launcher over the nodes of its pool."""
+    submissions = relation(spark, sf, "submissions").where("state = 'queued'").select((F.col("launcher") % 5).alias("pool"), F.col("key").alias("task"), "min_cpu", "max_cpu", "memory", "scratch", "gpu")
     nodes = relation(spark, sf, "nodes").select((F.col("node") % 5).alias("pool"), "node", "cpu", "memory", "scratch", F.size("gpu").alias("gpu"))
-    return schedule.pack(tasks, nodes, "pool")
+    return schedule.pack(submissions, nodes, "pool")
 
 
 @query()
 def scale_out_plan(spark: SparkSession, sf: str) -> DataFrame:
     """What the nodes of each pool cannot take, by shape."""
-    tasks = relation(spark, sf, "tasks").where("state = 'queued'").withColumn("pool", F.col("launcher") % 5)
+    submissions = relation(spark, sf, "submissions").where("state = 'queued'").withColumn("pool", F.col("launcher") % 5)
     nodes = relation(spark, sf, "nodes").select((F.col("node") % 5).alias("pool"), "node", "cpu", "memory", "scratch", F.size("gpu").alias("gpu"))
-    return schedule.scale_out_plan(tasks, nodes, "pool")
+    return schedule.scale_out_plan(submissions, nodes, "pool")
 
 
 @query()
 def round_robin_hosts(spark: SparkSession, sf: str) -> DataFrame:
-    tasks = relation(spark, sf, "tasks").where("state = 'queued'").select(F.col("launcher").alias("pool"), F.col("key").alias("task"), F.col("min_cpu").alias("cpu"), "memory")
-    return schedule.round_robin(tasks, [("h1", 64, 64000), ("h2", 128, 32000), ("h3", 32, 128000)])
+    submissions = relation(spark, sf, "submissions").where("state = 'queued'").select(F.col("launcher").alias("pool"), F.col("key").alias("task"), F.col("min_cpu").alias("cpu"), "memory")
+    return schedule.round_robin(submissions, [("h1", 64, 64000), ("h2", 128, 32000), ("h3", 32, 128000)])
 
 
 _QUEUES = [("od-small", False, 400, 100), ("od-big", False, 600, 300), ("spot", True, 1000, 0), ("unknown", True, 100, 0)]
@@ -525,26 +525,26 @@ _TYPES = [("od-small", 4, 2000, 0), ("od-big", 8, 4000, 0), ("od-big", 16, 8000,
 @query(
     "WITH q(queue, spot, most, used) AS (VALUES ('od-small', false, 400, 100), ('od-big', false, 600, 300), ('spot', true, 1000, 0), ('unknown', true, 100, 0)), "
     "i(queue, vcpus, memory, gpus) AS (VALUES ('od-small', 4, 2000, 0), ('od-big', 8, 4000, 0), ('od-big', 16, 8000, 1), ('spot', 8, 8000, 2)), "
-    "a AS (SELECT key AS ask, max_cpu * 60 AS cpu, max_cpu, memory, gpu FROM tasks WHERE state = 'queued'), "
+    "a AS (SELECT key AS ask, max_cpu * 60 AS cpu, max_cpu, memory, gpu FROM submissions WHERE state = 'queued'), "
     "z AS (SELECT q.queue, q.spot, coalesce(max(vcpus), 2147483647) AS size FROM q LEFT JOIN i USING (queue) GROUP BY ALL), "
     "f AS (SELECT a.ask, z.*, a.gpu, row_number() OVER (PARTITION BY a.ask ORDER BY CASE WHEN a.gpu > 0 OR z.spot <> (400 + max_cpu <= 1000) THEN 0 ELSE 1 END, size, z.queue) AS r FROM a JOIN z ON "
     "z.queue = 'unknown' OR EXISTS (SELECT 1 FROM i WHERE i.queue = z.queue AND i.vcpus >= a.max_cpu AND i.memory >= a.memory AND i.gpus >= a.gpu)) "
     "SELECT ask, queue FROM f WHERE r = 1",
-    "tasks",
+    "submissions",
 )
 def batch_queue_route(spark: SparkSession, sf: str) -> DataFrame:
-    asks = relation(spark, sf, "tasks").where("state = 'queued'").select(F.col("key").alias("ask"), F.col("max_cpu").alias("cpu"), "memory", "gpu")
+    asks = relation(spark, sf, "submissions").where("state = 'queued'").select(F.col("key").alias("ask"), F.col("max_cpu").alias("cpu"), "memory", "gpu")
     queues = spark.createDataFrame(_QUEUES, "queue string, spot boolean, most int, used int")
     return schedule.route_queue(asks, queues, spark.createDataFrame(_TYPES, "queue string, vcpus int, memory int, gpus int"))
 
 
 @query(
     "WITH t(target, external, position, max_cpu, max_memory, room) AS (VALUES ('ext', true, 3, 4, 2000, 1), ('p0', false, 0, 8, 2500, 0), ('p1', false, 1, 6, 8000, 5), ('p2', false, 2, 99, 9999, 9)) "
-    "SELECT key AS ask, arg_min(target, (CASE WHEN external THEN 0 ELSE 10 END) + position) AS target FROM tasks JOIN t ON t.max_cpu >= tasks.max_cpu AND max_memory >= memory AND room > 0 GROUP BY key",
-    "tasks",
+    "SELECT key AS ask, arg_min(target, (CASE WHEN external THEN 0 ELSE 10 END) + position) AS target FROM submissions JOIN t ON t.max_cpu >= submissions.max_cpu AND max_memory >= memory AND room > 0 GROUP BY key",
+    "submissions",
 )
 def capacity_screen(spark: SparkSession, sf: str) -> DataFrame:
-    asks = relation(spark, sf, "tasks").select(F.col("key").alias("ask"), F.col("max_cpu").alias("cpu"), "memory")
+    asks = relation(spark, sf, "submissions").select(F.col("key").alias("ask"), F.col("max_cpu").alias("cpu"), "memory")
     rows = [("ext", True, 3, 4, 2000, 1), ("p0", False, 0, 8, 2500, 0), ("p1", False, 1, 6, 8000, 5), ("p2", False, 2, 99, 9999, 9)]
     targets = spark.createDataFrame(rows, "target string, external boolean, position int, max_cpu int, max_memory int, room int")
     return schedule.screen_targets(asks, targets)
@@ -559,14 +559,14 @@ def largest_instance(spark: SparkSession, sf: str) -> DataFrame:
 # --- metrics --------------------------------------------------------------------------------------------------------
 
 
-@query("SELECT task, version, count(*) AS n FROM tasks WHERE state = 'queued' GROUP BY ALL", "tasks")
+@query("SELECT task, version, count(*) AS n FROM submissions WHERE state = 'queued' GROUP BY ALL", "submissions")
 def queued_count(spark: SparkSession, sf: str) -> DataFrame:
-    return metrics.count_by_task(relation(spark, sf, "tasks").where("state = 'queued'"))
+    return metrics.count_by_task(relation(spark, sf, "submissions").where("state = 'queued'"))
 
 
-@query("SELECT task, version, count(*) AS n FROM tasks WHERE state = 'scheduled' GROUP BY ALL", "tasks")
+@query("SELECT task, version, count(*) AS n FROM submissions WHERE state = 'scheduled' GROUP BY ALL", "submissions")
 def running_count(spark: SparkSession, sf: str) -> DataFrame:
-    return metrics.count_by_task(relation(spark, sf, "tasks").where("state = 'scheduled'"))
+    return metrics.count_by_task(relation(spark, sf, "submissions").where("state = 'scheduled'"))
 
 
 @query("SELECT CAST(sum(cpu) AS BIGINT) AS cpu, CAST(sum(memory) AS BIGINT) AS memory FROM allocations", "allocations")
@@ -579,15 +579,15 @@ def node_state_totals(spark: SparkSession, sf: str) -> DataFrame:
     return metrics.node_totals(relation(spark, sf, "nodes"))
 
 
-@query("SELECT CAST((SELECT sum(cpu) FROM nodes WHERE state = 'running') - sum(min_cpu) AS BIGINT) AS cpu, CAST((SELECT sum(memory) FROM nodes WHERE state = 'running') - sum(memory) AS BIGINT) AS memory, CAST((SELECT sum(scratch) FROM nodes WHERE state = 'running') - sum(scratch) AS BIGINT) AS scratch, CAST((SELECT sum(len(gpu)) FROM nodes WHERE state = 'running') - sum(gpu) AS BIGINT) AS gpu FROM tasks WHERE state = 'scheduled'", "tasks", "nodes")
+@query("SELECT CAST((SELECT sum(cpu) FROM nodes WHERE state = 'running') - sum(min_cpu) AS BIGINT) AS cpu, CAST((SELECT sum(memory) FROM nodes WHERE state = 'running') - sum(memory) AS BIGINT) AS memory, CAST((SELECT sum(scratch) FROM nodes WHERE state = 'running') - sum(scratch) AS BIGINT) AS scratch, CAST((SELECT sum(len(gpu)) FROM nodes WHERE state = 'running') - sum(gpu) AS BIGINT) AS gpu FROM submissions WHERE state = 'scheduled'", "submissions", "nodes")
 def available_totals(spark: SparkSession, sf: str) -> DataFrame:
     running = relation(spark, sf, "nodes").where("state = 'running'").withColumn("gpu", F.size("gpu"))
-    return metrics.available(running, relation(spark, sf, "tasks").where("state = 'scheduled'").withColumn("cpu", F.col("min_cpu")), ["cpu", "memory", "scratch", "gpu"])
+    return metrics.available(running, relation(spark, sf, "submissions").where("state = 'scheduled'").withColumn("cpu", F.col("min_cpu")), ["cpu", "memory", "scratch", "gpu"])
 
 
-@query("SELECT task, version, CAST(sum(max_cpu) AS BIGINT) AS max_cpu, CAST(sum(memory) AS BIGINT) AS memory, CAST(sum(scratch) AS BIGINT) AS scratch, CAST(sum(gpu) AS BIGINT) AS gpu FROM tasks WHERE state = 'queued' GROUP BY ALL", "tasks")
+@query("SELECT task, version, CAST(sum(max_cpu) AS BIGINT) AS max_cpu, CAST(sum(memory) AS BIGINT) AS memory, CAST(sum(scratch) AS BIGINT) AS scratch, CAST(sum(gpu) AS BIGINT) AS gpu FROM submissions WHERE state = 'queued' GROUP BY ALL", "submissions")
 def queued_resources(spark: SparkSession, sf: str) -> DataFrame:
-    return metrics.totals(relation(spark, sf, "tasks").where("state = 'queued'"), ["max_cpu", "memory", "scratch", "gpu"], ["task", "version"])
+    return metrics.totals(relation(spark, sf, "submissions").where("state = 'queued'"), ["max_cpu", "memory", "scratch", "gpu"], ["task", "version"])
 
 
 @query("SELECT label, count(*) AS n FROM (SELECT unnest(labels) AS label FROM nodes WHERE state = 'running') GROUP BY label", "nodes")
@@ -595,19 +595,19 @@ def count_by_label(spark: SparkSession, sf: str) -> DataFrame:
     return metrics.count_by_label(relation(spark, sf, "nodes").where("state = 'running'"))
 
 
-@query("SELECT label, CAST(sum(n) AS BIGINT) AS n FROM (SELECT 'prod' AS label, count(*) AS n FROM tasks WHERE version < 3 UNION ALL SELECT 'eu', count(*) FROM tasks WHERE version = 2) GROUP BY label", "tasks")
+@query("SELECT label, CAST(sum(n) AS BIGINT) AS n FROM (SELECT 'prod' AS label, count(*) AS n FROM submissions WHERE version < 3 UNION ALL SELECT 'eu', count(*) FROM submissions WHERE version = 2) GROUP BY label", "submissions")
 def affinity_label_count(spark: SparkSession, sf: str) -> DataFrame:
     """Labels that queued work asks for; what stands under a Not is no affinity."""
     asked = {1: And((Has("prod"), Not(Has("spot")))), 2: Or((Has("prod"), Has("eu"), Has("prod"))), 3: None}
     labels = F.lit(None).cast("array<string>")
     for v, s in asked.items():
         labels = F.when(F.col("version") == v, F.array(*map(F.lit, affinity_labels(s))).cast("array<string>")).otherwise(labels)
-    return metrics.count_by_label(relation(spark, sf, "tasks").select(labels.alias("labels")))
+    return metrics.count_by_label(relation(spark, sf, "submissions").select(labels.alias("labels")))
 
 
-@query("SELECT count(*) AS n FROM tasks WHERE state = 'queued' AND image IS NOT NULL", "tasks")
+@query("SELECT count(*) AS n FROM submissions WHERE state = 'queued' AND image IS NOT NULL", "submissions")
 def with_selector_count(spark: SparkSession, sf: str) -> DataFrame:
-    return relation(spark, sf, "tasks").where("state = 'queued' and image is not null").agg(F.count("*").alias("n"))
+    return relation(spark, sf, "submissions").where("state = 'queued' and image is not null").agg(F.count("*").alias("n"))
 
 
 @query(
@@ -620,10 +620,10 @@ def cardinality_cap(spark: SparkSession, sf: str) -> DataFrame:
     return metrics.capped(counts, "name", "first", 10)
 
 
-@query("SELECT task, version, state, count(*) AS n FROM tasks GROUP BY ALL", "tasks")
+@query("SELECT task, version, state, count(*) AS n FROM submissions GROUP BY ALL", "submissions")
 def task_counters(spark: SparkSession, sf: str) -> DataFrame:
-    """Tasks by what became of them, by name and version."""
-    return relation(spark, sf, "tasks").groupBy("task", "version", "state").agg(F.count("*").alias("n"))
+    """Submissions by what became of them, by name and version."""
+    return relation(spark, sf, "submissions").groupBy("task", "version", "state").agg(F.count("*").alias("n"))
 
 
 @query("SELECT kind, count(*) AS n FROM queue_events GROUP BY kind", "queue_events")
@@ -667,16 +667,16 @@ def immutable_files(spark: SparkSession, sf: str) -> DataFrame:
     return relation(spark, sf, "nodes").select("node", F.array_join(sets.immutable_only("labels", F.array(F.lit("spot"))), ",").alias("immutable"))
 
 
-@query("SELECT min_cpu, memory FROM tasks WHERE state = 'queued' EXCEPT ALL SELECT DISTINCT min_cpu, memory FROM tasks WHERE state = 'queued' AND gpu > 0", "tasks")
+@query("SELECT min_cpu, memory FROM submissions WHERE state = 'queued' EXCEPT ALL SELECT DISTINCT min_cpu, memory FROM submissions WHERE state = 'queued' AND gpu > 0", "submissions")
 def remove_first(spark: SparkSession, sf: str) -> DataFrame:
-    queued = relation(spark, sf, "tasks").where("state = 'queued'")
+    queued = relation(spark, sf, "submissions").where("state = 'queued'")
     return sets.remove_first(queued.select("min_cpu", "memory"), queued.where("gpu > 0").select("min_cpu", "memory").distinct())
 
 
-@query("SELECT DISTINCT key, launcher FROM tasks", "tasks")
+@query("SELECT DISTINCT key, launcher FROM submissions", "submissions")
 def union_of_waiters(spark: SparkSession, sf: str) -> DataFrame:
-    tasks = relation(spark, sf, "tasks").select("key", "launcher")
-    return tasks.union(tasks).distinct()
+    submissions = relation(spark, sf, "submissions").select("key", "launcher")
+    return submissions.union(submissions).distinct()
 
 
 @query("SELECT doc_id, concat_ws(',', source, lang, concat(source, '/x')) AS files FROM documents")
@@ -705,10 +705,10 @@ def dead_launchers(spark: SparkSession, sf: str) -> DataFrame:
     return state.dead_launchers(relation(spark, sf, "queue_events").select("launcher", F.col("seq").alias("moment"), F.expr("seq div 100").alias("counter")))
 
 
-@query("SELECT key FROM tasks WHERE state = 'scheduled' AND launcher % 7 = 0", "tasks")
+@query("SELECT key FROM submissions WHERE state = 'scheduled' AND launcher % 7 = 0", "submissions")
 def requeue_on_crash(spark: SparkSession, sf: str) -> DataFrame:
-    tasks = relation(spark, sf, "tasks")
-    return state.requeued(tasks.where("state = 'scheduled'"), tasks.where("launcher % 7 = 0")).select("key")
+    submissions = relation(spark, sf, "submissions")
+    return state.requeued(submissions.where("state = 'scheduled'"), submissions.where("launcher % 7 = 0")).select("key")
 
 
 @query("SELECT launcher AS entity, arg_max(kind, seq) AS kind FROM queue_events GROUP BY launcher", "queue_events")

@@ -1,6 +1,6 @@
 """Relations of an engine's state, derived from the input tables so that queries over them can be checked.
 
-Each is given twice, as a DataFrame and as SQL over the same tables: ``tasks`` from orders, ``nodes`` from supplier,
+Each is given twice, as a DataFrame and as SQL over the same tables: ``submissions`` from orders, ``nodes`` from supplier,
 ``allocations`` from lineitem, ``queue_events`` from events.
 """
 
@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from larkspur.sources.shared import table
 
-TASKS = """
+SUBMISSIONS = """
 SELECT o_orderpriority AS task, CAST(1 + o_custkey % 3 AS INT) AS version, o_orderkey AS key, CAST(o_custkey % 10 AS INT) AS priority,
   CAST(1 + o_orderkey % 8 AS INT) AS min_cpu, CAST(1 + o_orderkey % 8 + o_custkey % 4 AS INT) AS max_cpu,
   CAST(500 * (1 + o_custkey % 8) AS INT) AS memory, CAST(100 * (o_orderkey % 5) AS INT) AS scratch, CAST(o_orderkey % 3 AS INT) AS gpu,
@@ -44,13 +44,13 @@ SELECT user_id AS launcher, event_id % 97 AS key, event_id AS seq, CAST(event_id
 FROM events
 """
 SQL = {
-    "tasks": TASKS,
+    "submissions": SUBMISSIONS,
     "nodes": NODES.format(gpus="CAST(" + _GPUS.format(a="[", c="]") + " AS INT[])", labels=_LABELS.format(a="[", c="]", s="VARCHAR")),
     "allocations": ALLOCATIONS,
     "queue_events": EVENTS,
 }
 SPARK = SQL | {"nodes": NODES.format(gpus="CAST(" + _GPUS.format(a="array(", c=")") + " AS ARRAY<INT>)", labels=_LABELS.format(a="array(", c=")", s="STRING"))}
-SOURCES = {"tasks": "orders", "nodes": "supplier", "allocations": "lineitem", "queue_events": "events"}
+SOURCES = {"submissions": "orders", "nodes": "supplier", "allocations": "lineitem", "queue_events": "events"}
 
 
 def relation(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -164,5 +164,5 @@ def _crypt(spark: SparkSession, function: str, parts: list[bytes], key: bytes) -
 
 
 def histories(inputs: DataFrame, history: DataFrame) -> DataFrame:
-    """(task, file, made_by): for tasks (task, files) the recorded producer of each input file."""
+    """(task, file, made_by): for rows (task, files) the recorded producer of each input file."""
     return inputs.select("task", F.explode("files").alias("file")).join(history, "file").select("task", "file", "made_by").orderBy("task", "file")

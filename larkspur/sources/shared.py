@@ -66,7 +66,7 @@ def remove(spark: SparkSession, df: DataFrame) -> None:
 
 
 def per_worker(key: Any, build: Callable[[], Any]) -> Any:
-    """``build()``, made once in each Python worker process and kept there between tasks."""
+    """``build()``, made once in each Python worker process and kept there from one use to the next."""
     kept = sys.modules.setdefault("_larkspur_kept", types.ModuleType("_larkspur_kept")).__dict__
     if key not in kept:
         kept[key] = build()

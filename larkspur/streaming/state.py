@@ -56,7 +56,7 @@ def reduce(state: dict[str, Any], kind: str, a: str | None, b: str | None) -> di
         s["result"] = a
     elif kind == "ResultDelivered":
         s.pop("result", None)
-    elif kind == "SessionDropped":  # a: session; waiters and results of that session go, tasks stay
+    elif kind == "SessionDropped":  # a: session; waiters and results of that session go, submissions stay
         s["proxies"] = [p for p in s.get("proxies", []) if not p.startswith(f"{a}~")]
         s.pop("result", None) if s.get("owner") == a else None
     elif kind == "MainJoined":
@@ -155,7 +155,7 @@ def dead_launchers(samples: DataFrame) -> DataFrame:
 
 
 def requeued(scheduled: DataFrame, dead: DataFrame) -> DataFrame:
-    """Tasks of dead launchers, to be queued again."""
+    """Submissions of dead launchers, to be queued again."""
     return scheduled.join(dead.select("launcher").distinct(), "launcher", "left_semi")
 
 
