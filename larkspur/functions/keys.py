@@ -5,15 +5,18 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Stands for a null, so that null and empty text have different keys.
-NULL_MARK = "<null>"
-SEPARATOR = "|"
+#: Stands for a null. No value's text begins with it: those begin with their length.
+NULL_MARK = "~"
 
 
 def canonical_text(*columns: str | Column) -> Column:
-    """One text for the values of the columns, in their order. Doubles have no canonical text; cast them first."""
-    cols = [F.col(c) if isinstance(c, str) else c for c in columns]
-    return F.concat_ws(SEPARATOR, *(F.coalesce(c.cast("string"), F.lit(NULL_MARK)) for c in cols))
+    """One text for the values of the columns, in their order; different values have different texts.
+
+    A value is its length in bytes, a colon and its text, so no value can run into the next one; a null is ``~``. Doubles have
+    no canonical text; cast them first. Nested values have one as ``nested_text``.
+    """
+    cols = [(F.col(c) if isinstance(c, str) else c).cast("string") for c in columns]
+    return F.concat(F.lit(""), *(F.coalesce(F.concat(F.octet_length(c).cast("string"), F.lit(":"), c), F.lit(NULL_MARK)) for c in cols))
 
 
 def nested_text(column: str | Column) -> Column:

@@ -8,10 +8,16 @@ as a miss. A row whose function fails carries an error instead of a value; other
 
 from __future__ import annotations
 
+import base64
 import functools
+import threading
 import types
+import warnings
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass, field
+from decimal import Decimal
+from typing import Any
 
 import pandas as pd
 from pyspark import TaskContext
@@ -19,9 +25,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from larkspur.functions.keys import memo_key
-from larkspur.sources.shared import materialize
+from larkspur.functions.keys import memo_key, nested_text
+from larkspur.operators.settings import Settings
+from larkspur.operators.sets import file_handles
+from larkspur.sources.shared import materialize, per_worker
 
+#: The memo key while rows are answered; no input column may have this name.
+KEY = "__memo_key"
 STORE = "key string, task string, version int, result string, started timestamp, ended timestamp, lineage array<string>"
 
 
@@ -41,9 +51,19 @@ class Task:
     key_columns: tuple[str, ...] = ()
     labels: dict[str, str] = field(default_factory=dict)
 
-    def key(self) -> Column:
-        """The memo key; it covers ``key_columns`` if given (the rest of the input does not matter), else all inputs."""
-        return memo_key(self.name, self.version, *(self.key_columns or self.columns))
+    def key(self, schema: T.StructType | None = None) -> Column:
+        """The memo key; it covers ``key_columns`` if given (the rest of the input does not matter), else all inputs.
+
+        With the schema of the rows, nested columns count as their canonical JSON, maps in order of their keys.
+        """
+        kinds = {f.name: f.dataType for f in schema.fields} if schema else {}
+
+        def part(c: str) -> str | Column:
+            if isinstance(kinds.get(c), T.MapType):
+                return nested_text(F.array_sort(F.map_entries(c)))
+            return nested_text(c) if isinstance(kinds.get(c), T.ArrayType | T.StructType) else c
+
+        return memo_key(self.name, self.version, *map(part, self.key_columns or self.columns))
 
 
 REGISTRY: dict[tuple[str, int], Task] = {}
@@ -132,8 +152,20 @@ def all_or_run(wanted: DataFrame, listing: DataFrame, group: str, path: str = "p
     return counted.withColumn("complete", F.col("n_wanted") == F.col("n_found"))
 
 
+def _plain(x: Any) -> Any:
+    """What JSON has no form for, in the form that Spark's reader of JSON expects; anything else fails its row."""
+    if isinstance(x, bytes | bytearray | memoryview):
+        return base64.b64encode(bytes(x)).decode()
+    if isinstance(x, Decimal):
+        return str(x)
+    for name in ("isoformat", "tolist"):  # dates and times; arrays and their scalars
+        if hasattr(x, name):
+            return getattr(x, name)()
+    raise TypeError(f"a result of type {type(x).__name__} cannot be stored")
+
+
 def _run_bodies(rows: DataFrame, t: Task) -> DataFrame:
-    """(key, result, error, started, ended) for each row of (key, columns)."""
+    """(key, result, error, started, ended) for each row of (KEY, columns)."""
 
     def body(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import json
@@ -142,10 +174,10 @@ def _run_bodies(rows: DataFrame, t: Task) -> DataFrame:
 
         def call(part: pd.DataFrame) -> tuple[list, list]:
             made = t.body(part[list(t.columns)].reset_index(drop=True))
+            if len(made) != len(part):
+                raise ValueError(f"{t.name} returned {len(made)} rows for {len(part)}")
             records = made[names].astype(object).where(made[names].notna(), None).to_dict("records")
-            if len(records) != len(part):
-                raise ValueError(f"{t.name} returned {len(records)} rows for {len(part)}")
-            return [json.dumps({k: v for k, v in r.items() if v is not None}, default=str) for r in records], [None] * len(part)
+            return [json.dumps({k: v for k, v in r.items() if v is not None}, default=_plain) for r in records], [None] * len(part)
 
         for batch in batches:
             started = pd.Timestamp.now()
@@ -160,9 +192,9 @@ def _run_bodies(rows: DataFrame, t: Task) -> DataFrame:
                         v, e = [None], [f"{type(x).__name__}: {x}"]
                     value += v
                     error += e
-            yield pd.DataFrame({"key": batch["key"], "result": value, "error": error, "started": started, "ended": pd.Timestamp.now()})
+            yield pd.DataFrame({"key": batch[KEY], "result": value, "error": error, "started": started, "ended": pd.Timestamp.now()})
 
-    return rows.select("key", *t.columns).mapInPandas(body, "key string, result string, error string, started timestamp, ended timestamp")
+    return rows.select(KEY, *t.columns).mapInPandas(body, "key string, result string, error string, started timestamp, ended timestamp")
 
 
 def decoded(results: DataFrame, schema: T.StructType) -> DataFrame:
@@ -172,37 +204,80 @@ def decoded(results: DataFrame, schema: T.StructType) -> DataFrame:
     return parsed.select("key", F.struct(*(F.col("v")[f.name].alias(f.name) for f in schema.fields)).alias("value"))
 
 
-def submit(t: Task, rows: DataFrame, store: Store, *, use_cache: bool = True, no_cache: bool = False, attempts: int = 1, lineage: list[str] | None = None) -> DataFrame:
-    """``rows`` with ``value`` (struct of the task's columns), ``error`` and ``from_cache``.
+def verified(results: DataFrame, listing: DataFrame, *, check_content: bool = True) -> DataFrame:
+    """The rows of results (key, value) all of whose files are in the listing (see ``verify_files``).
+
+    Files are found in the value wherever they are nested, as structs with a path and a hash. A field ``mutable`` marks those
+    that need only exist; without it all are immutable.
+    """
+    handles = file_handles(results.select("value"))
+    if handles is None:
+        return results
+    kind = results.select(handles.alias("h")).schema["h"].dataType.elementType.names
+    gone = lambda h: h["mutable"] if "mutable" in kind else F.lit(False)
+    files = F.transform(handles, lambda h: F.struct(h["path"].alias("path"), h["byte_size"].alias("byte_size"), h["hash"].alias("hash"), gone(h).alias("mutable")))
+    valid = verify_files(results.select("key", files.alias("files")), listing, check_content=check_content).where("valid")
+    return results.join(valid.select("key"), "key", "left_semi")
+
+
+def submit(
+    t: Task,
+    rows: DataFrame,
+    store: Store,
+    *,
+    use_cache: bool | None = None,
+    no_cache: bool = False,
+    attempts: int | None = None,
+    lineage: list[str] | None = None,
+    listing: DataFrame | None = None,
+    prefix: str = "",
+) -> DataFrame:
+    """``rows`` with ``key``, ``value`` (struct of the task's columns), ``error`` and ``from_cache``.
 
     Equal keys run once. ``use_cache=False`` skips the lookup, ``no_cache`` the write. A failed key runs up to ``attempts``
-    times. Only the driver may submit.
+    times. With a ``listing`` (path, byte_size, hash) of the files that exist, a stored result is a hit only if all files it refers
+    to are there unchanged. A lookup that fails counts as one without hits. What is not given comes from ``Settings``. The
+    answers replace input columns of their names; ``prefix`` gives them others. Only the driver may submit.
     """
     if TaskContext.get() is not None:
         raise SubmissionError("a task body must not submit")
-    rows = rows.withColumn("key", t.key())
-    distinct = coalesced(rows.select("key", *dict.fromkeys(t.columns)))
-    known = decoded(store.table(t), t.out).dropDuplicates(["key"])
-    if use_cache:
-        found = known.join(distinct.select("key"), "key", "left_semi")
-        todo = misses(distinct, known)
-    else:
-        found, todo = known.limit(0), distinct
+    spark, settings = rows.sparkSession, Settings.of(rows.sparkSession)
+    if KEY in rows.columns:
+        raise SubmissionError(f"no column may be named {KEY}")
+    rows = rows.withColumn(KEY, t.key(rows.schema))
+    distinct = coalesced(rows.select(KEY, *dict.fromkeys(t.columns)), KEY)
+    todo, found = distinct, None
+    if settings.cache_enabled if use_cache is None else use_cache:
+        try:
+            known = decoded(store.table(t), t.out).dropDuplicates(["key"])
+            found = known.join(distinct.select(F.col(KEY).alias("key")), "key", "left_semi")
+            if listing is not None and settings.verify_files:
+                found = verified(found, listing, check_content=settings.check_content)
+            found = materialize(found, "memo-hits")
+        except Exception as e:
+            warnings.warn(f"the lookup of {t.name} failed, so everything runs: {e}", stacklevel=2)
+            found = None
+    if found is not None:
+        todo = distinct.join(found.select(F.col("key").alias(KEY)), KEY, "left_anti")
     done = None
-    for _ in range(max(1, attempts)):
+    for _ in range(max(1, settings.resubmit_attempts if attempts is None else attempts)):
         ran = materialize(_run_bodies(todo, t), "memo-run")
         good = ran.where("error is null")
         done = good if done is None else done.unionByName(good)
         bad = ran.where("error is not null")
         if bad.isEmpty():
             break
-        todo = todo.join(bad.select("key"), "key", "left_semi")
+        todo = todo.join(bad.select(F.col("key").alias(KEY)), KEY, "left_semi")
     if not no_cache:
         trail = F.array(*map(F.lit, lineage or [])).cast("array<string>")
         store.append(done.select("*", F.lit(t.name).alias("task"), F.lit(t.version).alias("version"), trail.alias("lineage")))
-    fresh = done.unionByName(bad).select("key", F.from_json("result", t.out).alias("value"), "error", F.lit(False).alias("from_cache"))
-    answers = fresh.unionByName(found.select("key", "value", F.lit(None).cast("string").alias("error"), F.lit(True).alias("from_cache")))
-    return rows.join(materialize(answers, "memo-answers"), "key", "left")
+    answers = done.unionByName(bad).select("key", F.from_json("result", t.out).alias("value"), "error", F.lit(False).alias("from_cache"))
+    if found is not None:
+        answers = answers.unionByName(found.select("key", "value", F.lit(None).cast("string").alias("error"), F.lit(True).alias("from_cache")))
+    answers = materialize(answers, "memo-answers").select(F.col("key").alias(KEY), *(F.col(c).alias(f"{prefix}{c}") for c in ("value", "error", "from_cache")))
+    names = [f"{prefix}{c}" for c in ("key", "value", "error", "from_cache")]
+    own = [c for c in rows.columns if c not in (KEY, *names)]
+    return rows.select(KEY, *own).join(answers, KEY, "left").select(*own, F.col(KEY).alias(names[0]), *names[1:])
 
 
 def audited(rows: DataFrame, *messages: Column, to: str = "logs") -> DataFrame:
@@ -226,11 +301,40 @@ def inherited_labels(parent: str | Column, own: str | Column) -> Column:
     return F.concat(parent, own)
 
 
-def node_local(key: str, build: Callable[[], object]) -> object:
-    """A resource made once in each worker process and kept there."""
-    from larkspur.sources.shared import per_worker
+@contextmanager
+def node_local(key: str, build: Callable[[], Any], release: Callable[[Any], None] | None = None) -> Iterator[Any]:
+    """A resource of a worker process: made by the first of its users, given to all others, released after the last one.
 
-    return per_worker(("node-local", key), build)
+    Users that come while it is made wait for it. If making it fails, all who wait get the error, and the next user tries again.
+    """
+    slots, lock = per_worker("node-local", dict), per_worker("node-local-lock", threading.Lock)
+    with lock:
+        slot = slots.get(key)
+        first = slot is None
+        if first:
+            slot = slots[key] = {"n": 0, "ready": threading.Event(), "value": None, "error": None}
+        slot["n"] += 1
+    try:
+        if first:
+            try:
+                slot["value"] = build()
+            except BaseException as e:
+                slot["error"] = e
+                raise
+            finally:
+                slot["ready"].set()
+        slot["ready"].wait()
+        if slot["error"] is not None and not first:
+            raise SubmissionError(f"{key} could not be made") from slot["error"]
+        yield slot["value"]
+    finally:
+        with lock:
+            slot["n"] -= 1
+            last = slot["n"] == 0
+            if slots.get(key) is slot and (last or slot["error"] is not None):
+                del slots[key]
+        if last and slot["error"] is None and release is not None:
+            release(slot["value"])
 
 
 def memoized(t: Task, store: Store) -> Callable[[DataFrame], DataFrame]:

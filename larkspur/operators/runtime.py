@@ -5,13 +5,16 @@ from __future__ import annotations
 import functools
 import time
 from collections.abc import Callable
-from dataclasses import dataclass, fields
+from dataclasses import dataclass
 from typing import Any, TypeVar
 
 from pyspark import TaskContext
 from pyspark.sql import SparkSession
 
 from larkspur.operators.memo import SubmissionError
+from larkspur.operators.settings import Settings
+
+__all__ = ["ResourceRequest", "Settings", "cancellable", "parent", "retry"]
 
 R = TypeVar("R")
 
@@ -94,33 +97,3 @@ def retry(body: Callable[[], R], times: int, wait: float = 2.0) -> R:
                 raise
             times -= 1
             time.sleep(wait)
-
-
-@dataclass(frozen=True)
-class Settings:
-    """Settings of the engine, from a session's ``spark.larkspur.<name>`` where given."""
-
-    cache_enabled: bool = True
-    verify_files: bool = True
-    check_content: bool = True
-    resubmit_attempts: int = 1
-    max_nodes: int = 1
-    max_nodes_cumulative: int = 10
-    max_pending: int = 1
-    heartbeat_seconds: int = 30
-    pending_node_seconds: int = 900
-    max_series: int = 5000
-    code_version: str = "undefined"
-    allow_deletion: bool = False
-    allow_overwrite: bool = False
-    write_histories: bool = False
-
-    @staticmethod
-    def of(spark: SparkSession) -> Settings:
-        found = {}
-        for f in fields(Settings):
-            text = spark.conf.get(f"spark.larkspur.{f.name}", None)
-            if text is not None:
-                kind = type(f.default)
-                found[f.name] = text.lower() == "true" if kind is bool else kind(text)
-        return Settings(**found)

@@ -33,6 +33,11 @@ def query(sql: str | None = None, *relations: str) -> Callable[[Query], Query]:
     return register
 
 
+def text(value: str) -> str:
+    """SQL of the canonical text of a value that is a string."""
+    return f"CASE WHEN {value} IS NULL THEN '~' ELSE concat(CAST(strlen({value}) AS VARCHAR), ':', {value}) END"
+
+
 def joined(array: str) -> F.Column:
     return F.array_join(F.col(array).cast("array<string>"), ",")
 
@@ -40,12 +45,15 @@ def joined(array: str) -> F.Column:
 # --- keys and memoization -------------------------------------------------------------------------------------------
 
 
-@query("SELECT o_orderkey, concat_ws('-', 'price', '1', sha256(concat_ws('|', CAST(o_custkey AS VARCHAR), o_orderpriority))) AS key FROM orders")
+@query(f"SELECT o_orderkey, concat_ws('-', 'price', '1', sha256(concat({text('CAST(o_custkey AS VARCHAR)')}, {text('o_orderpriority')}))) AS key FROM orders")
 def memo_key(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "orders").select("o_orderkey", keys.memo_key("price", 1, "o_custkey", "o_orderpriority").alias("key"))
 
 
-@query("SELECT c_custkey, sha256(concat_ws('|', CAST(c_nationkey AS VARCHAR), coalesce(nullif(c_mktsegment, 'BUILDING'), '<null>'))) AS data_hash FROM customer")
+_SEGMENT = "nullif(c_mktsegment, 'BUILDING')"
+
+
+@query(f"SELECT c_custkey, sha256(concat({text('CAST(c_nationkey AS VARCHAR)')}, {text(_SEGMENT)})) AS data_hash FROM customer")
 def key_of_part_of_input(spark: SparkSession, sf: str) -> DataFrame:
     segment = F.nullif(F.col("c_mktsegment"), F.lit("BUILDING"))
     return table(spark, sf, "customer").select("c_custkey", keys.data_hash("c_nationkey", segment).alias("data_hash"))
@@ -94,7 +102,7 @@ def memo_second_run(spark: SparkSession, sf: str) -> DataFrame:
     return memo.submit(_rate(), rows, store).select("o_orderkey", "value.rank", "value.urgent", "from_cache")
 
 
-@query("SELECT concat_ws('-', 'rate', '1', sha256(o_orderpriority)) AS key, CAST(count(*) AS BIGINT) AS n FROM orders GROUP BY o_orderpriority")
+@query(f"SELECT concat_ws('-', 'rate', '1', sha256({text('o_orderpriority')})) AS key, CAST(count(*) AS BIGINT) AS n FROM orders GROUP BY o_orderpriority")
 def memo_part_key_runs_once(spark: SparkSession, sf: str) -> DataFrame:
     """Rows that differ only outside the key columns share one run."""
     rows = table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_orderpriority")
@@ -241,7 +249,7 @@ def fork_join(spark: SparkSession, sf: str) -> DataFrame:
     return a.union(b).agg(F.count(F.when(F.col("branch") == "a", 1)).alias("a"), F.count(F.when(F.col("branch") == "b", 1)).alias("b"))
 
 
-@query("SELECT doc_id, concat_ws('/', 'run', sha256(concat_ws('|', CAST(doc_id AS VARCHAR), source)), lang) AS path FROM documents")
+@query(f"SELECT doc_id, concat_ws('/', 'run', sha256(concat({text('CAST(doc_id AS VARCHAR)')}, {text('source')})), lang) AS path FROM documents")
 def scoped_paths(spark: SparkSession, sf: str) -> DataFrame:
     """A folder of its own for each input."""
     from larkspur.sources.blobs import scoped_path
