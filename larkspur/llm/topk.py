@@ -1,13 +1,15 @@
 """Exact top-k by inner product with pivot-table elimination.
 
-For vectors q and x the inner product is (|q|^2 + |x|^2 - d(q, x)^2) / 2 with Euclidean distance d. The distances of
-every x to ``pivots`` fixed vectors are computed once; by the triangle inequality the largest |d(q, p) - d(x, p)| over
-the pivots p is a lower bound of d(q, x), hence gives an upper bound of the inner product. Candidates are evaluated
-exactly in the order of that bound, and the search of a query stops when the bound of the next candidate is below the
-k-th score found. Scores are integers and the bound is rounded up, so results are exact, ties included.
-
-Rows are dealt into shards of about ``shard`` vectors, queries into blocks of ``block``; each pair of a shard and a
-block is one group. A group returns at most k rows a query, which a last ranking merges.
+The distances of a vector to the pivots fix its coordinates in their span and its distance from that span. The pivot
+table holds these, computed once for every row: with coordinates a and distance r of x, and b and s of q, the
+distance of q and x is at least that of (a, r) and (b, s). This is the maximum of the lower bounds that distances to the pivots
+allow (the triangle inequality through any one pivot gives less), and it makes a . b + r s an upper bound of the inner
+product. Candidates are evaluated exactly in the order of that bound, and the search of a query stops when the bound of the
+next candidate is below the k-th score found. Bounds are widened by what rounding can change, in proportion to the norms of the
+two vectors at hand, so results are exact, ties included, whatever other rows there are.
+
+Rows are dealt into shards of about ``shard`` vectors by their place in the table, queries into blocks of ``block``; each pair
+of a shard and a block is one group. A group returns at most k rows a query, which a last ranking merges.
 """
 
 from __future__ import annotations
@@ -34,15 +36,31 @@ def usable(embedding: str) -> Column:
 
 
 def choose_pivots(vectors: np.ndarray, pivots: int) -> np.ndarray:
-    """Up to ``pivots`` rows far from each other: each the one farthest from those before."""
-    if not len(vectors):
-        return vectors
-    chosen = [0]
-    far = ((vectors - vectors[0]) ** 2).sum(1)
-    while len(chosen) < min(pivots, len(vectors)) and far.max() > 0:
-        chosen.append(int(far.argmax()))
-        far = np.minimum(far, ((vectors - vectors[chosen[-1]]) ** 2).sum(1))
-    return vectors[chosen]
+    """Orthonormal directions (columns) of the span of up to ``pivots`` rows, each the one farthest from the span of those before."""
+    vectors = vectors.astype(np.float64)
+    rest, norms = vectors.copy(), np.sqrt((vectors * vectors).sum(1))
+    basis = np.zeros((vectors.shape[1], 0))
+    while len(vectors) and basis.shape[1] < min(pivots, vectors.shape[1]):
+        far = np.sqrt((rest * rest).sum(1))
+        far[far <= 1e-6 * norms] = 0
+        best = int(far.argmax())
+        if not far[best] > 0:
+            break
+        u = rest[best] / far[best]
+        u -= basis @ (basis.T @ u)
+        basis = np.hstack([basis, (u / np.sqrt(u @ u))[:, None]])
+        rest -= (rest @ basis[:, -1:]) * basis[:, -1]
+    return basis
+
+
+def pivot_table(x: np.ndarray, basis: np.ndarray) -> np.ndarray:
+    """Coordinates of the rows of x along ``basis`` and, last and rounded up, their distance from its span."""
+    x = x.astype(np.float64)
+    a = x @ basis
+    square = (x * x).sum(1)
+    # the columns of the basis are orthonormal up to some 1e-15
+    rest = np.sqrt(np.maximum(0, square - (a * a).sum(1)) + 1e-13 * square)
+    return np.hstack([a, rest[:, None]])
 
 
 def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
@@ -51,9 +69,12 @@ def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
     return a.flatten().to_numpy(zero_copy_only=False).reshape(n, -1) if n else np.zeros((0, 1))
 
 
-def search_block(q: np.ndarray, qid: np.ndarray, x: np.ndarray, xid: np.ndarray, to_pivots: np.ndarray, pivots: np.ndarray, k: int, first: int = 256) -> list[tuple[int, int, int]]:
-    """(query id, vector id, score) of the k best rows for each query, by elimination; a row with the id of the query is none."""
-    out = []
+def search_block(q: np.ndarray, qid: np.ndarray, x: np.ndarray, xid: np.ndarray, table: np.ndarray, basis: np.ndarray, k: int, first: int = 256) -> tuple[list[tuple[int, int, int]], int]:
+    """(query id, vector id, score) of the k best rows for each query, by elimination, and how many rows were evaluated.
+
+    ``table`` is the pivot table of x for ``basis``. A row with the id of the query is none.
+    """
+    out, evaluated = [], 0
     exact_x, exact_q = x, q
     x, q = x.astype(np.float64), q.astype(np.float64)
     largest = max(np.abs(x).max(initial=0), np.abs(q).max(initial=0))
@@ -61,46 +82,41 @@ def search_block(q: np.ndarray, qid: np.ndarray, x: np.ndarray, xid: np.ndarray,
     # single precision adds the products of small integers without rounding and halves what is read;
     # beyond what double precision holds, scores are added as integers of any size
     kind = np.float32 if total < 1 << 24 else np.float64 if total < 1 << 53 else object
+    wide = np.float64 if kind is object else np.float32
+    slack = 8 * (table.shape[1] + 8) * float(np.finfo(wide).eps)  # products and sums of the bound
+    x_norm, q_norm = np.sqrt((x * x).sum(1)), np.sqrt((q * q).sum(1))
+    left, right = table.astype(wide), pivot_table(q, basis).astype(wide)
     if kind is np.float32:
         x, q = x.astype(kind), q.astype(kind)
-    xn = (x * x).sum(1)
-    most = xn.max(initial=0) ** 0.5
-    from_pivots = np.sqrt(np.maximum(0, ((q[:, None, :] - pivots[None]) ** 2).sum(2))) if len(pivots) else np.zeros((len(q), 0))
-    table = np.ascontiguousarray(to_pivots.T, np.float32)
-    xn = xn.astype(np.float64)
-    low, gap, rows = np.zeros(len(x), np.float32), np.zeros(len(x), np.float32), np.zeros_like(x)
-    for i in range(len(q)):
-        low[:] = 0
-        for p in range(len(table)):
-            np.subtract(table[p], np.float32(from_pivots[i, p]), out=gap)
-            np.maximum(low, np.abs(gap, out=gap), out=low)
-        square = float((q[i] * q[i]).sum())
-        least = np.maximum(0, low.astype(np.float64) - (1e-3 + 1e-6 * (square**0.5 + most)))  # for the rounding of the distances
-        both = square + xn
-        bound = np.ceil((both - least * least) / 2 + (1e-12 * both if kind is object else 0))
-        bound[xid == qid[i]] = -np.inf
-        best_ids, best = np.zeros(0, np.int64), np.zeros(0, kind)
-        rest, size = np.flatnonzero(np.isfinite(bound)), first
-        while len(rest):
-            if len(rest) > size:
-                top = np.argpartition(-bound[rest], size - 1)
-                now, rest = rest[top[:size]], rest[top[size:]]
-            else:
-                now, rest = rest, rest[:0]
-            if kind is object:
-                score = exact_x[now].astype(kind) @ exact_q[i].astype(kind)
-            else:
-                score = np.take(x, now, axis=0, out=rows[: len(now)], mode="clip") @ q[i]
-            if len(best) == k:  # those below the k-th score so far cannot stay
-                now, score = now[score >= best[-1]], score[score >= best[-1]]
-            best, best_ids = np.concatenate([best, score]), np.concatenate([best_ids, xid[now]])
-            order = np.lexsort((best_ids, -best))[:k]
-            best, best_ids = best[order], best_ids[order]
-            if len(best) == k:
-                rest = rest[bound[rest] >= best[-1]]  # equal bounds may tie with a smaller id
-            size *= 4
-        out += [(int(qid[i]), int(v), max(-LIMIT - 1, min(LIMIT, int(s)))) for v, s in zip(best_ids, best, strict=True)]
-    return out
+    rows = np.zeros_like(x)
+    for at in range(0, len(q), 128):
+        bounds = right[at : at + 128] @ left.T
+        for i, bound in enumerate(bounds, at):
+            bound = np.floor(bound + (slack * q_norm[i]) * x_norm)  # scores are integers
+            bound[xid == qid[i]] = -np.inf
+            best_ids, best = np.zeros(0, np.int64), np.zeros(0, kind)
+            rest, size = np.flatnonzero(bound > -np.inf), first
+            while len(rest):
+                if len(rest) > size:
+                    top = np.argpartition(-bound[rest], size - 1)
+                    now, rest = rest[top[:size]], rest[top[size:]]
+                else:
+                    now, rest = rest, rest[:0]
+                evaluated += len(now)
+                if kind is object:
+                    score = exact_x[now].astype(kind) @ exact_q[i].astype(kind)
+                else:
+                    score = np.take(x, now, axis=0, out=rows[: len(now)], mode="clip") @ q[i]
+                if len(best) == k:  # those below the k-th score so far cannot stay
+                    now, score = now[score >= best[-1]], score[score >= best[-1]]
+                best, best_ids = np.concatenate([best, score]), np.concatenate([best_ids, xid[now]])
+                order = np.lexsort((best_ids, -best))[:k]
+                best, best_ids = best[order], best_ids[order]
+                if len(best) == k:
+                    rest = rest[bound[rest] >= best[-1]]  # equal bounds may tie with a smaller id
+                size *= 2
+            out += [(int(qid[i]), int(v), max(-LIMIT - 1, min(LIMIT, int(s)))) for v, s in zip(best_ids, best, strict=True)]
+    return out, evaluated
 
 
 def top_inner_products(
@@ -111,10 +127,10 @@ def top_inner_products(
     id_col: str = "vec_id",
     vector_col: str = "embedding",
     scale: float = 64.0,
-    pivots: int = 16,
+    pivots: int = 48,
     pivot_sample: int = 2048,
     shard: int = 8192,
-    block: int = 1024,
+    block: int = 8192,
 ) -> DataFrame:
     """(query_id, rank, vec_id, score): the k rows of highest integer inner product for each row where ``is_query`` holds.
 
@@ -122,47 +138,46 @@ def top_inner_products(
     smaller id. Vectors that are null, empty or hold null or non-finite components, and rows with a null id, take
     no part; vectors meet only vectors of their own length. Repeated rows count each on their own as candidates; a
     query id that repeats gives the results of one of its rows (that with the least vector). Fewer candidates than k: all.
-    Components and scores beyond 64 bits become the nearest long. The pivots come from ``pivot_sample`` rows (the least by hash of the id); they affect speed only.
+    Components and scores beyond 64 bits become the nearest long. The pivots come from ``pivot_sample`` rows (the least by hash of the id); they affect
+    how many rows are evaluated, not the result. An empty table gives no rows; other columns are ignored.
     """
     whole = F.transform(F.col(vector_col), lambda v: F.floor(F.lit(scale) * v.cast("double")))
     rows = vectors.where(usable(vector_col) & F.col(id_col).isNotNull()).select(
         F.col(id_col).cast("long").alias("id"), whole.alias("v"), F.coalesce(is_query, F.lit(False)).alias("asks")
     )
-    sample = rows.orderBy(F.xxhash64("id"), "id").limit(pivot_sample).select("v").collect()
+    sample = rows.orderBy(F.xxhash64("id"), "id", "v").limit(pivot_sample).select("v").collect()
     by_dim: dict[int, list[list[float]]] = {}
     for r in sample:
         by_dim.setdefault(len(r.v), []).append([float(c) for c in r.v])
     chosen = {d: choose_pivots(np.array(v), pivots) for d, v in by_dim.items()}
     shared = vectors.sparkSession.sparkContext.broadcast(chosen)
 
-    def distances(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def tabulate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             v, lengths = batch.column("v"), batch.column("v").value_lengths().to_numpy(zero_copy_only=False)
             out: list[list[float]] = [[] for _ in range(batch.num_rows)]
             for d in np.unique(lengths).tolist():
                 at = np.flatnonzero(lengths == d)
-                p = shared.value.get(d)
-                if p is None:
-                    continue
-                x = _matrix(v.take(pa.array(at))).astype(np.float64)
-                far = np.sqrt(np.maximum(0, (x * x).sum(1)[:, None] + (p * p).sum(1) - 2 * x @ p.T))
-                for i, row in zip(at.tolist(), far.tolist(), strict=True):
+                x = _matrix(v.take(pa.array(at)))
+                for i, row in zip(at.tolist(), pivot_table(x, shared.value.get(d, np.zeros((d, 0)))).tolist(), strict=True):
                     out[i] = row
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.list_(pa.float64()))], [*batch.schema.names, "far"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.list_(pa.float64()))], [*batch.schema.names, "pivot"])
 
-    indexed = materialize(rows.mapInArrow(distances, "id long, v array<long>, asks boolean, far array<double>"), "pivot-table")
-    counts = indexed.agg(F.count("*"), F.count(F.when(F.col("asks"), 1))).first()
-    shards, blocks = -(-counts[0] // shard) or 1, -(-counts[1] // block) or 1
-    x = indexed.select("id", "v", "far", F.size("v").alias("dim"), F.pmod(F.xxhash64("id", F.lit(1)), F.lit(shards)).alias("shard"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
+    # a number of its own for every row, so that rows of one id are dealt over all shards
+    numbered = rows.withColumn("no", F.monotonically_increasing_id())
+    indexed = materialize(numbered.mapInArrow(tabulate, "id long, v array<long>, asks boolean, no long, pivot array<double>"), "pivot-table")
     asks = indexed.where("asks").groupBy("id").agg(F.min("v").alias("v"))
+    counts = indexed.agg(F.count("*"), F.approx_count_distinct(F.when(F.col("asks"), F.col("id")))).first()
+    shards, blocks = -(-counts[0] // shard) or 1, -(-counts[1] // block) or 1
+    x = indexed.select("id", "v", "pivot", F.size("v").alias("dim"), F.pmod(F.xxhash64("no", F.lit(1)), F.lit(shards)).alias("shard"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
     q = asks.select("id", "v", F.size("v").alias("dim"), F.pmod(F.xxhash64("id", F.lit(2)), F.lit(blocks)).cast("int").alias("block"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"))).alias("shard"))
 
     def group(left: pa.Table, right: pa.Table) -> pa.Table:
         found = []
         if left.num_rows and right.num_rows:
-            p = shared.value.get(left.column("dim")[0].as_py(), np.zeros((0, 1)))
-            far = _matrix(left.column("far")) if len(p) else np.zeros((left.num_rows, 0))
-            found = search_block(_matrix(right.column("v")), right.column("id").to_numpy(), _matrix(left.column("v")), left.column("id").to_numpy(), far, p, k)
+            d = left.column("dim")[0].as_py()
+            basis = shared.value.get(d, np.zeros((d, 0)))
+            found, _ = search_block(_matrix(right.column("v")), right.column("id").to_numpy(), _matrix(left.column("v")), left.column("id").to_numpy(), _matrix(left.column("pivot")), basis, k)
         cols = list(zip(*found, strict=True)) or [(), (), ()]
         return pa.table({n: pa.array(c, pa.int64()) for n, c in zip(("query_id", "vec_id", "score"), cols, strict=True)})
 
