@@ -1,15 +1,16 @@
 """Approximate nearest neighbours by cosine over a robust-pruned directed graph for each shard.
 
-Rows are dealt by a hash of their id into shards of about ``shard`` vectors. In a shard the points enter the graph in
+Rows are dealt by their place in the table, not by id, into shards of about ``shard`` vectors. In a shard the points enter the graph in
 batches: a greedy beam search from fixed entry points proposes neighbours, and relaxed pruning keeps the
 nearest candidate, drops those that are closer to it than to the point by the factor ``alpha``, and goes on with the
-nearest one left, up to ``degree``. Reverse edges are added and pruned alike. Rows with identical vectors share a
-node. The index, one row per input row, is a table in the shared folder. A search runs a beam of width
-``beam`` for every query on every shard; the rows found are scored again in double precision on the
-original vectors, and the best of all shards are kept.
+nearest one left, up to ``degree``. Reverse edges are added and pruned alike. Rows of one direction (equal vectors, or one
+a multiple of the other) share a node. The index, one row per input row, is a table in the shared folder. A search runs a
+beam of width ``beam`` for every query on every shard. The cosines of the nodes found that can be among the k best, ties
+included, are taken again on the original vectors in extended precision and rounded to double, so equal cosines are equal
+numbers and tie by id. The best of all shards are kept.
 
-Queries meet shards in blocks: a group holds one shard and one block of queries. All searches of a group
-advance together, one expansion at a time, as array operations.
+Queries meet shards in blocks: a group holds one shard and one block of queries, of which ``TOGETHER`` at a time advance
+one expansion after the other as array operations.
 """
 
 from __future__ import annotations
@@ -27,6 +28,9 @@ from larkspur.sources.shared import materialize
 INDEX = "dim int, shard long, node int, id long, v array<{kind}>, entry boolean, neighbours array<int>"
 OUT = "query_id long, vec_id long, score double"
 ENTRIES = 8
+TOGETHER = 1024
+#: Cosines in double precision are less than this apart from those in extended precision.
+CLOSE = 1e-9
 
 
 def beam_search(x: np.ndarray, graph: np.ndarray, entries: np.ndarray, q: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
@@ -135,11 +139,14 @@ def build_graph(x: np.ndarray, degree: int = 48, beam: int = 96, alpha: float =
     return graph, entries
 
 
-def _unit(v: np.ndarray) -> np.ndarray:
-    """Unit vectors; each is scaled by its largest component first, so that squares neither overflow nor vanish."""
-    v = v.astype(np.float64)
+def _unit(v: np.ndarray, kind: type = np.float64) -> np.ndarray:
+    """Unit vectors; each is scaled by its largest component first, so that squares neither overflow nor vanish.
+
+    They are made in extended precision: vectors of one direction give equal unit vectors in double.
+    """
+    v = v.astype(np.longdouble)
     v = v / np.abs(v).max(1, keepdims=True)
-    return v / np.sqrt((v * v).sum(1, keepdims=True))
+    return (v / np.sqrt((v * v).sum(1, keepdims=True))).astype(kind)
 
 
 def _kind(df: DataFrame, column: str) -> str:
@@ -150,22 +157,26 @@ def _kind(df: DataFrame, column: str) -> str:
 def build_index(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: str = "embedding", shard: int = 4096, degree: int = 48, beam: int = 96, alpha: float = 1.2) -> DataFrame:
     """The graph index (columns as in ``INDEX``), a table in the shared folder with a row for each usable input row.
 
-    Vectors that are null, empty, zero or hold null or non-finite components, and rows with a null id, are left out.
+    Vectors that are null, empty, zero or hold null or non-finite components, and rows with a null id, are left out. Repeated
+    rows are rows of their own; vectors meet only vectors of their own length; other columns are ignored; an empty table gives
+    an empty index.
     """
     zero = ~F.exists(vector_col, lambda v: v != 0)
     kind = _kind(vectors, vector_col)
     rows = vectors.where(usable(vector_col) & ~zero & F.col(id_col).isNotNull()).select(
         F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast(f"array<{kind}>").alias("v"), F.size(vector_col).alias("dim")
     )
+    # a number of its own for every row, so that rows of one id, however many, are dealt over all shards
+    rows = materialize(rows.withColumn("no", F.monotonically_increasing_id()), "vectors")
     shards = -(-rows.count() // shard) or 1
 
     def build(table: pa.Table) -> pa.Table:
         table = table.sort_by([("id", "ascending")])
-        v = _matrix(table.column("v"))
-        distinct, first, node = np.unique(v, axis=0, return_index=True, return_inverse=True)
+        unit = _unit(_matrix(table.column("v")))
+        distinct, first, node = np.unique(unit, axis=0, return_index=True, return_inverse=True)
         node = node.ravel()
-        graph, entries = build_graph(_unit(distinct).astype(np.float32), degree, beam, alpha)
-        is_first = np.zeros(len(v), bool)
+        graph, entries = build_graph(distinct.astype(np.float32), degree, beam, alpha)
+        is_first = np.zeros(len(unit), bool)
         is_first[first] = True
         links = [graph[k][graph[k] >= 0].tolist() if f else None for k, f in zip(node, is_first, strict=True)]
         return pa.table(
@@ -180,15 +191,16 @@ def build_index(vectors: DataFrame, *, id_col: str = "vec_id", vector_col: str =
             }
         )
 
-    dealt = rows.withColumn("shard", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(shards)))
+    dealt = rows.withColumn("shard", F.pmod(F.xxhash64("no", F.lit(1)), F.lit(shards))).drop("no")
     return materialize(dealt.groupBy("dim", "shard").applyInArrow(build, INDEX.format(kind=kind)), "graph-index")
 
 
-def search(index: DataFrame, queries: DataFrame, *, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding", beam: int = 128, block: int = 1024) -> DataFrame:
+def search(index: DataFrame, queries: DataFrame, *, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding", beam: int = 128, block: int = 4096) -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest rows found for each query, other than those with its own id.
 
     Largest cosine first, ties to the smaller id; all rows found, if fewer than k. Queries with unusable vectors or a
-    null id get no rows; a query id that repeats gives the results of one of its rows (that with the least vector).
+    null id get no rows; a query id that repeats gives the results of one of its rows (that with the least vector). Rows that
+    repeat an id are each found on their own.
     """
     zero = ~F.exists(vector_col, lambda v: v != 0)
     asks = queries.where(usable(vector_col) & ~zero & F.col(id_col).isNotNull())
@@ -212,19 +224,29 @@ def search(index: DataFrame, queries: DataFrame, *, k: int = 5, id_col: str = "v
             graph = np.full((len(starts), max(map(len, links))), -1)
             for row, v in zip(graph, links, strict=True):
                 row[: len(v)] = v
-            exact = _unit(_matrix(left.column("v"))[starts])
+            exact = _matrix(left.column("v"))[starts]
+            unit = _unit(exact)
             entries = np.unique(node[left.column("entry").to_numpy(zero_copy_only=False)])
-            unit, qid = _unit(_matrix(right.column("v"))), right.column("id").to_numpy()
-            near, _ = beam_search(exact.astype(np.float32), graph, entries, unit.astype(np.float32), beam)
-            for i, (u, nodes) in enumerate(zip(unit, near, strict=True)):
-                nodes = nodes[nodes >= 0]
-                score = exact[nodes] @ u
-                own: list[tuple[float, int]] = []
-                for j in np.argsort(-score, kind="stable")[: k + 1]:
-                    # identical vectors share a node; its least ids are the ones that can rank
-                    same = ids[starts[nodes[j]] : ends[nodes[j]]][: k + 1]
-                    own += [(-float(score[j]), int(v)) for v in same if v != qid[i]]
-                found += [(int(qid[i]), v, min(1.0, max(-1.0, -s))) for s, v in sorted(own)[:k]]
+            asked, qid = _unit(_matrix(right.column("v")), np.longdouble), right.column("id").to_numpy()
+            for at in range(0, len(qid), TOGETHER):
+                part = asked[at : at + TOGETHER]
+                near, _ = beam_search(unit.astype(np.float32), graph, entries, part.astype(np.float32), beam)
+                for u, own, nodes in zip(part, qid[at : at + TOGETHER].tolist(), near, strict=True):
+                    nodes = nodes[nodes >= 0]
+                    score = unit[nodes] @ u.astype(np.float64)
+                    order = np.argsort(-score, kind="stable")
+                    nodes, score = nodes[order], score[order]
+                    rows_of = [ids[starts[j] : ends[j]] for j in nodes]
+                    # where the query's own rows stand among the ids of a node
+                    cuts = [(int(np.searchsorted(r, own, "left")), int(np.searchsorted(r, own, "right"))) for r in rows_of]
+                    total = np.cumsum([len(r) - (b - a) for r, (a, b) in zip(rows_of, cuts, strict=True)])
+                    enough = int(np.searchsorted(total, k))
+                    n = len(nodes) if enough >= len(nodes) else int((score >= score[enough] - CLOSE).sum())
+                    cosine = (_unit(exact[nodes[:n]], np.longdouble) @ u).astype(np.float64).tolist()
+                    best: list[tuple[float, int]] = []
+                    for c, r, (a, b) in zip(cosine, rows_of, cuts, strict=False):
+                        best += [(-c, int(v)) for v in [*r[: min(a, k)], *r[b : b + k]]]
+                    found += [(own, v, min(1.0, max(-1.0, -c))) for c, v in sorted(best)[:k]]
         cols = list(zip(*found, strict=True)) or [(), (), ()]
         types = (pa.int64(), pa.int64(), pa.float64())
         return pa.table({n: pa.array(c, t) for n, c, t in zip(("query_id", "vec_id", "score"), cols, types, strict=True)})

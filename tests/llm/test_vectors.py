@@ -59,15 +59,59 @@ def test_topk_blocks_against_all(spark):
     x = np.floor(64 * r.normal(0, 0.3, (500, 8)))
     x[100:200] = x[100]
     ids = r.permutation(500)
-    pivots = topk.choose_pivots(x[:50], 6)
-    far = np.sqrt(((x[:, None] - pivots[None]) ** 2).sum(2))
-    got = topk.search_block(x[:40], ids[:40], x, ids, far, pivots, 20, first=16)
+    basis = topk.choose_pivots(x[:50], 6)
+    got, evaluated = topk.search_block(x[:40], ids[:40], x, ids, topk.pivot_table(x, basis), basis, 20, first=16)
+    assert evaluated < 40 * 500
     for i in range(40):
         s = x @ x[i]
         want = sorted((-s[j], ids[j]) for j in range(500) if ids[j] != ids[i])[:20]
         assert [(v, p) for q, v, p in got if q == ids[i]] == [(v, -p) for p, v in want]
 
 
+def test_topk_bounds_hold():
+    """The bound of a pair is never below its inner product and equals it in the span of the pivots."""
+    r = np.random.default_rng(5)
+    x = np.floor(64 * r.normal(0, 1, (300, 12)) * 10.0 ** r.integers(-1, 6, (300, 1)))
+    for pivots in (0, 1, 5, 12):
+        basis = topk.choose_pivots(x[:100], pivots)
+        assert basis.shape == (12, pivots)
+        table = topk.pivot_table(x, basis)
+        bound, norm = table @ table.T, np.sqrt((x * x).sum(1))
+        assert (bound + 1e-12 * norm * norm[:, None] >= x @ x.T).all()
+    assert np.abs(bound - x @ x.T).max() <= 1e-6 * (norm * norm[:, None]).max()
+
+
+@pytest.mark.parametrize("far", [1e5, 1.5e7, 3e9])
+def test_topk_with_a_far_row_in_another_shard(spark, far):
+    import pyspark.sql.functions as F
+
+    r = np.random.default_rng(11)
+    x = r.normal(0.6, 0.05, (6000, 16))
+    x[17] = far * r.normal(1, 0.1, 16)
+    data = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<double>")
+    got = {}
+    for row in topk.top_inner_products(data, F.col("vec_id") % 100 == 0, shard=1500).collect():
+        got.setdefault(row.query_id, {})[row["rank"]] = (row.score, row.vec_id)
+    y = np.floor(64 * x).astype(np.int64).astype(object)
+    for q in range(0, 6000, 100):
+        s = y @ y[q]
+        want = sorted((-min(v, topk.LIMIT), i) for i, v in enumerate(s.tolist()) if i != q)[:20]
+        assert [got[q][k + 1] for k in range(20)] == [(-v, i) for v, i in want]
+
+
+def test_topk_rows_of_one_id_go_to_all_shards(spark):
+    import pyspark.sql.functions as F
+
+    r = np.random.default_rng(12)
+    rows_ = [(0 if i % 3 else i, v) for i, v in enumerate(r.normal(0, 0.3, (900, 6)).tolist())]
+    data = spark.createDataFrame(rows_, "vec_id long, embedding array<double>").repartition(5)
+    got = topk.top_inner_products(data, (F.col("vec_id") % 20 == 0) & (F.col("vec_id") > 0), k=4, shard=100, block=8).collect()
+    for q, v in rows_:
+        if q and q % 20 == 0:
+            s = sorted(((-int(np.floor(64 * np.array(w)) @ np.floor(64 * np.array(v))), i) for i, w in rows_ if i != q))[:4]
+            assert sorted((x["rank"], x.vec_id, x.score) for x in got if x.query_id == q) == [(k + 1, i, -p) for k, (p, i) in enumerate(s)]
+
+
 def recall(spark, got, table):
     data = [(r.vec_id, r.embedding) for r in spark.read.parquet(table).collect()]
     ids, u = np.array([d[0] for d in data]), ann._unit(np.array([d[1] for d in data], np.float32))
@@ -112,6 +156,31 @@ def test_ann_odd_vectors(spark):
     assert not any(math.isnan(r.score) for r in got)
 
 
+def test_ann_ties_of_scaled_copies(spark):
+    """Multiples of one vector have one cosine: ties go to the least ids, however many there are."""
+    r = np.random.default_rng(3)
+    base = r.integers(-9, 10, 16).astype(float)
+    rows_ = [(i, (base * (1 + (7 * i) % 41)).tolist()) if i <= 40 else (i, r.normal(0, 1, 16).tolist()) for i in range(240)]
+    for kind in ("float", "double"):
+        data = spark.createDataFrame(rows_, f"vec_id long, embedding array<{kind}>")
+        for shard in (4096, 60):
+            got = ann.search(ann.build_index(data, shard=shard), data.where("vec_id in (0, 7)")).collect()
+            found = {q: [(x.vec_id, x.score) for x in sorted(got, key=lambda x: x["rank"]) if x.query_id == q] for q in (0, 7)}
+            assert found == {0: [(i, 1.0) for i in (1, 2, 3, 4, 5)], 7: [(i, 1.0) for i in (0, 1, 2, 3, 4)]}
+
+
+def test_ann_rows_of_one_id(spark):
+    one, other = [1.0, 2.0, 3.0], [3.0, 0.0, -1.0]
+    rows_ = [(0, one)] * 7 + [(1, one), (2, one), (3, other), (0, other)]
+    data = spark.createDataFrame(rows_, "vec_id long, embedding array<float>").repartition(3)
+    for shard in (4096, 2):
+        index = ann.build_index(data, shard=shard)
+        assert index.count() == len(rows_)
+        got = ann.search(index, data).collect()
+        assert [(x.vec_id, round(x.score, 12)) for x in sorted(got, key=lambda x: x["rank"]) if x.query_id == 0] == [(1, 1.0), (2, 1.0), (3, 0.0)]
+        assert [x.vec_id for x in got if x.query_id == 1] == [0] * 5
+
+
 def test_graph_of_equal_and_single_points():
     for x in (np.ones((1, 4)), np.repeat(np.eye(4), 2, 0)):
         unit = ann._unit(x).astype(np.float32)
