@@ -7,12 +7,16 @@ of tag, classes and id the cascade is followed. A rule hides only where it holds
 that is not evaluated, can only show (over rules of the sheets, not over inline styles), so no text is lost to it. The renderer lays out blocks on lines of their
 own with a blank line around paragraphs and headings, lists with markers and indentation, preformatted text as it is,
 and tables with padded columns.
+
+Every step reads a page once: attributes are scanned without going back, open elements are counted by name, and elements stand
+at most DEPTH deep (deeper ones become siblings, as in browsers), so time grows with the page whatever its markup.
 """
 
 from __future__ import annotations
 
 import html as entities
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -62,8 +66,12 @@ IMPLIED = {
 IMPLIED = {k: (frozenset(a.split()), frozenset(b.split())) for k, (a, b) in IMPLIED.items()}
 SPACE = " \t\n\r\f"
 TOKEN = re.compile(r"<(?:(!--)|(/?)([a-zA-Z][^\s/>\x00]*)|([!?]|/(?=[^a-zA-Z])))")
-ATTRIBUTE = re.compile(r"""[\s/]*([^\s/>=][^\s/>=]*)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]*)))?""")
-TAG_END = re.compile(r"""(?:[^>"']|(?<==)"[^"]*"|(?<==)'[^']*'|(?<==\s)"[^"]*"|(?<==\s)'[^']*'|["'])*?>""")
+#: The end of a tag, or an attribute and its value; nothing is matched at the end of the page.
+ATTRIBUTE = re.compile(r"""[ \t\n\r\f/]*+(?:(>)|(=?[^ \t\n\r\f/>=]*+)(?:[ \t\n\r\f]*+=[ \t\n\r\f]*+(?:"([^"]*+)"|'([^']*+)'|(?!["'])([^ \t\n\r\f>]*+)))?+)""")
+NUMBER = re.compile("&#[0-9]{8,}+;?")
+#: Open elements at a time, the widest padding of a column and of a row before its last cell, and the widest indentation.
+DEPTH, PAD, LINE, INDENT = 512, 120, 480, 64
+FENCES = frozenset("button td th table caption object".split())
 BLANKS = re.compile(f"[{SPACE}]+")
 CSS = re.compile(r"([^{};]*)([{};]|$)")
 COMPOUND = re.compile(r"(\*|[a-zA-Z][\w-]*)?((?:[.#][\w-]+)*)$")
@@ -83,12 +91,29 @@ class Node:
         self.name, self.attrs, self.children = name, attrs, []
 
 
-def _attributes(text: str) -> dict[str, str]:
+def _unescape(text: str) -> str:
+    if "&" not in text:
+        return text
+    return entities.unescape(NUMBER.sub("\ufffd", text) if "&#" in text else text)
+
+
+def _tag(page: str, at: int) -> tuple[dict[str, str], int]:
+    """The attributes of a tag whose name ends at ``at``, and where it ends (-1: never).
+
+    A quote that is never closed is a part of a name, so that no text is lost to it.
+    """
     out: dict[str, str] = {}
-    for m in ATTRIBUTE.finditer(text):
-        value = m[2] if m[2] is not None else m[3] if m[3] is not None else m[4] or ""
-        out.setdefault(m[1].lower(), entities.unescape(value) if "&" in value else value)
-    return out
+    if page.startswith(">", at):
+        return out, at + 1
+    while True:
+        m = ATTRIBUTE.match(page, at)
+        at = m.end()
+        if m[1]:
+            return out, at
+        if not m[2]:
+            return out, -1
+        value = m[3] if m[3] is not None else m[4] if m[4] is not None else m[5] or ""
+        out.setdefault(m[2].lower(), _unescape(value))
 
 
 def parse(page: str) -> tuple[Node, list[str]]:
@@ -97,25 +122,34 @@ def parse(page: str) -> tuple[Node, list[str]]:
     head, body = Node("head", {}), Node("body", {})
     root.children = [head, body]
     stack: list[Node] = [root, head]
+    held: Counter[str] = Counter()  # open elements by name, below the head or body
+    marks: list[int] = []  # where open paragraphs, and what shields them, stand
     styles: list[str] = []  # with their media
 
+    def cut(i: int) -> None:
+        for node in stack[i:]:
+            held[node.name] -= 1
+        del stack[i:]
+        while marks and marks[-1] >= i:
+            marks.pop()
+
     def in_body() -> None:
         if stack[1] is head:
+            cut(2)
             stack[1:] = [body]
 
-    def pop_until(names: frozenset[str], fence: frozenset[str], deepest: bool = True) -> None:
+    def pop_until(names: frozenset[str], fence: frozenset[str]) -> None:
         """Close open elements of the given names, up to a fence."""
-        cut = None
+        if not any(held[name] for name in names):
+            return
+        last = None
         for i in range(len(stack) - 1, 1, -1):
             if stack[i].name in fence:
                 break
             if stack[i].name in names:
-                cut = i
-                if deepest:
-                    continue
-                break
-        if cut is not None:
-            del stack[cut:]
+                last = i
+        if last is not None:
+            cut(last)
 
     def text(data: str) -> None:
         if not data:
@@ -124,7 +158,7 @@ def parse(page: str) -> tuple[Node, list[str]]:
             if not data.strip(SPACE):
                 return
             in_body()
-        stack[-1].children.append(entities.unescape(data) if "&" in data else data)
+        stack[-1].children.append(_unescape(data))
 
     def start(name: str, attrs: dict[str, str]) -> None:
         if name in ("html", "body", "head"):
@@ -136,13 +170,8 @@ def parse(page: str) -> tuple[Node, list[str]]:
             return
         if stack[1] is head and name not in HEAD:
             in_body()
-        if name in ENDS_P:
-            for i in range(len(stack) - 1, 1, -1):
-                if stack[i].name in ("button", "td", "th", "table", "caption", "object"):
-                    break
-                if stack[i].name == "p":
-                    del stack[i:]
-                    break
+        if name in ENDS_P and marks and stack[marks[-1]].name == "p":
+            cut(marks[-1])
         if name in IMPLIED:
             pop_until(*IMPLIED[name])
         parent = stack[-1].name
@@ -155,10 +184,15 @@ def parse(page: str) -> tuple[Node, list[str]]:
         push(name, attrs)
 
     def push(name: str, attrs: dict[str, str]) -> None:
+        if len(stack) >= DEPTH:
+            cut(DEPTH - 1)
         node = Node(name, attrs)
         stack[-1].children.append(node)
         if name not in VOID:
+            if name == "p" or name in FENCES:
+                marks.append(len(stack))
             stack.append(node)
+            held[name] += 1
 
     def end(name: str) -> None:
         if name == "head":
@@ -170,13 +204,15 @@ def parse(page: str) -> tuple[Node, list[str]]:
         if name == "br":
             start("br", {})
             return
-        if name == "p" and not any(n.name == "p" for n in stack[2:]):
+        if name == "p" and not held["p"]:
             in_body()
             push("p", {})
+        if not held[name]:
+            return
         fence = () if name in ("table", "html", "body") else ("table",) if name in ("td", "th", "tr", "tbody", "thead", "tfoot", "caption") else ("td", "th", "table", "caption")
         for i in range(len(stack) - 1, 1, -1):
             if stack[i].name == name:
-                del stack[i:]
+                cut(i)
                 return
             if stack[i].name in fence:
                 return
@@ -196,19 +232,12 @@ def parse(page: str) -> tuple[Node, list[str]]:
             at = n if stop < 0 else stop + 3
         elif m[3]:
             name = m[3].lower()
-            close = page.find(">", m.end())
-            inner = page[m.end() : close] if close >= 0 else ""
-            if close >= 0 and ('"' in inner or "'" in inner):
-                whole = TAG_END.match(page, m.end())
-                close = whole.end() - 1 if whole else close
-                inner = page[m.end() : close]
-            if close < 0:  # a tag without an end is dropped with the rest of the page
+            attrs, at = _tag(page, m.end())
+            if at < 0:  # a tag without an end is dropped with the rest of the page
                 break
-            at = close + 1
             if m[2]:
                 end(name)
                 continue
-            attrs = _attributes(inner) if inner and inner != "/" else {}
             if name in RAW or name in RCDATA:
                 stop = re.compile(f"</{name}(?=[\\s/>])", re.I).search(page, at)
                 data = page[at : stop.start()] if stop else page[at:]
@@ -217,7 +246,7 @@ def parse(page: str) -> tuple[Node, list[str]]:
                 if name == "style":
                     styles.append(f"@media {attrs['media']}{{{data}}}" if attrs.get("media", "").strip() else data)
                 if data and name != "script":
-                    stack[-1].children.append(entities.unescape(data) if name in RCDATA else data)
+                    stack[-1].children.append(_unescape(data) if name in RCDATA else data)
             elif name == "plaintext":
                 start(name, attrs)
                 stack[-1].children.append(page[at:])
@@ -263,12 +292,21 @@ def applies(prelude: str) -> bool | None:
     return True if True in found else None if None in found else False
 
 
+def _without_comments(style: str) -> str:
+    parts, at = [], 0
+    while (begin := style.find("/*", at)) >= 0:
+        parts.append(style[at:begin])
+        stop = style.find("*/", begin + 2)
+        at = len(style) if stop < 0 else stop + 2
+    return "".join([*parts, style[at:]]).replace("<!--", "").replace("-->", "")
+
+
 def sheet_rules(styles: list[str]) -> list[tuple[str, str, bool | None]]:
     """(selectors, declarations, whether the rule holds) of style rules in order, also of those within at-rules."""
     found = []
     for style in styles:
         stack: list[list] = []  # prelude, declarations, state
-        for m in CSS.finditer(re.sub(r"/\*.*?\*/|<!--|-->", "", style, flags=re.S)):
+        for m in CSS.finditer(_without_comments(style)):
             text, end = m[1].strip(), m[2]
             if end == "{":
                 outer = stack[-1] if stack else ["", [], True]
@@ -428,9 +466,9 @@ class Layout:
                             number += 1
                 elif child.name == "li":
                     mark = child.attrs.get("\0marker", "* ")
-                    self.indent, self.marker = indent + " " * len(mark), mark
+                    self.indent, self.marker = (indent + " " * len(mark))[: max(INDENT, len(mark))], mark
                 elif child.name in ("dd", "blockquote"):
-                    self.indent = indent + "  "
+                    self.indent = (indent + "  ")[:INDENT]
 
                 def leave(indent: str = indent, spaced: bool = spaced) -> None:
                     self.newline(spaced)
@@ -443,8 +481,8 @@ class Layout:
                 undo.append((None, pre or child.name in PRE))
 
     def table(self, node: Node) -> None:
-        """Rows on lines, columns padded to their widest cell; nested blocks in a cell give lines of the cell."""
-        rows: list[list[list[str]]] = []
+        """Rows on lines, columns padded to their widest line (PAD at most, LINE in all); nested blocks in a cell give lines of the cell."""
+        rows: list[dict[int, list[str]]] = []
         captions: list[Node] = []
         loose: list[Node] = []
         groups: dict[str, list[Node]] = {"thead": [], "tbody": [], "tfoot": []}
@@ -460,7 +498,7 @@ class Layout:
                     groups[part.name].append(part)
                 else:
                     loose.append(part)
-        spans: dict[int, int] = {}
+        above: list[tuple[int, int, int]] = []  # first column, column after, last row of cells that reach down
         for part in (p for k in ("thead", "tbody", "tfoot") for p in groups[k]):
             for row in part.children:
                 if isinstance(row, str) or row.name != "tr":
@@ -470,13 +508,10 @@ class Layout:
                     continue
                 if self.hidden(row):
                     continue
-                cells: list[list[str]] = []
-
-                def fill() -> None:
-                    while spans.get(len(cells), 0) > 0:  # noqa: B023
-                        spans[len(cells)] -= 1  # noqa: B023
-                        cells.append([])  # noqa: B023
-
+                number, here, passed = len(rows), 0, 0
+                above = [x for x in above if x[2] >= number]
+                cells: dict[int, list[str]] = {}
+                reach: list[tuple[int, int, int]] = []
                 for cell in row.children:
                     if isinstance(cell, str):
                         if cell.strip(SPACE):
@@ -485,31 +520,39 @@ class Layout:
                         continue
                     if self.hidden(cell):
                         continue
-                    fill()
+                    while passed < len(above) and above[passed][0] <= here:
+                        here = max(here, above[passed][1])
+                        passed += 1
                     inner = Layout(self.rules)
                     inner.walk(cell)
-                    here, down = len(cells), min(1000, max(1, _number(cell.attrs.get("rowspan"), 1)))
+                    if lines := inner.done():
+                        cells[here] = lines
+                    down = min(1000, max(1, _number(cell.attrs.get("rowspan"), 1)))
                     wide = min(1000, max(1, _number(cell.attrs.get("colspan"), 1)))
-                    cells.append(inner.done())
-                    cells += [[] for _ in range(wide - 1)]
                     if down > 1:
-                        spans.update({here + i: down - 1 for i in range(wide)})
-                fill()
+                        reach.append((here, here + wide, number + down - 1))
+                    here += wide
+                if reach:
+                    above = sorted(above + reach)
                 rows.append(cells)
         for part in [*captions, *loose]:  # text outside cells comes before the table
             self.newline()
             self.walk(part)
             self.newline()
-        width: list[int] = []
+        width: dict[int, int] = {}
         for cells in rows:
-            for i, cell in enumerate(cells):
-                if i == len(width):
-                    width.append(0)
-                width[i] = max(width[i], max(map(len, cell), default=0))
-        used = [i for i, w in enumerate(width) if w]
+            for i, cell in cells.items():
+                width[i] = max(width.get(i, 0), max(map(len, cell)))
+        place, end = {}, 0
+        for i in sorted(i for i, w in width.items() if w):
+            place[i] = min(end, LINE)
+            end += min(width[i], PAD) + 2
         for cells in rows:
-            for k in range(max(map(len, cells), default=0)):
-                line = "  ".join((cells[i][k] if i < len(cells) and k < len(cells[i]) else "").ljust(width[i]) for i in used)
+            for k in range(max(map(len, cells.values()), default=0)):
+                line = ""
+                for i, cell in cells.items():
+                    if k < len(cell) and cell[k]:
+                        line += " " * max(place[i] - len(line), 2 if line else 0) + cell[k]
                 if line.strip():
                     self.word(line.rstrip())
                     self.newline()
@@ -540,8 +583,10 @@ def extract(pages: DataFrame, *, html_col: str = "html", to: str = "text") -> Da
     """``pages`` with the visible text of each row in column ``to`` (which it replaces).
 
     Null pages give null, pages without visible text an empty text. Equal pages get equal texts. Malformed markup never
-    fails: stray end tags are ignored, open elements end with the page, a tag that never ends is dropped. Rows
-    stay in their partition: no shuffle; an empty table gives no rows.
+    fails: stray end tags are ignored, open elements end with the page, a tag that never ends is dropped, elements
+    over DEPTH deep become siblings of the deepest, and a number that names no character becomes U+FFFD. Pages of any length are read whole.
+    Columns of tables are padded to PAD characters, rows to LINE before a cell, and texts indented by INDENT at most; longer lines push aside what follows. Rows
+    stay in their partition: no shuffle; other columns stay as they are; an empty table gives no rows.
     """
     kept = [c for c in pages.columns if c != to]
     schema = T.StructType([T.StructField(c, pages.schema[c].dataType) for c in kept] + [T.StructField(to, T.StringType())])

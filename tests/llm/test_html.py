@@ -1,9 +1,11 @@
+import random
 import re
+import time
 from html.parser import HTMLParser
 
 import pytest
 
-from larkspur.llm.html import extract, text_of
+from larkspur.llm.html import DEPTH, PAD, extract, text_of
 
 SKIP = {"script", "style", "head", "title", "template", "noscript"}
 
@@ -114,3 +116,109 @@ def test_media_of_a_sheet_and_inline_styles():
     assert text_of("<style media=print>.x{display:none}</style><p class=x>a") == "a"
     assert text_of("<style>.x{display:none}</style><p class=x style='display:block'>a") == "a"
     assert text_of("<style>.a .x{display:block}</style><p class=x style='display:none'>a<p>b") == "b"
+
+
+class Lines(HTMLParser):
+    """The lines of pages of headings, paragraphs, flat lists and line breaks: a second renderer, without a tree."""
+
+    BLOCK, SPACED = {"li", "div", "article", "footer", "nav", "body"}, {"p", "h1", "ul"}
+
+    def __init__(self):
+        super().__init__()
+        self.lines, self.now, self.due, self.depth, self.open = [], "", False, 0, False
+
+    def flush(self, due=False):
+        text = " ".join(self.now.split())
+        if text and text != "*":
+            self.lines += [""] * (self.due and bool(self.lines)) + [text]
+            self.due = False
+        self.now, self.due = "", self.due or due
+
+    def handle_starttag(self, tag, attrs):
+        self.depth += tag in SKIP
+        if tag == "br":
+            self.due |= not self.now.strip() and bool(self.lines)
+            self.flush()
+        elif tag in self.BLOCK | self.SPACED:
+            self.flush(tag in self.SPACED or self.open)
+            self.now, self.open = "* " if tag == "li" else "", tag == "p"
+
+    def handle_endtag(self, tag):
+        self.depth -= tag in SKIP and self.depth > 0
+        if tag in self.BLOCK | self.SPACED:
+            self.flush(tag in self.SPACED or self.open)
+            self.open = False
+
+    def handle_data(self, data):
+        self.now += "" if self.depth else data
+
+
+def test_layout_of_the_table(spark):
+    for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect():
+        p = Lines()
+        p.feed(r.html)
+        p.close()
+        p.flush()
+        assert text_of(r.html) == "\n".join(p.lines)
+
+
+def test_random_tables():
+    """Cells in a grid that is filled square by square."""
+    r = random.Random(9)
+    for _ in range(300):
+        grid, page, texts = {}, "<table>", {}
+        for row in range(r.randint(1, 6)):
+            page, col = page + "<tr>", 0
+            for _ in range(r.randint(0, 5)):
+                while (row, col) in grid:
+                    col += 1
+                wide, down = r.choice([1, 1, 1, 2, 3]), r.choice([1, 1, 1, 2, 4])
+                texts[row, col] = text = r.choice(["", "x", "yy zz", "long words here"])
+                for i in range(down):
+                    for k in range(wide):
+                        grid[row + i, col + k] = 1
+                page += f"<td colspan={wide} rowspan={down}>{text}</td>"
+                col += wide
+        width = {}
+        for (_, col), text in texts.items():
+            width[col] = max(width.get(col, 0), len(text))
+        used = [c for c in sorted(width) if width[c]]
+        lines = ["  ".join(texts.get((row, c), "").ljust(width[c]) for c in used).rstrip() for row in range(7)]
+        assert text_of(page) == "\n".join(x for x in lines if x)
+
+
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        ("<a b=\">\"" + ' c="1"' * 30, ""),
+        ("<a b=\">\"" + ' c="1"' * 30_000 + ">x", "x"),
+        ("<a" + "/" * 20_000 + ">x", "x"),
+        ("<table><tr><td>" * 600 + "x", "x"),
+        ("<table><tr><td>" * 5000 + "x" + "</table>" * 5000 + "y", "x\n\ny"),
+        ("<table>" * 5000 + "x", "x"),
+        ("<table><caption>" * 5000 + "x", "x"),
+        ("<p><button>" + "<div>" * 20_000 + "x", "x"),
+        ("<div>" * 20_000 + "x" + "</div>" * 20_000, "x"),
+        ("<table>" + "<tr><td colspan=1000 rowspan=1000>x" * 500, None),
+        ("<style>" + "/*" * 50_000 + "</style>x", "x"),
+        ("<a ='" * 20_000 + ">x", "x"),
+        ("<a title=\"x>y</a>", "y"),
+        ("&#" + "1" * 10_000 + "; &#99999999999; &#x110000;", "\ufffd \ufffd \ufffd"),
+        ("<ul><li>" * 3000 + "x", None),
+        ("<blockquote>" * 500 + "x", None),
+    ],
+)
+def test_malformed_pages_take_linear_time(page, text):
+    began = time.process_time()
+    got = text_of(page)
+    assert time.process_time() - began < 1
+    if text is not None:
+        assert got == text
+    assert len(got) < 100 + 40 * len(page)
+
+
+def test_bounds_of_the_layout():
+    deep = "".join(f"<div>{i}" for i in range(2 * DEPTH))
+    assert text_of(deep).split("\n") == [str(i) for i in range(2 * DEPTH)]
+    long = "w" * (3 * PAD)
+    assert text_of(f"<table><tr><td>{long}<td>a<tr><td>b<td>c</table>") == f"{long}  a\nb{' ' * (PAD + 1)}c"
