@@ -3,11 +3,14 @@
 Features of a text: its letters in lower case, every run of other characters one space, as UTF-8; counts of the byte
 1-, 2- and 3-grams of the whole text, hashed into ``dims`` bins; square roots of their shares (a unit vector). Linear
 support vector machines (squared hinge loss) decide: one against the rest between families, one against one
-between the languages of a family, by votes and then by summed margins. A sigmoid fitted to the training margins
+between the languages of a family, by votes and then by summed margins; in a family of more than WIDE languages, whose
+pairs would be too many, one against the rest. A sigmoid fitted to the training margins
 turns a margin into a confidence; the score of a prediction is the product of the two steps' confidences.
 
-Only the fit is bounded: at most ``sample`` rows of each language, those with the smallest hash of id and text, take
-part; the features of these rows alone reach the driver. Prediction runs where the text is read, without a shuffle.
+Only the fit is bounded: of each language at most ``sample`` different texts, those with the smallest hash, take part,
+``rows`` over all languages, and at most ``labels`` languages, those with the most rows. Each Spark task keeps the smallest hashes of the texts
+it reads and each text among the chosen ones once, so copies of a text, however many, count once and the driver
+gets ``rows`` sparse vectors at most. Prediction runs where the text is read, without a shuffle.
 """
 
 from __future__ import annotations
@@ -18,7 +21,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -43,6 +46,8 @@ FAMILIES = {
 }
 OTHER = re.compile(r"[\W\d_]+")
 CHUNK = 1 << 20
+#: Languages of a family up to which every pair has a test of its own.
+WIDE = 48
 
 
 def family_of(lang: str) -> str:
@@ -131,9 +136,15 @@ class Model:
             for f in self.families:
                 add(("", f, ""), every, np.where(of == f, 1.0, -1.0))
         for f, own in self.members.items():
+            if len(own) > WIDE:
+                keep = of == f
+                for p in own:
+                    add((f, p, ""), keep, np.where(lang[keep] == p, 1.0, -1.0))
+                continue
             for p, q in combinations(own, 2):
                 keep = (lang == p) | (lang == q)
                 add((f, p, q), keep, np.where(lang[keep] == p, 1.0, -1.0))
+        self.own_tests = {f: [(i, p, q) for i, (g, p, q) in enumerate(self.tests) if g == f] for f in self.families}
         self.weights = np.array(rows, np.float32).reshape(-1, dims + 1).T.copy()
         self.scale = np.array(scale).reshape(-1, 2)
 
@@ -153,8 +164,11 @@ class Model:
                 family, score = self.families[k], s[k]
             own = self.members[family]
             best = own[0]
-            if len(own) > 1:
-                tests = [(i, p, q) for i, (f, p, q) in enumerate(self.tests) if f == family]
+            tests = self.own_tests[family]
+            if len(own) > WIDE:
+                k = max(tests, key=lambda t: s[t[0]])
+                best, score = k[1], score * s[k[0]]
+            elif len(own) > 1:
                 votes = dict.fromkeys(own, (0, 0.0))
                 for i, p, q in tests:
                     n, t = votes[p if s[i] >= 0.5 else q]
@@ -167,59 +181,79 @@ class Model:
         return out
 
 
-def fit(labelled: DataFrame, *, id_col: str, text_col: str, lang_col: str, sample: int, dims: int) -> Model:
-    """Fit on at most ``sample`` rows of each language (those with the smallest hash of id and text)."""
-    rows = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    counts = {r[0]: r[1] for r in rows.groupBy(lang_col).count().collect()}
+def fit(labelled: DataFrame, *, text_col: str, lang_col: str, sample: int, rows: int, labels: int, dims: int) -> Model:
+    """Fit on at most ``sample`` different texts of each language (see the module)."""
+    spark = labelled.sparkSession
+    known = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).cast("string").rlike(r"\p{L}"))
+    known = known.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"))
+    counts = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(labels).collect()
     if not counts:
         return Model(np.zeros((0, dims), np.float32), [], dims)
-    place = F.pmod(F.xxhash64(id_col, text_col), F.lit(1 << 40)).cast("double") / (1 << 40)
-    share = F.lit(0.0)
-    for lang, n in counts.items():
-        share = F.when(F.col(lang_col) == lang, min(1.0, sample / n + 4 * sample**0.5 / n)).otherwise(share)
-    chosen = rows.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"), place.alias("place"), share.alias("share")).where("place < share")
+    if len(counts) == labels:
+        known = known.where(F.col("lang").isin([r.lang for r in counts]))
+    each = max(2, min(sample, rows // len(counts)))
+    known = known.withColumn("place", F.xxhash64("text"))
+
+    def smallest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept: dict[str, np.ndarray] = {}
+        for batch in batches:
+            names, of = np.unique(batch.column("lang").to_numpy(zero_copy_only=False), return_inverse=True)
+            place = batch.column("place").to_numpy()
+            for k, name in enumerate(names.tolist()):
+                found = place[of == k]
+                kept[name] = np.unique(np.concatenate([kept[name], found]) if name in kept else found)[:each]
+        for name, places in kept.items():
+            yield pa.RecordBatch.from_arrays([pa.array([name] * len(places), pa.string()), pa.array(places)], ["lang", "place"])
+
+    order = F.row_number().over(Window.partitionBy("lang").orderBy("place"))
+    least = known.select("lang", "place").mapInArrow(smallest, "lang string, place long").distinct().withColumn("r", order).where(F.col("r") <= each)
+    limits = least.groupBy("lang").agg(F.max("place").alias("last")).collect()  # a row a language
+    limit = F.broadcast(spark.createDataFrame(limits, "lang string, last long"))
+    chosen = known.join(limit, "lang").where("place <= last").select("lang", "text", "place")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[tuple[str, int]] = set()
         for batch in batches:
             for part in slices(batch, "text"):
-                found = [(k, at, features(t, dims)) for k, at, t in zip(*(part.column(c).to_pylist() for c in ("lang", "place", "text")), strict=True)]
+                found = []
+                for k, at, t in zip(*(part.column(c).to_pylist() for c in ("lang", "place", "text")), strict=True):
+                    if (k, at) not in seen:
+                        seen.add((k, at))
+                        found.append((k, at, features(t, dims)))
                 found = [(k, at, v) for k, at, v in found if v is not None]
                 bins = [np.flatnonzero(v) for _, _, v in found]
                 cols = [[k for k, _, _ in found], [at for _, at, _ in found], [i.astype("<u2").tobytes() for i in bins], [v[i].astype("<f4").tobytes() for (_, _, v), i in zip(found, bins, strict=True)]]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.float64(), pa.binary(), pa.binary()), strict=True)], ["lang", "place", "bins", "values"])
-
-    got = sorted(chosen.mapInArrow(run, "lang string, place double, bins binary, values binary").collect(), key=lambda r: (r.lang, r.place, bytes(r.bins), bytes(r["values"])))
-    taken: dict[str, int] = {}
-    keep = []
-    for r in got:
-        taken[r.lang] = taken.get(r.lang, 0) + 1
-        if taken[r.lang] <= sample:
-            keep.append(r)
-    x = np.zeros((len(keep), dims), np.float32)
-    for row, r in zip(x, keep, strict=True):
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.int64(), pa.binary(), pa.binary()), strict=True)], ["lang", "place", "bins", "values"])
+
+    got = chosen.mapInArrow(run, "lang string, place long, bins binary, values binary").dropDuplicates(["lang", "place"]).collect()
+    got.sort(key=lambda r: (r.lang, r.place))
+    x = np.zeros((len(got), dims), np.float32)
+    for row, r in zip(x, got, strict=True):
         row[np.frombuffer(r.bins, "<u2")] = np.frombuffer(r["values"], "<f4")
-    return Model(x, [r.lang for r in keep], dims)
+    return Model(x, [r.lang for r in got], dims)
 
 
 def identify(
     docs: DataFrame,
     learn_from: Column,
     *,
-    id_col: str = "doc_id",
     text_col: str = "text",
     lang_col: str = "lang",
     sample: int = 400,
+    rows: int = 20_000,
+    labels: int = 1024,
     dims: int = 4096,
 ) -> DataFrame:
     """``docs`` with ``lang_pred`` and ``score`` (0 to 1) for every row; both replace columns of these names.
 
-    The model learns from the rows where ``learn_from`` holds and ``lang_col`` is not null, at most ``sample`` of each
-    language; a prediction sees the text alone. Text that is null or without a letter, and every text if there
+    The model learns from the rows where ``learn_from`` holds and ``lang_col`` is not null, at most ``sample`` different texts of each
+    language, ``rows`` in all (two of each at least) and the ``labels`` languages with the most rows; a prediction sees the text alone. Text that is null or without a letter, and every text if there
     is nothing to learn from, gets ``und`` with score 0. Equal texts get equal predictions; ties between languages
-    go to the first in order of votes, margins and then code. An empty table gives no rows. ``dims`` is a power of two
+    go to the first in order of votes, margins and then code. Very long texts count whole. Repeated rows each get their
+    prediction; other columns stay as they are. An empty table gives no rows. ``dims`` is a power of two
     up to 65536.
     """
-    model = fit(docs.where(learn_from), id_col=id_col, text_col=text_col, lang_col=lang_col, sample=sample, dims=dims)
+    model = fit(docs.where(learn_from), text_col=text_col, lang_col=lang_col, sample=sample, rows=rows, labels=labels, dims=dims)
     shared = ship(docs.sparkSession, "langid", model)
     kept = docs.drop("lang_pred", "score")
     schema = pa.schema([("lang_pred", pa.string()), ("score", pa.float64())])

@@ -1,3 +1,4 @@
+import random
 import zlib
 
 import numpy as np
@@ -58,3 +59,76 @@ def test_three_languages_of_a_family_and_a_lone_one():
     x = np.array([langid.features(f"{t} {i % 3}", 4096) for t in texts.values() for i in range(6)], np.float32)
     m = langid.Model(x, [k for k in texts for _ in range(6)], 4096)
     assert [k for k, _ in m.predict(x)] == [k for k in texts for _ in range(6)]
+
+
+def slow_features(text, dims):
+    """Counts of the byte n-grams, one after the other."""
+    kept = "".join(c if c.isalpha() else " " for c in text.lower())
+    data = f" {' '.join(kept.split())} ".replace("  ", " ").encode()
+    counts, bits = {}, dims.bit_length() - 1
+    for n, mix in ((1, 2654435761), (2, 2246822519), (3, 3266489917)):
+        for i in range(len(data) - n + 1):
+            gram = 0
+            for b in data[i : i + n]:
+                gram = (gram * 257 + b) % (1 << 32)
+            place = gram * mix % (1 << 32) >> (32 - bits)
+            counts[place] = counts.get(place, 0) + 1
+    total = sum(counts.values())
+    return {k: (v / total) ** 0.5 for k, v in counts.items()}
+
+
+def slow_predict(model, text):
+    """Family by the surest of its tests, then a vote of all pairs, with sums over single features."""
+    f = slow_features(text, model.dims)
+    margin = [sum(v * float(w[k]) for k, v in f.items()) + float(w[-1]) for w in model.weights.T]
+    sure = [1 / (1 + np.exp(-(a * m + b))) for m, (a, b) in zip(margin, model.scale, strict=True)]
+    family = model.families[0]
+    if len(model.families) == 2:
+        family = model.families[0] if sure[0] >= 0.5 else model.families[1]
+    elif len(model.families) > 2:
+        family = model.families[max(range(len(model.families)), key=lambda i: sure[i])]
+    own = [k for k in model.langs if langid.family_of(k) == family]
+    votes = {k: [0, 0.0] for k in own}
+    for (kind, p, q), s, m in zip(model.tests, sure, margin, strict=True):
+        if kind == family and q:
+            votes[p if s >= 0.5 else q][0] += 1
+            votes[p][1] += m
+            votes[q][1] -= m
+    return max(own, key=lambda k: votes[k])
+
+
+def test_table_against_plain_sums(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    fold = F.crc32(F.col("doc_id").cast("string")) % 4
+    model = langid.fit(docs.where(fold != 2), text_col="text", lang_col="lang", sample=400, rows=20_000, labels=1024, dims=4096)
+    got = {r.doc_id: r.lang_pred for r in op7_langid(spark, "/root/testdata/sf0.001").collect()}
+    for r in docs.collect():
+        want = slow_predict(model, r.text) if r.text and any(map(str.isalpha, r.text)) else "und"
+        assert got[r.doc_id] == want
+
+
+def test_very_many_labels(spark):
+    """More labels, and more of a family, than pairs could be tested for; the most frequent are learned."""
+    r = random.Random(1)
+    word = lambda: "".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(6))
+    names = {f"l{i}": 1 + (i < 30) for i in range(1500)} | {f"en-{i:03d}": 3 for i in range(60)}
+    words = {k: [word() for _ in range(5)] for k in names}
+    rows = [(" ".join([*words[k], word()]), k) for k, n in names.items() for _ in range(n)]
+    df = spark.createDataFrame([(i, *x) for i, x in enumerate(rows)], "doc_id long, text string, lang string")
+    got = langid.identify(df, F.lit(True), labels=120, dims=1024).collect()
+    assert len(got) == len(rows)
+    learned = {x.lang_pred for x in got}
+    assert learned <= set(names)
+    assert len(learned) <= 120
+    often = [x for x in got if names[x.lang] > 1]
+    assert sum(x.lang_pred == x.lang for x in often) > 0.9 * len(often)
+
+
+def test_copies_count_once(spark):
+    """A text that most rows share fills neither the sample nor the driver."""
+    rows = [("the same old story of the house", "en")] * 3000 + [(f"an other story of house {chr(97 + i)}", "en") for i in range(20)] + [(f"das alte haus {chr(97 + i)} und der hund", "de") for i in range(20)]
+    df = spark.createDataFrame([(0, *r) for r in rows], "doc_id long, text string, lang string").repartition(4)
+    model = langid.fit(df, text_col="text", lang_col="lang", sample=10, rows=20_000, labels=1024, dims=256)
+    assert model.langs == ["de", "en"]
+    got = langid.identify(df, F.lit(True), sample=10, dims=256).groupBy("lang", "lang_pred").count().collect()
+    assert {(r.lang, r.lang_pred) for r in got} == {("en", "en"), ("de", "de")}
