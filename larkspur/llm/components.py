@@ -31,8 +31,8 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component): for every node of an edge the least node of its component.
 
-    Edges are undirected pairs of longs in columns ``a`` and ``b``; rows with a null and self loops are ignored,
-    repeated edges count once, no edges give no rows.
+    Edges are undirected pairs of nodes, of one type that has an order, in columns ``a`` and ``b``; rows with a null and self
+    loops are ignored, repeated edges count once, no edges give no rows.
     """
     now = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v"), (F.col(a).isNull() | F.col(b).isNull()).alias("gap"))
     now = materialize(now.where("not gap and u > v").select("u", "v").distinct(), "edges")
@@ -51,3 +51,16 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         if mark == before:
             return now.select(F.col("u").alias("node"), F.col("v").alias("component")).union(now.select(F.col("v"), F.col("v")).distinct())
         rows, before = mark[0], mark
+
+
+def heads(edges: DataFrame, ranks: DataFrame, key: str, rank: str) -> DataFrame:
+    """(key, head): for every key of an edge (a, b) the least rank of its component.
+
+    ranks: (key, rank), one row a key. Nodes are ordered by rank and carry it, so a component is named by its least rank as it is
+    found: nothing is joined or grouped by component, which may hold a third of all keys. A null rank comes last.
+    """
+    node = F.struct(F.col(rank).isNull().alias("last"), F.col(rank).alias("rank"), F.col(key).alias("key"))
+    of = ranks.select(F.col(key).alias("k"), node.alias("node"))
+    a, b = (of.select(F.col("k").alias(x), F.col("node").alias(f"node_{x}")) for x in ("a", "b"))
+    found = components(edges.join(a, "a").join(b, "b"), "node_a", "node_b")
+    return found.select(F.col("node.key").alias(key), F.col("component.rank").alias("head"))

@@ -23,8 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from larkspur.llm.batches import slices
-from larkspur.llm.components import PER_FILE, components
+from larkspur.llm.batches import slices, whole_groups
+from larkspur.llm.components import PER_FILE, heads
 from larkspur.llm.golay import indices
 from larkspur.sources.shared import materialize
 
@@ -181,30 +181,18 @@ def links(distinct: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(fps[at : at + 2000][row].view(np.int64))], ["key", "fp"])
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        none = np.zeros(0, np.int64)
-        held_key, held_fp = none, none
-
         def edges(key: np.ndarray, fp: np.ndarray) -> pa.RecordBatch:
             a, b = _bucket_edges(key, fp.view(np.uint64))
             pairs = np.unique(np.stack([a, b], 1), axis=0) if len(a) else np.zeros((0, 2), np.uint64)
             return pa.RecordBatch.from_arrays([pa.array(pairs[:, i].copy().view(np.int64)) for i in range(2)], ["a", "b"])
 
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            key = np.r_[held_key, batch.column("key").to_numpy()]
-            fp = np.r_[held_fp, batch.column("fp").to_numpy()]
-            last = int(np.searchsorted(key, key[-1], "left"))  # the last group may go on in the next batch
-            if last:
-                yield edges(key[:last], fp[:last])
-            held_key, held_fp = key[last:].copy(), fp[last:].copy()
-        if len(held_key):
-            yield edges(held_key, held_fp)
+        for key, fp in whole_groups(batches):
+            yield edges(key, fp)
 
     # fingerprints are few bytes, so Spark would put millions of them, and their keys, into one task
     n = distinct.count()
-    tasks = max(-(-n // PER_TASK), min(-(-n // 4096), 2 * distinct.sparkSession.sparkContext.defaultParallelism), 1)
-    spreaded = distinct.select("fp").repartition(tasks).mapInArrow(spread, "key long, fp long")
+    parts = max(-(-n // PER_TASK), min(-(-n // 4096), 2 * distinct.sparkSession.sparkContext.defaultParallelism), 1)
+    spreaded = distinct.select("fp").repartition(parts).mapInArrow(spread, "key long, fp long")
     return spreaded.repartition("key").sortWithinPartitions("key").mapInArrow(check, "a long, b long")
 
 
@@ -219,12 +207,9 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     fps = materialize(fingerprints(docs, id_col=id_col, text_col=text_col, width=width), "fingerprints")
     files = -(-fps.count() // PER_FILE) or 1  # small tables are few files
     least = materialize(fps.groupBy("fp").agg(F.min(id_col).alias("least")).coalesce(files), "fingerprint-least")
-    found = components(links(least))
-    part = found.join(least, found.node == least.fp).select("fp", "least", "component")
-    of = part.groupBy("component").agg(F.min("least").alias("component_id"))
-    merged = part.join(of, "component").select("fp", "component_id")
+    found = heads(links(least), least, "fp", "least")
     # fingerprints without a link keep their own least id
-    every = least.join(merged, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
+    every = least.join(found, "fp", "left").select("fp", F.coalesce("head", "least").alias("component_id"))
     # as a table of its own, so that the join to the documents can split a fingerprint that very many share
     every = materialize(every.coalesce(files), "fingerprint-components")
     return fps.join(every, "fp").select(id_col, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
