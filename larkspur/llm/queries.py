@@ -61,7 +61,7 @@ def op5_unigram(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     from larkspur.llm.lines import classes
 
-    return classes(table(spark, sf_dir, "documents"))
+    return classes(table(spark, sf_dir, "documents"), short=True)
 
 
 def op7_langid(spark: SparkSession, sf_dir: str) -> DataFrame:

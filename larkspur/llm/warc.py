@@ -209,6 +209,6 @@ def read(index: DataFrame, *, gap: int = 64 << 10, span: int = 8 << 20, per_task
     weight = F.greatest("length", F.when(F.col("record_type") == "response", F.col("payload_bytes")).otherwise(0))
     chosen = index.select("archive", "offset", "length", weight.alias("weight"))
     total = chosen.agg(F.sum("weight")).first()[0] or 0
-    tasks = max(-(-total // per_task), min(-(-total // (1 << 20)), index.sparkSession.sparkContext.defaultParallelism), 1)
-    dealt = chosen.repartitionByRange(tasks, "archive", "offset").sortWithinPartitions("archive", "offset")
+    parts = max(-(-total // per_task), min(-(-total // (1 << 20)), index.sparkSession.sparkContext.defaultParallelism), 1)
+    dealt = chosen.repartitionByRange(parts, "archive", "offset").sortWithinPartitions("archive", "offset")
     return dealt.mapInArrow(run, RECORDS)

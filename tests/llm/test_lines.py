@@ -67,6 +67,15 @@ def slow_classes(rows, edits=2, least=24):
     return sorted(((d, i, *first[find(place[t])], first[find(place[t])] == (d, i)) for d, i, t in found), key=str)
 
 
+def short_classes(rows, least=24):
+    """Of the lines that are shorter and not blank: the first equal one."""
+    found = sorted(((d, i, t) for d, text in rows for i, t in lines.eligible(text, 1) if len(t) < least), key=lambda x: (x[0] is not None, x[0] or 0, x[1]))
+    first = {}
+    for d, i, t in found:
+        first.setdefault(t, (d, i))
+    return [(d, i, *first[t], first[t] == (d, i)) for d, i, t in found]
+
+
 def compare(df, rows, **kw):
     got = [tuple(r) for r in lines.classes(df, **kw).select("doc_id", "line_no", "class_doc_id", "class_line_no", "keep").collect()]
     assert sorted(got, key=str) == slow_classes(rows, **kw)
@@ -76,7 +85,8 @@ def compare(df, rows, **kw):
 def test_table_against_all_pairs(spark):
     rows = [tuple(r) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").collect()]
     got = op6_lines(spark, "/root/testdata/sf0.001").collect()
-    assert sorted((tuple(r) for r in got), key=str) == slow_classes(rows)
+    assert sorted((tuple(r) for r in got), key=str) == sorted(slow_classes(rows) + short_classes(rows), key=str)
+    assert any(not r[4] for r in short_classes(rows))
 
 
 def test_edges(spark):
@@ -146,3 +156,55 @@ def test_rows_without_or_with_one_id(spark):
     seven = f"{a}, seven\n{c}, seven"
     df = spark.createDataFrame([(7, f"{a}, seven\n{a}, seven"), (7, seven)], "doc_id long, text string")
     assert sum(t.count(f"{c}, seven") for t in (r.text for r in lines.deduplicate(df).collect())) == 1
+
+
+def test_short_lines(spark):
+    rows = [(1, "ab\nab\n\n x "), (2, "x\nabc\n \t"), (None, "x\nab"), (3, None), (4, "\n\n")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = [tuple(r) for r in lines.classes(df, short=True).collect()]
+    assert sorted(got, key=str) == sorted(short_classes(rows), key=str)
+    assert {r.doc_id: r.text for r in lines.deduplicate(df, short=True).collect()} == {None: "x\nab", 1: "\n".join([""]), 2: "abc\n \t", 3: None, 4: "\n\n"}
+    assert {r.doc_id: r.text for r in lines.deduplicate(df).collect()} == dict(rows)
+
+
+def test_names_of_columns(spark):
+    text = "a line that is long enough to count"
+    names = ("gone_", "_gone", "GONE__", "id_", "_id", "row_", "class", "keep", "line_no", "id", "row", "doc_id_")
+    df = spark.createDataFrame([(1, text, *names), (2, text, *names)], "doc_id long, text string, " + ", ".join(f"`{n}` string" for n in names))
+    got = lines.deduplicate(df).collect()
+    assert sorted((r.doc_id, r.text, *r[2:]) for r in got) == [(1, text, *names), (2, "", *names)]
+
+
+def test_second_keys_of_linked_lines():
+    """Lines within the edits that share a first key share a second one too, and one of them as an own segment."""
+    r = random.Random(14)
+    for edits, least in ((1, 10), (2, 24), (3, 40)):
+        for _ in range(300):
+            a = "".join(r.choice("abcdef é") for _ in range(r.randint(least, 2 * least)))
+            b = edited(r, a, r.randint(0, edits))
+            if distance(a, b) == 0 or len(b) < least:
+                continue
+            key, row, own, _ = lines.key_rows([a, b], edits)
+            one, two = ({k: o for k, i, o in zip(key.tolist(), row.tolist(), own.tolist(), strict=True) if i == n} for n in (0, 1))
+            shared = [k for k in one if k in two and (one[k] or two[k])]
+            assert shared
+            for k in shared[:2]:
+                key2, row2, own2, _ = lines.second_keys([a, b], np.array([k, k], np.uint64), edits)
+                x, y = ({q: o for q, i, o in zip(key2.tolist(), row2.tolist(), own2.tolist(), strict=True) if i == n} for n in (0, 1))
+                assert any(q in y and (x[q] or y[q]) for q in x)
+
+
+def test_hot_segments(spark, monkeypatch):
+    """A segment that most lines share, with few linked pairs: its lines are dealt again."""
+    monkeypatch.setattr(lines, "MUCH", 1 << 10)
+    r = random.Random(15)
+    rows = []
+    for i in range(150):
+        tail = "".join(r.choice("abcdefghijkl") for _ in range(24))
+        rows.append((2 * i, f"copyright notice {tail}"))
+        rows.append((2 * i + 1, f"copyright notice {edited(r, tail, r.randint(0, 3))}"))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    compare(df, rows)
+    monkeypatch.setattr(lines, "LEADERS", 20)
+    dense = [(i, f"page {i:05d} of the very same document") for i in range(300)]
+    compare(spark.createDataFrame(dense, "doc_id long, text string"), dense)
