@@ -21,7 +21,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -48,6 +48,7 @@ OTHER = re.compile(r"[\W\d_]+")
 CHUNK = 1 << 20
 #: Languages of a family up to which every pair has a test of its own.
 WIDE = 48
+PARTS = 32
 
 
 def family_of(lang: str) -> str:
@@ -205,9 +206,13 @@ def fit(labelled: DataFrame, *, text_col: str, lang_col: str, sample: int, rows:
         for name, places in kept.items():
             yield pa.RecordBatch.from_arrays([pa.array([name] * len(places), pa.string()), pa.array(places)], ["lang", "place"])
 
-    order = F.row_number().over(Window.partitionBy("lang").orderBy("place"))
-    least = known.select("lang", "place").mapInArrow(smallest, "lang string, place long").distinct().withColumn("r", order).where(F.col("r") <= each)
-    limits = least.groupBy("lang").agg(F.max("place").alias("last")).collect()  # a row a language
+    # twice: each Spark task keeps the least it reads, then PARTS ones those of all; the driver merges PARTS * rows at most
+    kinds = "lang string, place long"
+    found = known.select("lang", "place").mapInArrow(smallest, kinds).repartition(PARTS).mapInArrow(smallest, kinds).collect()
+    places: dict[str, list[int]] = {}
+    for r in found:
+        places.setdefault(r.lang, []).append(r.place)
+    limits = [(k, sorted(set(v))[:each][-1]) for k, v in places.items()]
     limit = F.broadcast(spark.createDataFrame(limits, "lang string, last long"))
     chosen = known.join(limit, "lang").where("place <= last").select("lang", "text", "place")
 
