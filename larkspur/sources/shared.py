@@ -7,7 +7,7 @@ folder named by ``spark.checkpoint.dir`` and read again, so a lost executor cost
 from __future__ import annotations
 
 import atexit
-import os
+import contextlib
 import shutil
 import sys
 import types
@@ -19,7 +19,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Used only where the session names no shared folder (single-machine runs and tests).
 DEFAULT_SHARED = "/tmp/checkpoints"
-_own_dirs: set[str] = set()
+#: The folder of this process below ``larkspur`` in the shared folder.
+RUN = f"run-{uuid.uuid4().hex[:12]}"
+_used: dict[str, Any] = {}  # runs' folders and the gateway that deletes them
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,25 +30,38 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder of this run, as a URI; sets a local one where the session has none."""
+    """The shared folder of this run, as a URI; sets a local one where the session has none.
+
+    A local folder is shared only on one machine, so a session with other machines must name one.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        found = f"file://{DEFAULT_SHARED}/larkspur-{os.getpid()}"
+        master = spark.sparkContext.master
+        if not master.startswith("local"):
+            raise ValueError(f"set spark.checkpoint.dir to a folder that all machines of {master} share")
+        found = f"file://{DEFAULT_SHARED}"
         spark.conf.set("spark.checkpoint.dir", found)
-        if not _own_dirs:
-            atexit.register(_remove_own)
-        _own_dirs.add(found.removeprefix("file://"))
     return found.rstrip("/")
 
 
-def _remove_own() -> None:
-    for d in _own_dirs:
-        shutil.rmtree(d, ignore_errors=True)
-
-
 def new_path(spark: SparkSession, name: str) -> str:
-    """A fresh path for a table or folder in the shared folder."""
-    return f"{shared_dir(spark)}/larkspur/{name}-{uuid.uuid4().hex[:12]}"
+    """A fresh path for a table or folder in the shared folder. What is not removed before goes with the process."""
+    run = f"{shared_dir(spark)}/larkspur/{RUN}"
+    if not _used:
+        atexit.register(cleanup)
+    _used.setdefault(run, spark.sparkContext._gateway)
+    return f"{run}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def cleanup() -> None:
+    """Delete all tables and folders of this process in the shared folder; at exit it happens by itself."""
+    for run, gateway in list(_used.items()):
+        with contextlib.suppress(Exception):  # the JVM may be gone
+            path = gateway.jvm.org.apache.hadoop.fs.Path(run)
+            path.getFileSystem(gateway.jvm.org.apache.hadoop.conf.Configuration()).delete(path, True)
+        if run.startswith("file://"):
+            shutil.rmtree(run.removeprefix("file://"), ignore_errors=True)
+        _used.pop(run)
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
