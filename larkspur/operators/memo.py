@@ -220,6 +220,24 @@ def verified(results: DataFrame, listing: DataFrame, *, check_content: bool = Tr
     return results.join(valid.select("key"), "key", "left_semi")
 
 
+def executed(t: Task, todo: DataFrame, store: Store | None, attempts: int = 1, lineage: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
+    """Run different keys (KEY and the task's columns) and store their results: (key, result, error, started, ended) of those that
+    succeeded and of those that failed ``attempts`` times."""
+    done = None
+    for n in range(max(1, attempts)):
+        ran = materialize(_run_bodies(todo, t), "memo-run")
+        good, bad = ran.where("error is null"), ran.where("error is not null")
+        done = good if done is None else done.unionByName(good)
+        if n + 1 < attempts:
+            if bad.isEmpty():
+                break
+            todo = todo.join(bad.select(F.col("key").alias(KEY)), KEY, "left_semi")
+    if store is not None:
+        trail = F.array(*map(F.lit, lineage or [])).cast("array<string>")
+        store.append(done.select("*", F.lit(t.name).alias("task"), F.lit(t.version).alias("version"), trail.alias("lineage")))
+    return done, bad
+
+
 def submit(
     t: Task,
     rows: DataFrame,
@@ -259,18 +277,7 @@ def submit(
             found = None
     if found is not None:
         todo = distinct.join(found.select(F.col("key").alias(KEY)), KEY, "left_anti")
-    done = None
-    for _ in range(max(1, settings.resubmit_attempts if attempts is None else attempts)):
-        ran = materialize(_run_bodies(todo, t), "memo-run")
-        good = ran.where("error is null")
-        done = good if done is None else done.unionByName(good)
-        bad = ran.where("error is not null")
-        if bad.isEmpty():
-            break
-        todo = todo.join(bad.select(F.col("key").alias(KEY)), KEY, "left_semi")
-    if not no_cache:
-        trail = F.array(*map(F.lit, lineage or [])).cast("array<string>")
-        store.append(done.select("*", F.lit(t.name).alias("task"), F.lit(t.version).alias("version"), trail.alias("lineage")))
+    done, bad = executed(t, todo, None if no_cache else store, settings.resubmit_attempts if attempts is None else attempts, lineage)
     answers = done.unionByName(bad).select("key", F.from_json("result", t.out).alias("value"), "error", F.lit(False).alias("from_cache"))
     if found is not None:
         answers = answers.unionByName(found.select("key", "value", F.lit(None).cast("string").alias("error"), F.lit(True).alias("from_cache")))

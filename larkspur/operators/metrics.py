@@ -15,6 +15,12 @@ def count_by_task(submissions: DataFrame) -> DataFrame:
     return submissions.groupBy("task", "version").agg(F.count("*").alias("n"))
 
 
+def outcomes(answers: DataFrame, key: str = "key") -> DataFrame:
+    """(outcome, n) over the answers of a submission: how many different keys completed, failed, or were hits."""
+    what = F.when(F.col("error").isNotNull(), "failed").when(F.col("from_cache"), "cache_hit").otherwise("completed")
+    return answers.select(key, what.alias("outcome")).distinct().groupBy("outcome").agg(F.count("*").alias("n"))
+
+
 def totals(rows: DataFrame, columns: list[str], by: list[str] | None = None) -> DataFrame:
     """Sums of columns (0 over no rows), over all or by group."""
     return rows.groupBy(*(by or [])).agg(*(F.coalesce(F.sum(c), F.lit(0)).cast("long").alias(c) for c in columns))
@@ -49,6 +55,28 @@ def capped(counts: DataFrame, key: str, first_seen: str, cap: int, value: str =
     return named.groupBy(label.alias(key)).agg(F.sum(value).cast("long").alias(value))
 
 
+def admitted(before: DataFrame, seen: DataFrame, key: str, first_seen: str, cap: int) -> DataFrame:
+    """(key): the keys with series of their own after more were seen (key, first_seen): those admitted before, and new ones in
+    order of first occurrence while there is room. A key that was admitted stays, so series of all queries agree."""
+    held = before.select(key).distinct()
+    room = max(0, cap - held.limit(cap).count())
+    new = seen.join(held, key, "left_anti").groupBy(key).agg(F.min(first_seen).alias("_first")).orderBy("_first", key).limit(room)
+    return held.union(new.select(key))
+
+
+def relabelled(counts: DataFrame, names: DataFrame, key: str, value: str = "n") -> DataFrame:
+    """(key, value): counts of admitted keys, all others added up in ``_other``."""
+    named = counts.join(names.select(key).withColumn("_kept", F.lit(True)), key, "left")
+    label = F.when(F.col("_kept"), F.col(key)).otherwise(F.lit(OTHER))
+    return named.groupBy(label.alias(key)).agg(F.sum(value).cast("long").alias(value))
+
+
+def series_caps(max_series: str | Column) -> tuple[Column, Column]:
+    """``caps`` of a column."""
+    n = F.col(max_series) if isinstance(max_series, str) else max_series
+    return F.greatest(F.lit(1), F.floor((n - 6) / 21) - 1), F.greatest(F.lit(1), F.floor(n / 50))
+
+
 def caps(max_series: int) -> tuple[int, int]:
     """(task series, labels) that fit a budget of series."""
     return max(1, (max_series - 6) // 21 - 1), max(1, max_series // 50)

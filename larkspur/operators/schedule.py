@@ -31,6 +31,20 @@ def free_capacity(nodes: DataFrame, launchers: DataFrame, scheduled: DataFrame)
     return nodes.join(used, "node", "left").select("node", left("cpu"), left("memory"))
 
 
+def free_supply(nodes: DataFrame, launchers: DataFrame, allocated: DataFrame) -> DataFrame:
+    """(node, cpu, memory, scratch, gpu): what nodes have left of every resource.
+
+    allocated: (launcher, cpu, memory, scratch, gpu array). Grants of launchers without a node deduct nothing; a gpu is held or not,
+    however many grants name it.
+    """
+    held = allocated.join(launchers.where("node is not null"), "launcher")
+    sums = [F.sum(c).alias(f"used_{c}") for c in ("cpu", "memory", "scratch")]
+    used = held.groupBy("node").agg(*sums, F.array_distinct(F.flatten(F.collect_set("gpu"))).alias("used_gpu"))
+    left = lambda c: (F.col(c) - F.coalesce(F.col(f"used_{c}"), F.lit(0))).cast("long").alias(c)
+    gpu = F.array_except("gpu", F.coalesce("used_gpu", F.array().cast("array<int>"))).alias("gpu")
+    return nodes.join(used, "node", "left").select("node", left("cpu"), left("memory"), left("scratch"), gpu)
+
+
 def not_blocked(queued: DataFrame, scheduled: DataFrame, key: str = "key", lineage: str = "lineage") -> DataFrame:
     """Queued submissions that are no ancestor of a queued or scheduled one."""
     ancestors = queued.select(F.explode(lineage).alias(key)).union(scheduled.select(F.explode(lineage).alias(key))).distinct()
@@ -66,6 +80,34 @@ def allowed_nodes(max_nodes: int, max_cumulative: int, max_pending: int, active:
     return max(0, min(max_nodes - active, max_cumulative - cumulative))
 
 
+def may_request(max_nodes: str | Column, max_cumulative: str | Column, max_pending: str | Column, active: str | Column, pending: str | Column, cumulative: str | Column) -> Column:
+    """``allowed_nodes`` of columns."""
+    caps = [F.col(c) if isinstance(c, str) else c for c in (max_nodes, max_cumulative, max_pending, active, pending, cumulative)]
+    room = F.greatest(F.lit(0), F.least(caps[0] - caps[3], caps[1] - caps[5]))
+    return F.when(caps[4] >= caps[2], F.lit(0)).otherwise(room)
+
+
+def still_needed(plan: DataFrame, in_flight: DataFrame, shape: list[str]) -> DataFrame:
+    """(shape, n): a plan (shape, n) less the requests (shape) that are under way; shapes with none left are dropped."""
+    flying = in_flight.groupBy(*shape).agg(F.count("*").alias("_flying"))
+    left = F.col("n") - F.coalesce(F.col("_flying"), F.lit(0))
+    return plan.join(flying, shape, "left").select(*shape, left.alias("n")).where("n > 0")
+
+
+def first_success(attempts: DataFrame, ask: str = "ask") -> DataFrame:
+    """(ask, member, error) for attempts (ask, member, position, accepts, error): members are asked in order of position.
+
+    The first that accepts an ask and has no error makes the node. Where each of those fails, the error names them all in order; where
+    none accepts, it says so. Attempts after the first success do not count.
+    """
+    wanted = F.when(F.col("accepts"), F.struct("position", "member", "error"))
+    made = F.min(F.when(F.col("accepts") & F.col("error").isNull(), F.struct("position", "member")))
+    tried = F.transform(F.array_sort(F.collect_list(wanted)), lambda x: F.concat(x["member"], F.lit(": "), x["error"]))
+    by = attempts.groupBy(ask).agg(made.alias("made"), tried.alias("tried"))
+    why = F.when(F.size("tried") == 0, "no member accepts the request").otherwise(F.array_join("tried", "; "))
+    return by.select(ask, F.col("made.member").alias("member"), F.when(F.col("made").isNull(), why).alias("error"))
+
+
 def cold_start(queued: DataFrame, plan: DataFrame, workers: DataFrame) -> DataFrame:
     """(shape, n): the plan, or one node for the head of the queue where there is no plan, no worker, but work."""
     shape = [c for c in plan.columns if c != "n"]

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from larkspur.functions import keys, resources, scalars
 from larkspur.functions.resources import Request, Supply
-from larkspur.functions.selectors import And, Has, Not, Or, affinity_labels, matches
+from larkspur.functions.selectors import And, Has, Not, Or, affinity_labels, matches, to_json
 from larkspur.operators import memo, metrics, schedule, sets
 from larkspur.plans import barrier, recursion
 from larkspur.plans.relations import relation, with_relations
@@ -167,11 +167,109 @@ def inherited_labels(spark: SparkSession, sf: str) -> DataFrame:
     return relation(spark, sf, "nodes").select("node", F.array_join(memo.inherited_labels(F.col("labels"), own), ",").alias("labels"))
 
 
-@query("SELECT key, CASE WHEN try_cast(task AS INTEGER) IS NULL THEN 'run again' ELSE 'hit' END AS outcome FROM submissions", "submissions")
+@query("SELECT o_orderkey AS key, CASE WHEN o_orderkey % 4 < 2 THEN 'hit' ELSE 'run again' END AS outcome, CASE WHEN o_orderkey % 4 = 0 THEN CAST(o_custkey AS VARCHAR) END AS n FROM orders")
 def decode_fallback(spark: SparkSession, sf: str) -> DataFrame:
-    """A stored result that does not decode as what is expected counts as a miss."""
-    decoded = F.try_to_number("task", F.lit("999999"))
-    return relation(spark, sf, "submissions").select("key", F.when(decoded.isNull(), "run again").otherwise("hit").alias("outcome"))
+    """A stored result that does not decode under the schema of today is a miss; one without a field that may be missing is a hit."""
+    orders, key = table(spark, sf, "orders"), F.col("o_orderkey")
+    result = F.when(key % 4 == 0, F.concat(F.lit('{"n":'), F.col("o_custkey").cast("string"), F.lit("}"))).when(key % 4 == 1, "{}").when(key % 4 == 2, '{"n":"many"}').otherwise("no json")
+    found = memo.decoded(orders.select(key.alias("key"), result.alias("result")), memo.T._parse_datatype_string("n long"))
+    outcome = F.when(F.col("value").isNull(), "run again").otherwise("hit")
+    return orders.select(key.alias("key")).join(found, "key", "left").select("key", outcome.alias("outcome"), F.col("value.n").cast("string").alias("n"))
+
+
+def _customers(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "customer").select("c_custkey")
+
+
+def file_body(rows):
+    import pandas as pd
+
+    return pd.DataFrame({"f": [{"path": f"f/{c}", "byte_size": c % 1000, "hash": c % 7, "mutable": c % 11 == 0} for c in rows["c_custkey"].tolist()]})
+
+
+@query("SELECT c_custkey, c_custkey % 3 = 2 OR (c_custkey % 11 = 0 AND c_custkey % 3 = 1) AS from_cache FROM customer")
+def verified_hits(spark: SparkSession, sf: str) -> DataFrame:
+    """A second run, when of the files that results refer to some are gone (0 of 3), some changed (1 of 3): those that are not all there run again."""
+    rows, c = _customers(spark, sf), F.col("c_custkey")
+    t = memo.Task("file", 1, file_body, ("c_custkey",), memo.T._parse_datatype_string("f struct<path string, byte_size long, hash long, mutable boolean>"))
+    store = memo.Store(spark, new_path(spark, "store"))
+    memo.submit(t, rows, store)
+    listing = rows.where(c % 3 > 0).select(F.concat(F.lit("f/"), c.cast("string")).alias("path"), (c % 1000).alias("byte_size"), (c % 7 + F.when(c % 3 == 1, 1).otherwise(0)).alias("hash"))
+    return memo.submit(t, rows, store, listing=listing).select("c_custkey", "from_cache")
+
+
+def strict_body(rows):
+    import pandas as pd
+
+    bad = rows["o_custkey"][rows["o_custkey"] % 10 == 3]
+    if len(bad):
+        raise ValueError(f"no customer {bad.iloc[0]}")
+    return pd.DataFrame({"n": rows["o_custkey"] * 2})
+
+
+def _strict() -> memo.Task:
+    return memo.Task("strict", 1, strict_body, ("o_custkey",), memo.T._parse_datatype_string("n long"))
+
+
+@query("SELECT o_orderkey, CASE WHEN o_custkey % 10 = 3 THEN concat('ValueError: no customer ', CAST(o_custkey AS VARCHAR)) END AS error, CASE WHEN o_custkey % 10 <> 3 THEN CAST(o_custkey * 2 AS VARCHAR) END AS n FROM orders")
+def failing_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """A failure reaches the rows of its key and no others."""
+    rows = table(spark, sf, "orders").select("o_orderkey", "o_custkey")
+    return memo.submit(_strict(), rows, memo.Store(spark, new_path(spark, "store"))).select("o_orderkey", "error", F.col("value.n").cast("string").alias("n"))
+
+
+@query("SELECT CASE WHEN o_custkey % 10 = 3 THEN 'failed' WHEN o_custkey % 2 = 0 THEN 'cache_hit' ELSE 'completed' END AS outcome, count(DISTINCT o_custkey) AS n FROM orders GROUP BY 1")
+def outcome_counters(spark: SparkSession, sf: str) -> DataFrame:
+    """What became of the keys of a run after an earlier one: completed, failed, or known from before."""
+    rows, store = table(spark, sf, "orders").select("o_custkey"), memo.Store(spark, new_path(spark, "store"))
+    memo.submit(_strict(), rows.where("o_custkey % 2 = 0"), store)
+    return metrics.outcomes(memo.submit(_strict(), rows, store))
+
+
+@query("SELECT DISTINCT o_orderpriority, false AS from_cache, 0::BIGINT AS stored FROM orders")
+def no_cache_runs(spark: SparkSession, sf: str) -> DataFrame:
+    """Work that is not to be kept runs again each time."""
+    rows, store = table(spark, sf, "orders").select("o_custkey", "o_orderpriority"), memo.Store(spark, new_path(spark, "store"))
+    t = _rate(["o_orderpriority"])
+    memo.submit(t, rows, store, no_cache=True)
+    again = memo.submit(t, rows, store, no_cache=True).select("o_orderpriority", "from_cache").distinct()
+    return again.withColumn("stored", F.lit(store.table(t).count()))
+
+
+def lines_body(rows):
+    import pandas as pd
+
+    from larkspur.sources import files
+
+    read = [[int(x) for x in files.read(root, f["path"]).split()] for root, f in zip(rows["root"], rows["f"], strict=True)]
+    return pd.DataFrame({"n": [len(x) for x in read], "total": [sum(x) * by for x, by in zip(read, rows["times"].tolist(), strict=True)]})
+
+
+@query("SELECT CAST(doc_id // 64 AS BIGINT) AS folder, times, count(*) AS n, CAST(sum(doc_id) * times AS BIGINT) AS total FROM documents, (VALUES (1::BIGINT), (3::BIGINT)) t(times) GROUP BY doc_id // 64, times")
+def files_in_input(spark: SparkSession, sf: str) -> DataFrame:
+    """Files written by executors are, with a number, the inputs of submissions that read them."""
+    from larkspur.sources.blobs import BlobStore
+
+    store = BlobStore(spark, new_path(spark, "blobs"), prefix=("ids",))
+    docs = table(spark, sf, "documents").select(F.expr("doc_id div 64").alias("folder"), F.col("doc_id").cast("string").alias("id"))
+    handles = store.sink(docs.groupBy("folder").agg(F.array_join(F.collect_list("id"), "\n").alias("content")).select(F.col("folder").cast("string").alias("name"), "content"))
+    numbers = F.explode(F.array(F.lit(1).cast("long"), F.lit(3).cast("long"))).alias("times")
+    rows = handles.select(F.substring_index("path", "/", -1).cast("long").alias("folder"), F.struct("path", "byte_size", "hash").alias("f"), numbers).withColumn("root", F.lit(store.root))
+    t = memo.Task("lines", 1, lines_body, ("f", "times", "root"), memo.T._parse_datatype_string("n long, total long"), ("f", "times"))
+    return memo.submit(t, rows, memo.Store(spark, new_path(spark, "store"))).select("folder", "times", "value.n", "value.total")
+
+
+@query(
+    "SELECT concat('s/', CAST(s_suppkey AS VARCHAR)) AS path, CAST(strlen(s_name) AS BIGINT) AS byte_size, CAST(CASE WHEN h >= 2147483648 THEN h - 4294967296 ELSE h END AS INTEGER) AS hash FROM "
+    "(SELECT s_suppkey, s_name, CAST(concat('0x', substr(md5(s_name), 1, 8)) AS BIGINT) AS h FROM supplier)"
+)
+def executor_files(spark: SparkSession, sf: str) -> DataFrame:
+    """Handles of a file for each row, as a listing of the folder finds them."""
+    from larkspur.sources.blobs import BlobStore
+
+    store = BlobStore(spark, new_path(spark, "blobs"))
+    store.scoped("s").sink(table(spark, sf, "supplier").select(F.col("s_suppkey").cast("string").alias("name"), F.col("s_name").alias("content")))
+    return store.listing()
 
 
 # --- composition ----------------------------------------------------------------------------------------------------
@@ -183,9 +281,19 @@ def scatter_gather(spark: SparkSession, sf: str) -> DataFrame:
     return items.groupBy("l_returnflag").agg(F.count("*").alias("n"), F.sum("q").alias("total"))
 
 
+def fib_body(rows):
+    import pandas as pd
+
+    return pd.DataFrame({"fib": [n if n < 2 else sum(x["value"]["fib"] for x in inputs) for n, inputs in zip(rows["n"].tolist(), rows["inputs"], strict=True)]})
+
+
 @query("WITH RECURSIVE f(n, a, b) AS (SELECT 0, 0::BIGINT, 1::BIGINT UNION ALL SELECT n + 1, b, a + b FROM f WHERE n < 16) SELECT n, a AS fib FROM f")
 def recursion_fib(spark: SparkSession, sf: str) -> DataFrame:
-    return spark.sql("WITH RECURSIVE f(n, a, b) AS (SELECT 0, 0L, 1L UNION ALL SELECT n + 1, b, a + b FROM f WHERE n < 16) SELECT n, a AS fib FROM f")
+    """fib(16) as a recursion of submissions: every subproblem runs once, when what it needs is known."""
+    t = memo.Task("fib", 1, fib_body, ("n", "inputs"), memo.T._parse_datatype_string("fib long"), ("n",))
+    needs = lambda f: f.where("n >= 2").select("n", F.explode(F.array(F.col("n") - 1, F.col("n") - 2)).alias("need"))
+    out = recursion.evaluate(t, spark.range(16, 17).select(F.col("id").cast("int").alias("n")), needs, memo.Store(spark, new_path(spark, "store")))
+    return out.select("n", "value.fib")
 
 
 @query("SELECT CAST(n AS BIGINT) AS n, CAST(CASE WHEN n = 16 THEN 0 ELSE ceil((16 - n) / 2.0) END AS INTEGER) AS level FROM range(17) t(n)")
@@ -233,20 +341,35 @@ def rendezvous_barrier(spark: SparkSession, sf: str) -> DataFrame:
     return spark.createDataFrame([(r, ",".join(p)) for r, p in enumerate(peers)], "rank int, peers string")
 
 
+def plus_body(rows):
+    import pandas as pd
+
+    return pd.DataFrame({"q": rows["q"] + rows["by"]})
+
+
+def _plus(rows: DataFrame, by: int, store: memo.Store) -> DataFrame:
+    """``rows`` with q larger by ``by``: a submission of each different q."""
+    t = memo.Task("plus", 1, plus_body, ("q", "by"), memo.T._parse_datatype_string("q long"))
+    out = memo.submit(t, rows.withColumn("by", F.lit(by)), store)
+    return out.select(*(c for c in rows.columns if c != "q"), "value.q")
+
+
 @query("SELECT l_orderkey, CAST(sum(q) + count(*) * 2 AS BIGINT) AS total FROM (SELECT l_orderkey, CAST(floor(l_quantity) AS BIGINT) + 1 AS q FROM lineitem) GROUP BY l_orderkey")
 def chain(spark: SparkSession, sf: str) -> DataFrame:
-    """The output of one step is the input of the next."""
-    one = table(spark, sf, "lineitem").select("l_orderkey", (F.floor("l_quantity") + 1).cast("long").alias("q"))
-    two = one.withColumn("q", F.col("q") + 2)
-    return two.groupBy("l_orderkey").agg(F.sum("q").alias("total"))
+    """The results of one submission are the inputs of the next."""
+    store = memo.Store(spark, new_path(spark, "store"))
+    one = _plus(table(spark, sf, "lineitem").select("l_orderkey", F.floor("l_quantity").cast("long").alias("q")), 1, store)
+    return _plus(one, 2, store).groupBy("l_orderkey").agg(F.sum("q").alias("total"))
 
 
-@query("SELECT (SELECT count(*) FROM orders WHERE o_orderstatus = 'F') AS a, (SELECT count(*) FROM lineitem WHERE l_returnflag = 'R') AS b")
+@query("SELECT (SELECT CAST(sum(o_custkey + 7) AS BIGINT) FROM orders WHERE o_orderstatus = 'F') AS a, (SELECT CAST(sum(l_linenumber + 5) AS BIGINT) FROM lineitem WHERE l_returnflag = 'R') AS b")
 def fork_join(spark: SparkSession, sf: str) -> DataFrame:
-    """Two branches that are independent of each other, and both their results."""
-    a = table(spark, sf, "orders").where("o_orderstatus = 'F'").select(F.lit("a").alias("branch"))
-    b = table(spark, sf, "lineitem").where("l_returnflag = 'R'").select(F.lit("b").alias("branch"))
-    return a.union(b).agg(F.count(F.when(F.col("branch") == "a", 1)).alias("a"), F.count(F.when(F.col("branch") == "b", 1)).alias("b"))
+    """Two branches of submissions that are independent of each other, and both their results."""
+    store = memo.Store(spark, new_path(spark, "store"))
+    a = _plus(table(spark, sf, "orders").where("o_orderstatus = 'F'").select(F.col("o_custkey").cast("long").alias("q")), 7, store)
+    b = _plus(table(spark, sf, "lineitem").where("l_returnflag = 'R'").select(F.col("l_linenumber").cast("long").alias("q")), 5, store)
+    both = a.select(F.col("q").alias("a"), F.lit(None).cast("long").alias("b")).union(b.select(F.lit(None).cast("long"), "q"))
+    return both.agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
 
 
 @query(f"SELECT doc_id, concat_ws('/', 'run', sha256(concat({text('CAST(doc_id AS VARCHAR)')}, {text('source')})), lang) AS path FROM documents")
@@ -433,12 +556,15 @@ def configured_sets(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-@query("SELECT doc_id, md5(text) AS fingerprint FROM documents")
+@query("SELECT doc_id, CAST(4 + octet_length(encode(text)) + 28 * ceil(octet_length(encode(text)) / 100.0) AS BIGINT) AS coded_bytes, md5(text) AS fingerprint FROM documents")
 def encrypted_round_trip(spark: SparkSession, sf: str) -> DataFrame:
-    """AES-256-GCM and back; only equal texts have the fingerprint of the original."""
-    key = F.unhex(F.lit("00112233445566778899aabbccddeeff" * 2))
-    plain = F.aes_decrypt(F.aes_encrypt(F.col("text").cast("binary"), key, F.lit("GCM")), key, F.lit("GCM"))
-    return table(spark, sf, "documents").select("doc_id", F.md5(plain).alias("fingerprint"))
+    """AES-256-GCM in chunks, as in the files of an encrypted store, and back; only equal texts have the fingerprint of the original."""
+    from larkspur.sources.blobs import decrypted, encrypted
+
+    key = "00112233445566778899aabbccddeeff" * 2
+    coded = F.aggregate(encrypted("text", key, 100), F.lit(b""), lambda a, x: F.concat(a, x))
+    rows = table(spark, sf, "documents").select("doc_id", coded.alias("coded"))
+    return rows.select("doc_id", F.octet_length("coded").cast("long").alias("coded_bytes"), F.md5(decrypted("coded", key)).alias("fingerprint"))
 
 
 @query("SELECT page_id, to_base64(encode(url)) AS coded, url AS decoded FROM pages")
@@ -504,6 +630,50 @@ def cold_start(spark: SparkSession, sf: str) -> DataFrame:
     return schedule.cold_start(queued, plan, relation(spark, sf, "nodes").where("state = 'gone'"))
 
 
+@query(
+    "WITH u AS (SELECT launcher AS node, sum(min_cpu) AS c, sum(memory) AS m, sum(scratch) AS s, max(gpu) AS g FROM submissions WHERE state = 'scheduled' AND launcher < 40 GROUP BY launcher) "
+    "SELECT node, CAST(cpu - coalesce(c, 0) AS BIGINT) AS cpu, CAST(memory - coalesce(m, 0) AS BIGINT) AS memory, CAST(scratch - coalesce(s, 0) AS BIGINT) AS scratch, "
+    "coalesce(array_to_string(list_filter(gpu, lambda x: x >= coalesce(g, 0)), ','), '') AS gpu FROM nodes LEFT JOIN u USING (node)",
+    "submissions",
+    "nodes",
+)
+def free_supply(spark: SparkSession, sf: str) -> DataFrame:
+    """What nodes have left of all resources; a submission with n gpus holds the first n."""
+    gpu = F.when(F.col("gpu") > 0, F.sequence(F.lit(0), F.col("gpu") - 1)).otherwise(F.array().cast("array<int>"))
+    held = relation(spark, sf, "submissions").where("state = 'scheduled'").select("launcher", F.col("min_cpu").alias("cpu"), "memory", "scratch", gpu.alias("gpu"))
+    launchers = spark.range(50).select(F.col("id").alias("launcher"), F.when(F.col("id") < 40, F.col("id")).alias("node"))
+    return schedule.free_supply(relation(spark, sf, "nodes"), launchers, held).withColumn("gpu", joined("gpu"))
+
+
+@query("SELECT node, CASE WHEN node % 4 >= 3 THEN 0 ELSE greatest(0, least(cpu - node % 7, 6 - memory // 1000)) END::BIGINT AS allowed FROM nodes", "nodes")
+def scale_out_gate(spark: SparkSession, sf: str) -> DataFrame:
+    """How many nodes may be requested, for caps and counts that differ by row."""
+    allowed = schedule.may_request("cpu", F.lit(6), F.lit(3), F.col("node") % 7, F.col("node") % 4, F.expr("memory div 1000"))
+    return relation(spark, sf, "nodes").select("node", allowed.cast("long").alias("allowed"))
+
+
+@query("WITH p AS (SELECT min_cpu, memory, gpu, count(*) AS n FROM submissions WHERE state = 'queued' GROUP BY ALL), g AS (SELECT min_cpu, memory, gpu, count(*) AS k FROM submissions WHERE state <> 'queued' AND priority < 7 GROUP BY ALL) SELECT min_cpu, memory, gpu, n - coalesce(k, 0) AS n FROM p LEFT JOIN g USING (min_cpu, memory, gpu) WHERE n > coalesce(k, 0)", "submissions")
+def needed_nodes(spark: SparkSession, sf: str) -> DataFrame:
+    """A plan by shape, less the requests of each shape that are under way."""
+    rows = relation(spark, sf, "submissions")
+    plan = rows.where("state = 'queued'").groupBy(*_SHAPE).agg(F.count("*").alias("n"))
+    return schedule.still_needed(plan, rows.where("state <> 'queued' and priority < 7"), _SHAPE)
+
+
+@query(
+    "WITH a AS (SELECT node AS ask, m AS member, i AS position, (node + i) % 4 < 2 AS accepts, CASE WHEN (node // 2 + i) % 3 > 0 THEN concat('no room for ', CAST(node AS VARCHAR)) END AS error FROM nodes, (VALUES ('x', 0), ('y', 1), ('z', 2)) t(m, i)), "
+    "g AS (SELECT ask, arg_min(member, position) FILTER (WHERE accepts AND error IS NULL) AS member, string_agg(concat(member, ': ', error), '; ' ORDER BY position) FILTER (WHERE accepts) AS tried FROM a GROUP BY ask) "
+    "SELECT ask, member, CASE WHEN member IS NULL THEN coalesce(tried, 'no member accepts the request') END AS error FROM g",
+    "nodes",
+)
+def composite_fallback(spark: SparkSession, sf: str) -> DataFrame:
+    """Members of a composite asked in order; the errors of all where none makes a node."""
+    member = F.explode(F.array(*(F.struct(F.lit(m).alias("member"), F.lit(i).alias("position")) for i, m in enumerate("xyz"))))
+    rows = relation(spark, sf, "nodes").select(F.col("node").alias("ask"), member.alias("m")).select("ask", "m.*")
+    error = F.when(F.expr("(ask div 2 + position) % 3 > 0"), F.concat(F.lit("no room for "), F.col("ask").cast("string")))
+    return schedule.first_success(rows.select("*", F.expr("(ask + position) % 4 < 2").alias("accepts"), error.alias("error")))
+
+
 @query()
 def best_fit_packing(spark: SparkSession, sf: str) -> DataFrame:
     """Queued submissions of each launcher over the nodes of its pool."""
@@ -613,9 +783,17 @@ def affinity_label_count(spark: SparkSession, sf: str) -> DataFrame:
     return metrics.count_by_label(relation(spark, sf, "submissions").select(labels.alias("labels")))
 
 
-@query("SELECT count(*) AS n FROM submissions WHERE state = 'queued' AND image IS NOT NULL", "submissions")
+@query("SELECT count(*) AS n, CAST(count(*) FILTER (WHERE version = 2) AS BIGINT) AS n_spot FROM submissions WHERE state = 'queued' AND version < 3", "submissions")
 def with_selector_count(spark: SparkSession, sf: str) -> DataFrame:
-    return relation(spark, sf, "submissions").where("state = 'queued' and image is not null").agg(F.count("*").alias("n"))
+    """Queued requests that carry a selector, and those whose selector a spot node fulfils."""
+    asked = {1: Not(Has("spot")), 2: And((Has("spot"), Or((Has("eu"), Not(Has("us")))))), 3: None}
+    carried, fits = F.lit(None).cast("string"), F.lit(None).cast("boolean")
+    for version, selector in asked.items():
+        here = F.col("version") == version
+        carried = F.when(here, F.lit(to_json(selector))).otherwise(carried)
+        fits = F.when(here, matches(selector, F.array(F.lit("spot")))).otherwise(fits)
+    rows = relation(spark, sf, "submissions").where("state = 'queued'").select(carried.alias("selector"), fits.alias("fits")).where("selector is not null")
+    return rows.agg(F.count("*").alias("n"), F.count_if("fits").alias("n_spot"))
 
 
 @query(
@@ -628,6 +806,27 @@ def cardinality_cap(spark: SparkSession, sf: str) -> DataFrame:
     return metrics.capped(counts, "name", "first", 10)
 
 
+@query(
+    "WITH c AS (SELECT CAST(key AS VARCHAR) AS name, min(seq) AS first, count(*) AS n FROM queue_events GROUP BY key), "
+    "a AS (SELECT name FROM c WHERE CAST(name AS BIGINT) % 20 = 0 UNION ALL (SELECT name FROM c WHERE CAST(name AS BIGINT) % 20 <> 0 ORDER BY first, name LIMIT 5)) "
+    "SELECT CASE WHEN a.name IS NULL THEN '_other' ELSE c.name END AS name, CAST(sum(n) AS BIGINT) AS n FROM c LEFT JOIN a USING (name) GROUP BY 1",
+    "queue_events",
+)
+def admitted_series(spark: SparkSession, sf: str) -> DataFrame:
+    """Series that were admitted before stay, and new ones join them while there is room (ten in all)."""
+    seen = relation(spark, sf, "queue_events").select(F.col("key").cast("string").alias("name"), "seq")
+    before = seen.where(F.col("name").cast("long") % 20 == 0).select("name")
+    names = metrics.admitted(before, seen, "name", "seq", 10)
+    return metrics.relabelled(seen.groupBy("name").agg(F.count("*").alias("n")), names, "name")
+
+
+@query("SELECT DISTINCT o_orderkey AS max_series, CAST(greatest(1, floor((o_orderkey - 6) / 21.0) - 1) AS BIGINT) AS pairs, CAST(greatest(1, floor(o_orderkey / 50.0)) AS BIGINT) AS labels FROM orders")
+def series_caps(spark: SparkSession, sf: str) -> DataFrame:
+    """How many pairs and labels fit budgets of series."""
+    pairs, labels = metrics.series_caps("o_orderkey")
+    return table(spark, sf, "orders").select(F.col("o_orderkey").alias("max_series"), pairs.cast("long").alias("pairs"), labels.cast("long").alias("labels")).distinct()
+
+
 @query("SELECT task, version, state, count(*) AS n FROM submissions GROUP BY ALL", "submissions")
 def task_counters(spark: SparkSession, sf: str) -> DataFrame:
     """Submissions by what became of them, by name and version."""
@@ -681,10 +880,11 @@ def remove_first(spark: SparkSession, sf: str) -> DataFrame:
     return sets.remove_first(queued.select("min_cpu", "memory"), queued.where("gpu > 0").select("min_cpu", "memory").distinct())
 
 
-@query("SELECT DISTINCT key, launcher FROM submissions", "submissions")
+@query("SELECT key, launcher FROM submissions WHERE state = 'queued' UNION SELECT key, launcher FROM queue_events WHERE kind = 'Enqueued'", "submissions", "queue_events")
 def union_of_waiters(spark: SparkSession, sf: str) -> DataFrame:
-    submissions = relation(spark, sf, "submissions").select("key", "launcher")
-    return submissions.union(submissions).distinct()
+    """The waiters that a key had and those that came since, each once."""
+    had = relation(spark, sf, "submissions").where("state = 'queued'").select("key", "launcher")
+    return had.union(relation(spark, sf, "queue_events").where("kind = 'Enqueued'").select("key", "launcher")).distinct()
 
 
 @query("SELECT doc_id, concat_ws(',', source, lang, concat(source, '/x')) AS files FROM documents")
@@ -713,6 +913,12 @@ def dead_launchers(spark: SparkSession, sf: str) -> DataFrame:
     return state.dead_launchers(relation(spark, sf, "queue_events").select("launcher", F.col("seq").alias("moment"), F.expr("seq div 100").alias("counter")))
 
 
+@query("WITH s AS (SELECT launcher, seq AS moment, seq // 100 AS counter FROM queue_events), g AS (SELECT launcher, counter, min(moment) AS since FROM s GROUP BY ALL) SELECT launcher, min(moment) AS moment FROM s JOIN g USING (launcher, counter) WHERE moment - since >= 40 GROUP BY launcher", "queue_events")
+def silent_launchers(spark: SparkSession, sf: str) -> DataFrame:
+    """Launchers whose counter stood still for two intervals of 20."""
+    return state.silent_launchers(relation(spark, sf, "queue_events").select("launcher", F.col("seq").alias("moment"), F.expr("seq div 100").alias("counter")), 20)
+
+
 @query("SELECT key FROM submissions WHERE state = 'scheduled' AND launcher % 7 = 0", "submissions")
 def requeue_on_crash(spark: SparkSession, sf: str) -> DataFrame:
     submissions = relation(spark, sf, "submissions")
@@ -756,25 +962,80 @@ def _fold_events(spark: SparkSession, sf: str) -> DataFrame:
     return e.select(F.col("key").cast("string").alias("entity"), "seq", "kind", F.col("launcher").cast("string").alias("a"), F.lit(None).cast("string").alias("b"))
 
 
-@query()
+#: The state machine as a recursion over the events of each key, in order.
+_FOLD = """
+WITH RECURSIVE e AS (SELECT CAST(key AS VARCHAR) AS entity, row_number() OVER (PARTITION BY key ORDER BY seq) AS r, kind, CAST(launcher AS VARCHAR) AS a FROM queue_events WHERE kind <> 'LauncherJoined'),
+f(entity, r, status, launcher, ended, proxies, waits) AS (
+  SELECT entity, 0::BIGINT, NULL::VARCHAR, NULL::VARCHAR, NULL::VARCHAR, []::VARCHAR[], false FROM e WHERE r = 1
+  UNION ALL
+  SELECT f.entity, e.r,
+    CASE WHEN kind = 'Enqueued' THEN CASE WHEN status = 'scheduled' THEN 'scheduled' ELSE 'queued' END
+      WHEN kind = 'TaskScheduled' AND status = 'queued' THEN 'scheduled' WHEN kind IN ('TaskDone', 'TaskFailed') THEN NULL ELSE status END,
+    CASE WHEN kind = 'TaskScheduled' AND status = 'queued' THEN a WHEN kind IN ('TaskDone', 'TaskFailed') AND status IS NOT NULL THEN NULL ELSE launcher END,
+    CASE WHEN kind IN ('TaskDone', 'TaskFailed') AND status IS NOT NULL THEN kind ELSE ended END,
+    CASE WHEN kind = 'Enqueued' THEN list_sort(list_distinct(list_append(proxies, a))) WHEN kind IN ('TaskDone', 'TaskFailed') AND status IS NOT NULL THEN [] ELSE proxies END,
+    CASE WHEN kind = 'Enqueued' THEN true WHEN kind IN ('TaskDone', 'TaskFailed') AND status IS NOT NULL THEN false ELSE waits END
+  FROM f JOIN e ON e.entity = f.entity AND e.r = f.r + 1)
+SELECT entity, max(r) AS n_events, arg_max(concat('{', array_to_string(list_filter([
+  CASE WHEN launcher IS NOT NULL THEN '"allocated":null' END, CASE WHEN ended IS NOT NULL THEN concat('"ended":"', ended, '"') END,
+  CASE WHEN launcher IS NOT NULL THEN concat('"launcher":"', launcher, '"') END,
+  CASE WHEN waits THEN concat('"proxies":["', array_to_string(proxies, '","'), '"]') END,
+  CASE WHEN status IS NOT NULL THEN concat('"status":"', status, '"') END, CASE WHEN waits THEN '"task":null' END], lambda x: x IS NOT NULL), ','), '}'), r) AS state
+FROM f GROUP BY entity
+"""
+
+
+@query(_FOLD, "queue_events")
 def event_fold(spark: SparkSession, sf: str) -> DataFrame:
     """The queue's state machine over all events of each key."""
     return state.fold(_fold_events(spark, sf))
 
 
-@query()
+@query(_FOLD, "queue_events")
 def event_fold_stream(spark: SparkSession, sf: str) -> DataFrame:
-    """The same as a stream that reads the events and runs until it has seen them all."""
-    import uuid
-
+    """The same as a stream that reads the events and runs until it has seen them all; its updates are tables, one for each micro-batch."""
     events = _fold_events(spark, sf)
-    name = f"fold_{uuid.uuid4().hex[:8]}"
-    folder, check = new_path(spark, "stream-in"), new_path(spark, "stream-check")
+    folder, check, out = (new_path(spark, f"stream-{x}") for x in ("in", "check", "out"))
     events.write.parquet(folder)
     stream = spark.readStream.schema(events.schema).parquet(folder)
-    run = state.fold_stream(stream).writeStream.outputMode("update").format("memory").queryName(name).option("checkpointLocation", check).trigger(availableNow=True).start()
+    write = lambda batch, n: batch.write.mode("overwrite").parquet(f"{out}/batch={n}")
+    run = state.fold_stream(stream).writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", check).trigger(availableNow=True).start()
     run.awaitTermination()
-    return spark.table(name).groupBy("entity").agg(F.max_by("state", "n_events").alias("state"), F.max("n_events").alias("n_events"))
+    seen = spark.read.schema(f"{state.STATE}, batch long").parquet(out)
+    return seen.groupBy("entity").agg(F.max_by(F.struct("state", "n_events"), "batch").alias("x")).select("entity", "x.*")
+
+
+_NODE_EVENTS = "['NodeRequested', 'NodeRequested', 'NodeRequested', 'NodeRequested', 'NodeIsPending', 'NodeIsPending', 'NodeIsPending', 'NodeIsUp', 'NodeIsUp', 'NodeIsDown', 'InitFailed', 'NodeRequestFailed', 'NodeRequested']"
+
+
+@query(
+    f"WITH e AS (SELECT launcher, seq, CASE WHEN seq % 101 = 0 THEN 'AllStop' ELSE {_NODE_EVENTS}[CAST(seq % 13 AS INTEGER) + 1] END AS kind, CAST(seq // 13 % 2 AS VARCHAR) AS a, CAST(seq // 26 % 3 AS VARCHAR) AS b FROM queue_events), "
+    "r AS (SELECT launcher, count(*) FILTER (WHERE kind = 'NodeRequested') AS requested, coalesce(max(seq) FILTER (WHERE kind = 'AllStop'), -1) AS stop FROM e GROUP BY launcher), "
+    "l AS (SELECT e.* FROM e JOIN r USING (launcher) WHERE seq > stop), "
+    "w AS (SELECT launcher, a, seq, sum(CASE WHEN kind = 'NodeRequested' THEN 1 ELSE -1 END) OVER (PARTITION BY launcher, a ORDER BY seq) AS s FROM l WHERE kind IN ('NodeRequested', 'NodeRequestFailed', 'NodeIsPending')), "
+    "f AS (SELECT launcher, CAST(sum(n) AS INTEGER) AS in_flight FROM (SELECT launcher, a, arg_max(s, seq) - least(0, min(s)) AS n FROM w GROUP BY launcher, a) GROUP BY launcher), "
+    "p AS (SELECT launcher, string_agg(b, ',' ORDER BY b) AS pending FROM (SELECT launcher, b FROM l WHERE kind IN ('NodeIsPending', 'NodeIsUp', 'InitFailed') GROUP BY launcher, b HAVING arg_max(kind, seq) = 'NodeIsPending') GROUP BY launcher), "
+    "u AS (SELECT launcher, string_agg(b, ',' ORDER BY b) AS running FROM (SELECT launcher, b FROM l WHERE kind IN ('NodeIsUp', 'NodeIsDown') GROUP BY launcher, b HAVING arg_max(kind, seq) = 'NodeIsUp') GROUP BY launcher) "
+    "SELECT launcher, CAST(requested AS INTEGER) AS requested, coalesce(in_flight, 0) AS in_flight, coalesce(pending, '') AS pending, coalesce(running, '') AS running "
+    "FROM r LEFT JOIN f USING (launcher) LEFT JOIN p USING (launcher) LEFT JOIN u USING (launcher)",
+    "queue_events",
+)
+def node_registry(spark: SparkSession, sf: str) -> DataFrame:
+    """The fold of all events of nodes: requested, in flight, pending and running ones of each launcher."""
+    seq = F.col("seq")
+    kinds = F.array(*map(F.lit, _NODE_EVENTS.strip("[']").split("', '")))
+    kind = F.when(seq % 101 == 0, "AllStop").otherwise(F.get(kinds, (seq % 13).cast("int")))
+    events = relation(spark, sf, "queue_events").select(
+        F.col("launcher").cast("string").alias("entity"), "seq", kind.alias("kind"), F.expr("cast(seq div 13 % 2 as string)").alias("a"), F.expr("cast(seq div 26 % 3 as string)").alias("b")
+    )
+    folded = state.fold(events).select(F.col("entity").cast("long").alias("launcher"), F.from_json("state", "requested int, in_flight array<string>, pending array<string>, running array<string>").alias("s"))
+    return folded.select(
+        "launcher",
+        F.coalesce("s.requested", F.lit(0)).alias("requested"),
+        F.coalesce(F.size("s.in_flight"), F.lit(0)).alias("in_flight"),
+        F.coalesce(F.array_join("s.pending", ","), F.lit("")).alias("pending"),
+        F.coalesce(F.array_join("s.running", ","), F.lit("")).alias("running"),
+    )
 
 
 def queries() -> dict[str, Query]:

@@ -2,13 +2,14 @@
 
 Events are rows (entity, seq, kind, a, b). The entity names what an event changes (a task key, a launcher, a
 rendezvous group, a session, a proxy or a node), so every entity folds on its own, in order of seq. The state of an
-entity is a small JSON object. Batch and streaming use the same ``reduce``, so both give the same state.
+entity is a small JSON object. Batch and streaming use the same ``reduce``; they give the same state where no event is later than
+the stream is told to wait for.
 """
 
 from __future__ import annotations
 
 import json
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 from typing import Any
 
 import pandas as pd
@@ -16,7 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 STATE = "entity string, state string, n_events long"
-STATE_COLUMNS = "state string, n_events long, last long"
+STATE_COLUMNS = "state string, n_events long, last long, kept string"
 
 
 def reduce(state: dict[str, Any], kind: str, a: str | None, b: str | None) -> dict[str, Any]:
@@ -87,12 +88,6 @@ def _without_first(items: list, item: Any) -> list:
     return items[: items.index(item)] + items[items.index(item) + 1 :] if item in items else items
 
 
-def _fold(state: dict, rows: Iterable) -> dict:
-    for r in rows:
-        state = reduce(state, r.kind, _none(r.a), _none(r.b))
-    return state
-
-
 def _none(x: Any) -> Any:
     return None if x is None or x != x else x
 
@@ -122,22 +117,31 @@ def fold(events: DataFrame) -> DataFrame:
     return cols.repartition("entity").sortWithinPartitions("entity", "seq").mapInPandas(run, STATE)
 
 
-def fold_stream(events: DataFrame) -> DataFrame:
+def fold_stream(events: DataFrame, reorder: int = 0) -> DataFrame:
     """The same over a stream, in update mode: the state of each entity that changed in a micro-batch.
 
-    Events of an entity are applied in order of seq within a micro-batch; an event older than one already applied
-    (late data) is dropped.
+    Events of an entity are applied in order of seq within a micro-batch. The last ``reorder`` events of an entity are kept beside the
+    state they led to, so an event that comes late by no more events than that is still applied in its place, as the batch fold
+    does; a later one, or one that came before, is dropped.
     """
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], held: Any) -> Iterator[pd.DataFrame]:
-        text, n, last = held.get if held.exists else ("{}", 0, -(1 << 62))
-        rows = pd.concat(list(batches)).sort_values("seq")
-        rows = rows[rows["seq"] > last]
-        state = _fold(json.loads(text), rows.itertuples(index=False))
-        if len(rows):
-            n, last = n + len(rows), int(rows["seq"].max())
-        held.update((_text(state), n, last))
-        yield pd.DataFrame([(key[0], _text(state), n)], columns=["entity", "state", "n_events"])
+        # the state without the kept events, how many it holds, the last of them; the kept ones
+        text, n, last, kept = held.get if held.exists else ("{}", 0, -(1 << 62), "[]")
+        pending = {e[0]: e for e in json.loads(kept)}
+        for batch in batches:
+            for r in batch.itertuples(index=False):
+                if r.seq > last:
+                    pending.setdefault(int(r.seq), [int(r.seq), r.kind, _none(r.a), _none(r.b)])
+        base, rows = json.loads(text), [pending[k] for k in sorted(pending)]
+        cut = max(0, len(rows) - reorder)
+        for seq, kind, a, b in rows[:cut]:
+            base, last = reduce(base, kind, a, b), seq
+        state = base
+        for _, kind, a, b in rows[cut:]:
+            state = reduce(state, kind, a, b)
+        held.update((_text(base), n + cut, last, json.dumps(rows[cut:])))
+        yield pd.DataFrame([(key[0], _text(state), n + len(rows))], columns=["entity", "state", "n_events"])
 
     cols = events.select("entity", "seq", "kind", "a", "b")
     return cols.groupBy("entity").applyInPandasWithState(run, STATE, STATE_COLUMNS, "update", "NoTimeout")
@@ -154,6 +158,47 @@ def dead_launchers(samples: DataFrame) -> DataFrame:
     return samples.withColumn("_before", before).where("counter = _before").groupBy("launcher").agg(F.min("moment").alias("moment"))
 
 
+def silent_launchers(samples: DataFrame, interval: int) -> DataFrame:
+    """(launcher, moment) for samples (launcher, moment, counter): the first sample that finds a counter unchanged for two intervals.
+
+    Counters only grow, so the samples of one counter stand together: they are grouped, not sorted by launcher.
+    """
+    since = samples.groupBy("launcher", "counter").agg(F.min("moment").alias("_since"), F.max("moment").alias("_last")).where(F.col("_last") - F.col("_since") >= 2 * interval)
+    late = samples.join(since, ["launcher", "counter"]).where(F.col("moment") - F.col("_since") >= 2 * interval)
+    return late.groupBy("launcher").agg(F.min("moment").alias("moment"))
+
+
+def watch_stream(beats: DataFrame, seconds: int, lateness: str = "0 seconds") -> DataFrame:
+    """(launcher, counter, since) over a stream of beats (launcher, at timestamp, counter), in update mode: launchers whose counter stood
+    still for two intervals of ``seconds`` of event time.
+
+    Each launcher has a timer that a new counter sets anew; it fires when the watermark passes it. One that beats again later is watched again.
+    """
+
+    def run(key: tuple, batches: Iterator[pd.DataFrame], held: Any) -> Iterator[pd.DataFrame]:
+        if held.hasTimedOut:
+            counter, since = held.get
+            held.remove()
+            yield pd.DataFrame({"launcher": [key[0]], "counter": [counter], "since": [pd.Timestamp(since, unit="us")]})
+            return
+        counter, since = held.get if held.exists else (None, None)
+        for batch in batches:
+            for r in batch.sort_values("at").itertuples(index=False):
+                if counter is None or r.counter > counter:
+                    counter, since = int(r.counter), int(r.at.value // 1000)
+        held.update((counter, since))
+        due = since // 1000 + 2 * seconds * 1000
+        if due > held.getCurrentWatermarkMs():
+            held.setTimeoutTimestamp(due)
+        else:  # known too late for a timer
+            held.remove()
+            yield pd.DataFrame({"launcher": [key[0]], "counter": [counter], "since": [pd.Timestamp(since, unit="us")]})
+
+    cols = beats.withWatermark("at", lateness).select("launcher", "at", "counter")
+    kind = dict(beats.dtypes)["launcher"]
+    return cols.groupBy("launcher").applyInPandasWithState(run, f"launcher {kind}, counter long, since timestamp", "counter long, since long", "update", "EventTimeTimeout")
+
+
 def requeued(scheduled: DataFrame, dead: DataFrame) -> DataFrame:
     """Submissions of dead launchers, to be queued again."""
     return scheduled.join(dead.select("launcher").distinct(), "launcher", "left_semi")

@@ -66,3 +66,87 @@ def test_invalid_groups(spark):
 def test_closure_of_a_cycle(spark):
     df = spark.createDataFrame([(1, 2), (2, 3), (3, 1)], "child long, parent long")
     assert recursion.closure(df).count() == 9
+
+
+def test_closure_of_paths_of_many_lengths(spark):
+    import random
+
+    r = random.Random(4)
+    pairs = sorted({(a, b) for a, b in ((r.randint(0, 40), r.randint(0, 40)) for _ in range(70)) if a != b})
+    depth = {(a, b): 1 for a, b in pairs}
+    for _ in range(41):
+        for (a, b), d in list(depth.items()):
+            for c, e in pairs:
+                if c == b:
+                    depth[a, e] = min(depth.get((a, e), 99), d + 1)
+    got = {(x.child, x.parent): x.depth for x in recursion.closure(spark.createDataFrame(pairs, "child long, parent long")).collect()}
+    assert got == depth
+    with pytest.raises(ValueError, match="more than 2 steps"):
+        recursion.closure(spark.createDataFrame([(i, i + 1) for i in range(9)], "child long, parent long"), most=2).count()
+
+
+def down_body(rows):
+    import pandas as pd
+
+    if (rows["n"] == 13).any():
+        raise ValueError("thirteen")
+    return pd.DataFrame({"v": [1 + sum(x["value"]["v"] for x in inputs) for inputs in rows["inputs"]]})
+
+
+def test_recursion_of_submissions(spark):
+    """Sums over all that a key needs; hits of an earlier run; failures; keys that need each other."""
+    from larkspur.operators import memo
+    from larkspur.sources.shared import new_path
+
+    t = memo.Task("down", 1, down_body, ("n", "inputs"), memo.T._parse_datatype_string("v long"), ("n",))
+    store = memo.Store(spark, new_path(spark, "store"))
+    roots = lambda *n: spark.createDataFrame([(x,) for x in n], "n long")
+    needs = lambda f: f.where("n > 1").selectExpr("n", "explode(filter(array(n div 2, n div 3), x -> x > 0)) AS need")
+
+    def want(n):
+        return 1 + sum(map(want, {n // 2, n // 3} - {0})) if n > 1 else 1
+
+    got = {r.n: r.value.v for r in recursion.evaluate(t, roots(12, 9), needs, store).collect()}
+    assert got == {n: want(n) for n in (12, 9, 6, 4, 3, 2, 1)}
+    assert store.table().count() == 7
+    assert {r.n: r.value.v for r in recursion.evaluate(t, roots(24), needs, store).collect()}[24] == want(24)
+    assert store.table().count() == 9
+    with pytest.raises(RuntimeError, match="13: ValueError: thirteen"):
+        recursion.evaluate(t, roots(26), needs, store)
+    with pytest.raises(ValueError, match="each other"):
+        recursion.evaluate(t, roots(30), lambda f: f.selectExpr("n", "CASE n WHEN 30 THEN 31 ELSE 30 END AS need"), store)
+
+
+def test_late_events_of_a_stream(spark):
+    """Events that come late by no more than is kept are applied in their place."""
+    from larkspur.sources.shared import new_path
+
+    events = [(1, "Enqueued", "p1"), (2, "TaskScheduled", "l1"), (3, "Enqueued", "p2"), (4, "TaskDone", None), (5, "Enqueued", "p3"), (6, "TaskScheduled", "l2")]
+    folder, out = new_path(spark, "in"), new_path(spark, "out")
+    kinds = "entity string, seq long, kind string, a string, b string"
+    for i, part in enumerate([[1, 3, 5], [2], [6], [4, 1]]):
+        spark.createDataFrame([("k", *e, None) for e in events if e[0] in part], kinds).coalesce(1).write.parquet(f"{folder}/b{i}")
+    expected = state.fold(spark.createDataFrame([("k", *e, None) for e in events], kinds)).first()
+    for reorder, same in ((4, True), (0, False)):
+        stream = spark.readStream.schema(kinds).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(folder)
+        write = lambda batch, n, to=f"{out}/{reorder}": batch.write.mode("overwrite").parquet(f"{to}/batch={n}")
+        run = state.fold_stream(stream, reorder).writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", new_path(spark, "check")).trigger(availableNow=True).start()
+        run.awaitTermination()
+        last = spark.read.schema(f"{state.STATE}, batch long").parquet(f"{out}/{reorder}").orderBy("batch").collect()[-1]
+        assert ((last.state, last.n_events) == (expected.state, 6)) is same
+
+
+def test_watch_of_a_stream(spark):
+    """Counters that stand still for two intervals of event time are told once."""
+    from larkspur.sources.shared import new_path
+
+    folder = new_path(spark, "in")
+    batches = [[("a", 0, 1), ("b", 0, 1)], [("a", 30, 1), ("b", 30, 2)], [("a", 70, 1), ("b", 60, 3)], [("b", 90, 4)], [("b", 130, 5)], [("c", 500, 1)]]
+    for i, rows in enumerate(batches):
+        spark.sql("SELECT * FROM VALUES " + ", ".join(f"('{n}', timestamp_seconds({s}), {c}L)" for n, s, c in rows) + " t(launcher, at, counter)").coalesce(1).write.parquet(f"{folder}/{i}")
+    beats = spark.readStream.schema("launcher string, at timestamp, counter long").option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(folder)
+    found = []
+    write = lambda batch, n: found.extend((r.launcher, r.counter) for r in batch.collect())
+    run = state.watch_stream(beats, 30).writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", new_path(spark, "check")).trigger(availableNow=True).start()
+    run.awaitTermination()
+    assert found == [("a", 1), ("b", 5)]
