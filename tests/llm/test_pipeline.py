@@ -58,3 +58,18 @@ def test_edges(spark):
                 assert None in ids
         assert (docs.count() > 0) is some
     assert within("abc", "abd", 1)
+
+
+def test_near_keeps_a_defined_row(spark):
+    """Rows of one doc_id with different texts; equal texts with other columns; the choice does not depend on partitions."""
+    import hashlib
+
+    one, two, other = ("the quick brown fox jumps over the lazy dog and runs away", "an entirely different text about something else at all here", "and here is a third one that nobody has seen before today")
+    rows = [(3, one, "en", "a", 1), (7, one, "en", "b", 1), (7, two, "en", "c", 1), (7, two, None, "d", 1), (8, two, "en", "e", 1), (9, other, "en", "f", 1), (9, one, "en", "g", 1), (None, one, "en", "h", 1), (5, None, "en", "i", 0), (6, "", "en", "j", 0)]
+    for n in (1, 3):
+        docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(n)
+        got = sorted((r.doc_id or -1, r.source) for r in pipeline.near(spark, docs, SF).collect())
+        assert got == [(-1, "h"), (3, "a"), (5, "i"), (7, "d"), (9, "f")]
+    both = [(1, one, "en", "x", 1), (1, two, "en", "y", 1)]
+    got = [r.text for r in pipeline.near(spark, spark.createDataFrame(both, "doc_id long, text string, lang string, source string, n_chars long"), SF).collect()]
+    assert got == [min((one, two), key=lambda t: hashlib.md5(t.encode()).hexdigest())]
