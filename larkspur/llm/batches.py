@@ -9,7 +9,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 
-def slices(batch: pa.RecordBatch, column: str, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, column: str, most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """Consecutive slices of ``batch`` with about ``most`` bytes in ``column`` each (one row at least)."""
     if not batch.num_rows:
         return

@@ -94,7 +94,7 @@ def digest(line: str) -> bytes:
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """BASE^i and BASE^-i modulo 2^64 for i up to n."""
-    size = 1 << max(16, n.bit_length())
+    size = 1 << max(18, n.bit_length())
 
     def build(base: int) -> np.ndarray:
         out = np.full(size, base, np.uint64)
@@ -281,7 +281,7 @@ def group_links(lines: list[tuple[bytes, str]], edits: int) -> list[tuple[bytes,
 
 def _flat(batches: Iterator[pa.RecordBatch], least: int, name: str = "doc_id") -> Iterator[tuple[list, list[int], list[str]]]:
     for batch in batches:
-        for part in slices(batch, "text", 1 << 20):
+        for part in slices(batch, "text", 1 << 18):
             docs, numbers, lines = [], [], []
             for doc, text in zip(part.column(name).to_pylist(), part.column("text").to_pylist(), strict=True):
                 for i, line in eligible(text, least):
@@ -368,7 +368,7 @@ def line_links(rows: DataFrame, edits: int, least: int) -> DataFrame:
 
     def spread_again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "line_a", 1 << 20):
+            for part in slices(batch, "line_a", 1 << 18):
                 first, half = (part.column(c).to_numpy() for c in ("b", "a"))
                 key, row, own, sketch = second_keys(part.column("line_a").to_pylist(), first.view(np.uint64), edits)
                 mark = (sketch << np.uint64(1)) | own.astype(np.uint64)
@@ -383,8 +383,9 @@ def line_links(rows: DataFrame, edits: int, least: int) -> DataFrame:
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ok = [(p, q) for p, s, q, t in zip(*(c.to_pylist() for c in batch.columns), strict=True) if within(s, t, edits)]
-            yield _links(ok)
+            for part in slices(batch, "line_a"):
+                ok = [(p, q) for p, s, q, t in zip(*(c.to_pylist() for c in part.columns), strict=True) if within(s, t, edits)]
+                yield _links(ok)
 
     def verify_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, held = None, []
