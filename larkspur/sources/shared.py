@@ -19,6 +19,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Used only where the session names no shared folder (single-machine runs and tests).
 DEFAULT_SHARED = "/tmp/checkpoints"
+#: Bytes of a batch between Spark and a Python worker: each holds a few at a time.
+BATCH = 8 << 20
 #: The folder of this process below ``larkspur`` in the shared folder.
 RUN = f"run-{uuid.uuid4().hex[:12]}"
 _used: dict[str, Any] = {}  # runs' folders and the gateway that deletes them
@@ -26,6 +28,7 @@ _used: dict[str, Any] = {}  # runs' folders and the gateway that deletes them
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The input table ``name`` of ``sf_dir``, through Spark's reader."""
+    bounded(spark)
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
@@ -44,6 +47,13 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def bounded(spark: SparkSession) -> None:
+    """Bound the batches that go to Python workers to BATCH bytes, unless the application names a bound of its own."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if not spark.sparkContext.getConf().contains(name):
+        spark.conf.set(name, BATCH)
+
+
 def new_path(spark: SparkSession, name: str) -> str:
     """A fresh path for a table or folder in the shared folder. What is not removed before goes with the process."""
     run = f"{shared_dir(spark)}/larkspur/{RUN}"
@@ -67,6 +77,7 @@ def cleanup() -> None:
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once into the shared folder and return it as read from there."""
     spark = df.sparkSession
+    bounded(spark)
     path = new_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
