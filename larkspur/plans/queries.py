@@ -333,10 +333,10 @@ def rendezvous_invalid(spark: SparkSession, sf: str) -> DataFrame:
     return barrier.invalid(joins)
 
 
-@query()
+@query("SELECT CAST(r AS INTEGER) AS rank, 'host-0:1000,host-1:1000,host-2:1000,host-3:1000' AS peers FROM range(4) t(r)")
 def rendezvous_barrier(spark: SparkSession, sf: str) -> DataFrame:
-    """A barrier stage of as many ranks as there are slots, four at most."""
-    n = min(4, spark.sparkContext.defaultParallelism)
+    """A barrier stage of four ranks, which need a slot each."""
+    n = 4
     peers = barrier.all_gather(spark, [f"host-{r}:1000" for r in range(n)])
     return spark.createDataFrame([(r, ",".join(p)) for r, p in enumerate(peers)], "rank int, peers string")
 
@@ -674,15 +674,33 @@ def composite_fallback(spark: SparkSession, sf: str) -> DataFrame:
     return schedule.first_success(rows.select("*", F.expr("(ask + position) % 4 < 2").alias("accepts"), error.alias("error")))
 
 
-@query()
+#: The placement as a recursion over the requests of each pool, in the order that {order} gives.
+_PACKING = """
+WITH RECURSIVE t AS (SELECT launcher % 5 AS pool, key AS task, min_cpu, max_cpu, memory, scratch, gpu,
+    row_number() OVER (PARTITION BY launcher % 5 ORDER BY gpu DESC, min_cpu DESC, memory DESC, scratch DESC, {order}) AS r FROM submissions WHERE state = 'queued'),
+f(pool, r, task, node, free) AS (
+  SELECT node % 5, 0::BIGINT, NULL::BIGINT, NULL::BIGINT, list({{'gpu': CAST(len(gpu) AS BIGINT), 'cpu': CAST(cpu AS BIGINT), 'memory': CAST(memory AS BIGINT), 'scratch': CAST(scratch AS BIGINT), 'node': CAST(node AS BIGINT)}}) FROM nodes GROUP BY node % 5
+  UNION ALL
+  SELECT pool, r, task, best.node, list_transform(free, lambda x: CASE WHEN x.node = best.node THEN
+      {{'gpu': CAST(x.gpu - gpu AS BIGINT), 'cpu': CAST(greatest(0, x.cpu - max_cpu) AS BIGINT), 'memory': CAST(x.memory - memory AS BIGINT), 'scratch': CAST(x.scratch - scratch AS BIGINT), 'node': x.node}} ELSE x END)
+  FROM (SELECT t.*, f.free, list_sort(list_filter(f.free, lambda x: x.gpu >= t.gpu AND x.cpu >= t.min_cpu AND x.memory >= t.memory AND x.scratch >= t.scratch))[1] AS best
+    FROM f JOIN t ON t.pool = f.pool AND t.r = f.r + 1))
+"""
+
+
+@query(_PACKING.format(order="key") + "SELECT pool, task, coalesce(CAST(node AS VARCHAR), 'none') AS node FROM f WHERE r > 0", "submissions", "nodes")
 def best_fit_packing(spark: SparkSession, sf: str) -> DataFrame:
     """Queued submissions of each launcher over the nodes of its pool."""
     submissions = relation(spark, sf, "submissions").where("state = 'queued'").select((F.col("launcher") % 5).alias("pool"), F.col("key").alias("task"), "min_cpu", "max_cpu", "memory", "scratch", "gpu")
     nodes = relation(spark, sf, "nodes").select((F.col("node") % 5).alias("pool"), "node", "cpu", "memory", "scratch", F.size("gpu").alias("gpu"))
-    return schedule.pack(submissions, nodes, "pool")
+    return schedule.pack(submissions, nodes, "pool").withColumn("node", F.coalesce(F.col("node").cast("string"), F.lit("none")))
 
 
-@query()
+@query(
+    _PACKING.format(order="max_cpu, key") + "SELECT f.pool, gpu, min_cpu, max_cpu, memory, scratch, count(*) AS n FROM f JOIN t ON t.pool = f.pool AND t.task = f.task WHERE f.node IS NULL GROUP BY ALL",
+    "submissions",
+    "nodes",
+)
 def scale_out_plan(spark: SparkSession, sf: str) -> DataFrame:
     """What the nodes of each pool cannot take, by shape."""
     submissions = relation(spark, sf, "submissions").where("state = 'queued'").withColumn("pool", F.col("launcher") % 5)
@@ -690,10 +708,17 @@ def scale_out_plan(spark: SparkSession, sf: str) -> DataFrame:
     return schedule.scale_out_plan(submissions, nodes, "pool")
 
 
-@query()
+@query(
+    "WITH RECURSIVE t AS (SELECT launcher AS pool, key AS task, min_cpu AS cpu, memory, row_number() OVER (PARTITION BY launcher ORDER BY key) AS r FROM submissions WHERE state = 'queued'), "
+    "f(pool, r, task, host, hosts) AS (SELECT DISTINCT pool, 0::BIGINT, NULL::BIGINT, NULL::VARCHAR, [{'name': 'h1', 'cpu': 64::BIGINT, 'memory': 64000::BIGINT}, {'name': 'h2', 'cpu': 128::BIGINT, 'memory': 32000::BIGINT}, {'name': 'h3', 'cpu': 32::BIGINT, 'memory': 128000::BIGINT}] FROM t "
+    "UNION ALL SELECT pool, r, task, best.name, CASE WHEN best IS NULL THEN hosts ELSE list_append(list_filter(hosts, lambda x: x.name <> best.name), {'name': best.name, 'cpu': CAST(best.cpu - cpu AS BIGINT), 'memory': CAST(best.memory - memory AS BIGINT)}) END "
+    "FROM (SELECT t.*, f.hosts, list_filter(f.hosts, lambda x: x.cpu >= t.cpu AND x.memory >= t.memory)[1] AS best FROM f JOIN t ON t.pool = f.pool AND t.r = f.r + 1)) "
+    "SELECT pool, task, coalesce(host, 'none') AS host FROM f WHERE r > 0",
+    "submissions",
+)
 def round_robin_hosts(spark: SparkSession, sf: str) -> DataFrame:
     submissions = relation(spark, sf, "submissions").where("state = 'queued'").select(F.col("launcher").alias("pool"), F.col("key").alias("task"), F.col("min_cpu").alias("cpu"), "memory")
-    return schedule.round_robin(submissions, [("h1", 64, 64000), ("h2", 128, 32000), ("h3", 32, 128000)])
+    return schedule.round_robin(submissions, [("h1", 64, 64000), ("h2", 128, 32000), ("h3", 32, 128000)]).withColumn("host", F.coalesce("host", F.lit("none")))
 
 
 _QUEUES = [("od-small", False, 400, 100), ("od-big", False, 600, 300), ("spot", True, 1000, 0), ("unknown", True, 100, 0)]
