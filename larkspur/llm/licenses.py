@@ -204,7 +204,8 @@ def scan(files: DataFrame, *, path_col: str = "path", text_col: str = "text", is
     ``templates`` replaces the whole shelf by short notices. ``is_license_file`` says which rows are license files (by default by name). Of several in a directory the one of
     the highest score counts, then the least path. Null or empty text has no notice; a null path has no directory; ties
     between templates go to the smaller id; repeated paths are one file with the notices of all its rows, and
-    each row of it gets the same result; an empty table gives no rows. Other columns are ignored.
+    each row of it gets the same result; an empty table gives no rows. Very long texts are searched whole, and every line with a cue
+    counts. Other columns are ignored.
     """
     spark: SparkSession = files.sparkSession
     name = F.element_at(F.split(F.col(path_col), "/"), -1)

@@ -20,6 +20,7 @@ def op1_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vec_id divisible by 50 against all rows of ``embeddings``: the 5 nearest by cosine, through the graph index."""
     from larkspur.llm.ann import build_index, search
 
     vectors = table(spark, sf_dir, "embeddings")
@@ -27,6 +28,7 @@ def op2_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All ``documents`` as pieces of sequences of 1024 ids."""
     import public_tokenizers
 
     from larkspur.llm.packing import pack
@@ -35,12 +37,14 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and component of every row of ``documents``; links of at most 4 bits."""
     from larkspur.llm.simhash import near_duplicates
 
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
 def op5_unigram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of the ids of all texts of ``documents``, their scores, and whether they decode to the text."""
     import public_tokenizers
 
     from larkspur.llm.unigram import encode
@@ -59,12 +63,14 @@ def op5_unigram(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The class of every line of ``documents`` that is not blank: links of two edits from 24 characters on, equality below."""
     from larkspur.llm.lines import classes
 
     return classes(table(spark, sf_dir, "documents"), short=True)
 
 
 def op7_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every text of ``documents``, learned from the folds that are not held out."""
     from larkspur.llm.langid import identify
 
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
@@ -73,6 +79,7 @@ def op7_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A record per row of ``pages``, written to archives and read back by its index."""
     from larkspur.llm.warc import read, write
 
     index = write(table(spark, sf_dir, "pages"))
@@ -80,6 +87,7 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The visible text of every page of ``pages``."""
     from larkspur.llm.html import extract
 
     pages = extract(table(spark, sf_dir, "pages"))
@@ -87,6 +95,7 @@ def op9_html(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vec_id divisible by 20 against all rows of ``embeddings``: the 20 highest integer inner products, exactly."""
     from larkspur.llm.topk import top_inner_products
 
     return top_inner_products(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
