@@ -688,12 +688,12 @@ f(pool, r, task, node, free) AS (
 """
 
 
-@query(_PACKING.format(order="key") + "SELECT pool, task, coalesce(CAST(node AS VARCHAR), 'none') AS node FROM f WHERE r > 0", "submissions", "nodes")
+@query(_PACKING.format(order="key") + "SELECT pool, task, CAST(node AS VARCHAR) AS node FROM f WHERE r > 0", "submissions", "nodes")
 def best_fit_packing(spark: SparkSession, sf: str) -> DataFrame:
     """Queued submissions of each launcher over the nodes of its pool."""
     submissions = relation(spark, sf, "submissions").where("state = 'queued'").select((F.col("launcher") % 5).alias("pool"), F.col("key").alias("task"), "min_cpu", "max_cpu", "memory", "scratch", "gpu")
     nodes = relation(spark, sf, "nodes").select((F.col("node") % 5).alias("pool"), "node", "cpu", "memory", "scratch", F.size("gpu").alias("gpu"))
-    return schedule.pack(submissions, nodes, "pool").withColumn("node", F.coalesce(F.col("node").cast("string"), F.lit("none")))
+    return schedule.pack(submissions, nodes, "pool").withColumn("node", F.col("node").cast("string"))
 
 
 @query(
@@ -713,12 +713,12 @@ def scale_out_plan(spark: SparkSession, sf: str) -> DataFrame:
     "f(pool, r, task, host, hosts) AS (SELECT DISTINCT pool, 0::BIGINT, NULL::BIGINT, NULL::VARCHAR, [{'name': 'h1', 'cpu': 64::BIGINT, 'memory': 64000::BIGINT}, {'name': 'h2', 'cpu': 128::BIGINT, 'memory': 32000::BIGINT}, {'name': 'h3', 'cpu': 32::BIGINT, 'memory': 128000::BIGINT}] FROM t "
     "UNION ALL SELECT pool, r, task, best.name, CASE WHEN best IS NULL THEN hosts ELSE list_append(list_filter(hosts, lambda x: x.name <> best.name), {'name': best.name, 'cpu': CAST(best.cpu - cpu AS BIGINT), 'memory': CAST(best.memory - memory AS BIGINT)}) END "
     "FROM (SELECT t.*, f.hosts, list_filter(f.hosts, lambda x: x.cpu >= t.cpu AND x.memory >= t.memory)[1] AS best FROM f JOIN t ON t.pool = f.pool AND t.r = f.r + 1)) "
-    "SELECT pool, task, coalesce(host, 'none') AS host FROM f WHERE r > 0",
+    "SELECT pool, task, host FROM f WHERE r > 0",
     "submissions",
 )
 def round_robin_hosts(spark: SparkSession, sf: str) -> DataFrame:
     submissions = relation(spark, sf, "submissions").where("state = 'queued'").select(F.col("launcher").alias("pool"), F.col("key").alias("task"), F.col("min_cpu").alias("cpu"), "memory")
-    return schedule.round_robin(submissions, [("h1", 64, 64000), ("h2", 128, 32000), ("h3", 32, 128000)]).withColumn("host", F.coalesce("host", F.lit("none")))
+    return schedule.round_robin(submissions, [("h1", 64, 64000), ("h2", 128, 32000), ("h3", 32, 128000)])
 
 
 _QUEUES = [("od-small", False, 400, 100), ("od-big", False, 600, 300), ("spot", True, 1000, 0), ("unknown", True, 100, 0)]
