@@ -196,6 +196,17 @@ def links(distinct: DataFrame) -> DataFrame:
     return spreaded.repartition("key").sortWithinPartitions("key").mapInArrow(check, "a long, b long")
 
 
+def fingerprint_components(fps: DataFrame, id_col: str) -> DataFrame:
+    """(fp, component_id): for every fingerprint of ``fps`` (columns ``id_col`` and fp) the least id of its component."""
+    files = -(-fps.count() // PER_FILE) or 1  # small tables are few files
+    least = materialize(fps.groupBy("fp").agg(F.min(id_col).alias("least")).coalesce(files), "fingerprint-least")
+    found = heads(links(least), least, "fp", "least")
+    # fingerprints without a link keep their own least id
+    every = least.join(found, "fp", "left").select("fp", F.coalesce("head", "least").alias("component_id"))
+    # as a table of its own, so that the join to the documents can split a fingerprint that very many share
+    return materialize(every.coalesce(files), "fingerprint-components")
+
+
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", width: int = 4) -> DataFrame:
     """One row per row of ``docs``: its id, ``fingerprint`` (16 hex digits) and ``component_id``.
 
@@ -205,11 +216,4 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     ignored; an empty table gives no rows.
     """
     fps = materialize(fingerprints(docs, id_col=id_col, text_col=text_col, width=width), "fingerprints")
-    files = -(-fps.count() // PER_FILE) or 1  # small tables are few files
-    least = materialize(fps.groupBy("fp").agg(F.min(id_col).alias("least")).coalesce(files), "fingerprint-least")
-    found = heads(links(least), least, "fp", "least")
-    # fingerprints without a link keep their own least id
-    every = least.join(found, "fp", "left").select("fp", F.coalesce("head", "least").alias("component_id"))
-    # as a table of its own, so that the join to the documents can split a fingerprint that very many share
-    every = materialize(every.coalesce(files), "fingerprint-components")
-    return fps.join(every, "fp").select(id_col, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return fps.join(fingerprint_components(fps, id_col), "fp").select(id_col, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

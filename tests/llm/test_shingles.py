@@ -3,7 +3,7 @@ import random
 import numpy as np
 
 import corpus_pipeline as pipeline
-from larkspur.llm import shingles
+from larkspur.llm import shingles, simhash
 from tests.llm.data import edge_documents, no_documents
 from tests.llm.test_simhash import slow_fingerprint
 
@@ -64,6 +64,20 @@ def test_stage_finds_what_fingerprints_miss(spark):
     assert [x.doc_id for x in pipeline.near(spark, df, "").collect()] == [0]
 
 
+def test_fingerprints_find_links_by_themselves(spark, monkeypatch):
+    """Without bands near still finds what is within 4 bits, and links of that only what is similar."""
+    r = random.Random(4)
+    base = [f"w{i}" for i in range(400)]
+    close = next(" ".join(x) for x in (edited(r, base, 1) for _ in range(200)) if 0 < (simhash.fingerprint(" ".join(x), 5) ^ simhash.fingerprint(" ".join(base), 5)).bit_count() <= 4)
+    loops = [" ".join(["a b c d e"] * 300 + [f"{c}{i}" for i in range(9)]) for c in "xy"]
+    assert (simhash.fingerprint(loops[0], 5) ^ simhash.fingerprint(loops[1], 5)).bit_count() <= 4
+    assert len(sets_of(loops[0]) & sets_of(loops[1])) / len(sets_of(loops[0]) | sets_of(loops[1])) < 0.8
+    monkeypatch.setattr(shingles, "bands", lambda found: np.zeros(0, np.int64))
+    rows = [(i, t, "en", "s", 1) for i, t in enumerate([" ".join(base), close, *loops])]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    assert sorted(x.doc_id for x in pipeline.near(spark, df, "").collect()) == [0, 2, 3]
+
+
 def test_group_links_connect_what_pairs_connect():
     rows = [(i, t) for i, (_, t) in enumerate(documents()[300:])]
     sets = [(i, shingles.shingles(t, 5)) for i, t in rows]
