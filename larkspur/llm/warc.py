@@ -6,7 +6,9 @@ offset, length, URL, digest. An archive's name holds the task attempt; the index
 names only the archives of the attempts that counted, so a lost executor leaves at most unused files.
 
 Payloads that occur before are not stored again: of records with equal payloads (SHA-256 and length) the one with
-the least id is a ``response``, the others are ``revisit`` records that refer to it.
+the least id is a ``response``, the others are ``revisit`` records that refer to it. Only payloads that repeat are shuffled: a
+bit map of fixed size names them, and a row that it does not know is written where it is read. Beyond the map's useful size more
+rows are shuffled, never fewer.
 
 Reading. Selected index rows are dealt by ranges of (archive, offset); a task sorts its own, merges ranges that
 touch or lie within ``gap`` bytes of each other, up to ``span`` bytes of uncompressed records, and reads each once.
@@ -20,6 +22,7 @@ import hashlib
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyarrow import fs as pafs
 from pyspark import TaskContext
@@ -27,6 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from larkspur.llm.batches import slices
+from larkspur.llm.lines import FILTER_BITS
 from larkspur.sources.shared import materialize, new_path
 
 INDEX = (
@@ -115,15 +119,15 @@ def write(
     to = folder or new_path(spark, "warc")
     payload = F.coalesce(F.col(payload_col).cast("binary"), F.lit(b""))
     rows = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).cast("string").alias("url"), payload.alias("payload"))
-    rows = rows.withColumn("mark", F.concat_ws(":", F.sha2("payload", 256), F.octet_length("payload")))
-    # only groups of several rows matter; grouped sums before the shuffle keep hot payloads small
-    groups = rows.groupBy("mark").agg(F.min("id").alias("first"), F.count("*").alias("n")).where("n > 1").select("mark", "first")
-    rows = rows.join(groups, "mark", "left").select(
-        "id",
-        "url",
-        "payload",
-        F.when((F.octet_length("payload") >= least_revisit) & ~F.coalesce(F.col("id").eqNullSafe(F.col("first")), F.lit(False)), F.col("first")).alias("refers_to"),
-    )
+    mark = F.concat_ws(":", F.sha2("payload", 256), F.octet_length("payload"))
+    groups = rows.groupBy(mark.alias("mark")).agg(F.min("id").alias("first"), F.count("*").alias("n"))
+    groups = materialize(groups.where("n > 1 and first is not null").select("mark", "first"), "warc-copies")
+    place = F.pmod(F.xxhash64("mark"), F.lit(FILTER_BITS)).alias("p")
+    words = groups.select(place).groupBy(F.shiftright("p", 5).cast("int").alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p & 31 as int))")).alias("m")).collect()
+    bits = np.zeros(FILTER_BITS // 32, np.uint32)
+    for w, m in words:
+        bits[w] = m
+    flag = spark.sparkContext.broadcast(bits)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         system, path = open_folder(to)
@@ -132,7 +136,10 @@ def write(
         for batch in batches:
             for part in slices(batch, "payload"):
                 made = []
-                for id_, url, payload, refers_to in zip(*(c.to_pylist() for c in part.columns), strict=True):
+                for id_, url, payload, refers_to, p in zip(*(c.to_pylist() for c in part.columns), strict=True):
+                    if p is not None and flag.value[p >> 5] >> np.uint32(p & 31) & 1:
+                        made.append((id_, url, *[None] * 7, payload))
+                        continue
                     digest = digest_of(payload)
                     data = record(id_, url, payload, digest, refers_to, date)
                     data = gzip.compress(data, level, mtime=0) if level else data
@@ -143,13 +150,22 @@ def write(
                         out, offset, number = system.open_output_stream(f"{path}/{name}", compression=None), 0, number + 1
                     out.write(data)
                     kind = "response" if refers_to is None else "revisit"
-                    made.append((id_, url, f"{to}/{name}", offset, len(data), len(payload), digest, kind, refers_to))
+                    made.append((id_, url, f"{to}/{name}", offset, len(data), len(payload), digest, kind, refers_to, None))
                     offset += len(data)
-                yield _batch(made, INDEX)
+                yield _batch(made, INDEX + ", payload binary")
         if out is not None:
             out.close()
 
-    return materialize(rows.mapInArrow(run, INDEX), "warc-index")
+    # rows whose payload may repeat come back as they are; the rest is written
+    every = rows.withColumn("mark", mark).select("id", "url", "payload", F.lit(None).cast("long").alias("refers_to"), place)
+    found = materialize(every.mapInArrow(run, INDEX + ", payload binary"), "warc-index")
+    index = found.where("archive is not null").drop("payload")
+    if not words:
+        return index
+    held = found.where("archive is null").select("id", "url", "payload", mark.alias("mark")).join(groups, "mark", "left")
+    revisit = (F.octet_length("payload") >= least_revisit) & ~F.coalesce(F.col("id").eqNullSafe(F.col("first")), F.lit(False))
+    held = held.select("id", "url", "payload", F.when(revisit, F.col("first")).alias("refers_to"), F.lit(None).cast("long").alias("p"))
+    return index.unionByName(materialize(held.mapInArrow(run, INDEX + ", payload binary").drop("payload"), "warc-index"))
 
 
 _ARROW = {"long": pa.int64(), "string": pa.string(), "binary": pa.binary()}

@@ -3,6 +3,7 @@ import hashlib
 import os
 
 from larkspur.llm import warc
+from larkspur.llm.lines import FILTER_BITS
 from larkspur.llm.queries import OP8_SQL, op8_warc
 from tests.oracle import connect, rows
 
@@ -68,3 +69,24 @@ def test_empty_table(spark):
     index = warc.write(pages(spark).limit(0))
     assert index.count() == 0
     assert warc.read(index).count() == 0
+
+
+def test_only_payloads_that_repeat_are_shuffled(spark, monkeypatch):
+    """Unique payloads are written where they are read; a payload that all bits of the map let through is still written once."""
+    taken, sent = warc.materialize, []
+
+    def watch(df, name):
+        sent.append((name, df._jdf.queryExecution().optimizedPlan().toString()))
+        return taken(df, name)
+
+    monkeypatch.setattr(warc, "materialize", watch)
+    data = [(i, "u", f"page {i}" if i % 10 else "same") for i in range(100)]
+    df = spark.createDataFrame(data, "page_id long, url string, html string").repartition(3)
+    for bits in (FILTER_BITS, 32):
+        monkeypatch.setattr(warc, "FILTER_BITS", bits, raising=False)
+        sent.clear()
+        index = warc.write(df)
+        assert [(n, "Join" in plan) for n, plan in sent] == [("warc-copies", False), ("warc-index", False), ("warc-index", True)]
+        assert index.columns == [x.split()[0] for x in warc.INDEX.split(", ")]
+        got = sorted((r.id, r.record_type, r.refers_to, bytes(r.payload).decode()) for r in warc.read(index).collect())
+        assert got == [(i, "response", None, t) if i % 10 or not i else (i, "revisit", 0, "") for i, _, t in data]
