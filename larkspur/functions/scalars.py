@@ -27,6 +27,11 @@ def full_content_hash(content: str | Column) -> Column:
     return F.sha2(_c(content).cast("binary"), 256)
 
 
+def base64(content: str | Column) -> Column:
+    """Base64 on one line, whatever its length; Spark may break it after 76 characters."""
+    return F.translate(F.base64(_c(content).cast("binary")), "\r\n", "")
+
+
 def session_of(proxy: str | Column) -> Column:
     """What stands before the first ``~``; null where that is nothing or there is none."""
     p = _c(proxy)

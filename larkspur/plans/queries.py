@@ -569,7 +569,7 @@ def encrypted_round_trip(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("SELECT page_id, to_base64(encode(url)) AS coded, url AS decoded FROM pages")
 def base64_round_trip(spark: SparkSession, sf: str) -> DataFrame:
-    coded = F.base64(F.col("url").cast("binary"))
+    coded = scalars.base64("url")
     return table(spark, sf, "pages").select("page_id", coded.alias("coded"), F.unbase64(coded).cast("string").alias("decoded"))
 
 

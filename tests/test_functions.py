@@ -1,3 +1,5 @@
+from base64 import b64encode
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -69,6 +71,12 @@ def test_hashes(spark):
     assert a != b
 
 
+def test_base64_is_one_line(spark):
+    texts = ["", "é", "x" * 57, "x" * 58, "line\r\n" * 40]
+    got = spark.createDataFrame([(t,) for t in texts], "t string").select(scalars.base64("t")).collect()
+    assert [r[0] for r in got] == [b64encode(t.encode()).decode() for t in texts]
+
+
 def test_new_optional_field_keeps_key(spark):
     one = spark.sql("SELECT named_struct('data1', 1) AS s").select(keys.nested_text("s")).first()[0]
     two = spark.sql("SELECT named_struct('data1', 1, 'data2', CAST(NULL AS INT)) AS s").select(keys.nested_text("s")).first()[0]
