@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import heapq
+from collections.abc import Iterable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -117,38 +119,94 @@ def cold_start(queued: DataFrame, plan: DataFrame, workers: DataFrame) -> DataFr
     return head.select(*shape, F.lit(1).cast("long").alias("n"))
 
 
+class Free:
+    """What the nodes (gpu, cpu, memory, scratch, node) of a pool have left, and the best fit of one request after the other.
+
+    A request goes to the least node, in that order of columns, that has its gpu, min_cpu, memory and scratch; it takes its max_cpu, and no node
+    falls below 0 cpu. A node that gives is less than before, so while requests need the same it stays the best until it no longer fits
+    them: the nodes that fit are looked up and put in order once for each need, by what is left, not once for each request.
+    """
+
+    def __init__(self, nodes: Iterable[tuple]) -> None:
+        self.left: dict[tuple, list] = {}  # what is left -> a heap of the nodes that have it
+        for *state, node in sorted(n for n in nodes if not any(x is None or x != x for x in n[:4])):
+            self.left.setdefault(tuple(state), []).append(node)
+        self.need: tuple | None = None
+        self.order: list[tuple] = []  # states that fit, the best one last
+        self.node, self.state = None, None  # the node that gives now
+
+    def place(self, gpu: int, min_cpu: int, max_cpu: int | None, memory: int, scratch: int) -> int | None:
+        """The node that takes the request; None where nothing fits, as for a request that does not say what it needs."""
+        need = (gpu, min_cpu, memory, scratch)
+        if any(x is None or x != x for x in need):
+            return None
+        if need != self.need:
+            self.keep()
+            self.need = need
+            self.order = sorted((s for s in self.left if s[0] >= gpu and s[1] >= min_cpu and s[2] >= memory and s[3] >= scratch), reverse=True)
+        s = self.state
+        if s is None or s[0] < gpu or s[1] < min_cpu or s[2] < memory or s[3] < scratch:
+            self.keep()
+            if not self.order:
+                return None
+            s = self.order[-1]
+            self.node = heapq.heappop(self.left[s])
+            if not self.left[s]:
+                del self.left[self.order.pop()]
+        cpu = 0 if max_cpu is None or max_cpu != max_cpu else max(0, s[1] - max_cpu)
+        self.state = (s[0] - gpu, cpu, s[2] - memory, s[3] - scratch)
+        if self.state > s:  # a request that gives something back: others may be better now
+            self.need = None
+        return self.node
+
+    def keep(self) -> None:
+        """Put the node that gives back among the others."""
+        if self.state is not None:
+            heapq.heappush(self.left.setdefault(self.state, []), self.node)
+        self.node, self.state = None, None
+
+
 def pack_requests(requests: pd.DataFrame, nodes: pd.DataFrame) -> pd.DataFrame:
     """Best fit, largest first: each request goes to the smallest node that still fits it.
 
     A request needs its min_cpu to fit and takes its max_cpu (no node falls below 0). Ties go to the smaller id. Returns
     (task, node); node is null where nothing fits.
     """
-    free = [[n.gpu, n.cpu, n.memory, n.scratch, n.node] for n in nodes.itertuples()]
+    free = Free(nodes[["gpu", "cpu", "memory", "scratch", "node"]].itertuples(index=False, name=None))
     order = requests.sort_values(["gpu", "min_cpu", "memory", "scratch", "task"], ascending=[False, False, False, False, True])
-    placed = []
-    for r in order.itertuples():
-        ok = [f for f in free if f[0] >= r.gpu and f[1] >= r.min_cpu and f[2] >= r.memory and f[3] >= r.scratch]
-        best = min(ok, default=None)
-        if best is not None:
-            best[0] -= r.gpu
-            best[1] = max(0, best[1] - r.max_cpu)
-            best[2] -= r.memory
-            best[3] -= r.scratch
-        placed.append((r.task, None if best is None else best[4]))
+    placed = [(r.task, free.place(r.gpu, r.min_cpu, r.max_cpu, r.memory, r.scratch)) for r in order.itertuples()]
     return pd.DataFrame(placed, columns=["task", "node"])
 
 
 def pack(requests: DataFrame, nodes: DataFrame, pool: str) -> DataFrame:
-    """(pool, task, node): ``pack_requests`` in every pool on its own. A pool is what one placement decision sees."""
+    """(pool, task, node): ``pack_requests`` in every pool on its own. A pool is what one placement decision sees.
 
-    def run(key: tuple, r: pd.DataFrame, n: pd.DataFrame) -> pd.DataFrame:
-        out = pack_requests(r, n)
-        out.insert(0, pool, key[0])
-        out["node"] = out["node"].astype("Int64")
-        return out
+    A pool's nodes and then its requests, largest first, come as a sorted stream; the nodes and a batch are all that a worker holds.
+    """
+    columns = ["_turn", "task", "gpu", "min_cpu", "max_cpu", "memory", "scratch"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, rows, free = None, [], Free([])
+        for batch in batches:
+            pools, tasks, placed = [], [], []
+            for key, turn, task, gpu, min_cpu, max_cpu, memory, scratch in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (key, turn) != now:
+                    if turn:
+                        free, rows = Free(rows if now == (key, 0) else []), []
+                    now = (key, turn)
+                if turn:
+                    pools.append(key)
+                    tasks.append(task)
+                    placed.append(free.place(gpu, min_cpu, max_cpu, memory, scratch))
+                else:
+                    rows.append((gpu, min_cpu, memory, scratch, task))
+            yield pa.RecordBatch.from_arrays([pa.array(pools, batch.column(0).type), pa.array(tasks, pa.int64()), pa.array(placed, pa.int64())], [pool, "task", "node"])
 
     kind = dict(requests.dtypes)[pool]
-    return requests.groupBy(pool).cogroup(nodes.groupBy(pool)).applyInPandas(run, f"{pool} {kind}, task long, node long")
+    have = nodes.select(F.col(pool).cast(kind).alias(pool), F.lit(0), "node", "gpu", "cpu", F.lit(None).cast("long"), "memory", "scratch")
+    rows = have.union(requests.select(pool, F.lit(1), *columns[1:])).toDF(pool, *columns)
+    order = [pool, "_turn", *(F.desc(c) for c in ("gpu", "min_cpu", "memory", "scratch")), F.asc_nulls_last("task")]
+    return rows.repartition(pool).sortWithinPartitions(*order).mapInArrow(run, f"{pool} {kind}, task long, node long")
 
 
 SHAPE = ("gpu", "min_cpu", "max_cpu", "memory", "scratch")

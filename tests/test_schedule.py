@@ -1,3 +1,6 @@
+import random
+import time
+
 import pandas as pd
 
 from larkspur.operators import metrics, schedule
@@ -25,6 +28,47 @@ def test_simple_cases():
     assert pack([(1, 1, 1, 500, 0, 0)], [(1, 2, 1000, 0, 0)]) == {1: 1}
 
 
+def one_by_one(requests, nodes):
+    """The placement by its rule: each request looks at all nodes."""
+    free, placed = [[n[4], *n[1:4], n[0]] for n in nodes], {}
+    for task, low, high, memory, scratch, gpu in sorted(requests, key=lambda r: (-r[5], -r[1], -r[3], -r[4], r[0])):
+        best = min((f for f in free if f[0] >= gpu and f[1] >= low and f[2] >= memory and f[3] >= scratch), default=None)
+        placed[task] = None if best is None else best[4]
+        if best is not None:
+            best[:4] = best[0] - gpu, max(0, best[1] - high), best[2] - memory, best[3] - scratch
+    return placed
+
+
+def drawn(seed, least=0):
+    """Up to 60 requests and 12 nodes; with a least below 0 some requests give something back."""
+    draw = random.Random(seed)
+    number = lambda most: draw.randint(least, most)
+    requests = [(task, number(4), number(6), number(4), number(2), number(2)) for task in draw.sample(range(1000), draw.randint(1, 60))]
+    return requests, [(node, draw.randint(0, 12), draw.randint(0, 12), draw.randint(0, 4), draw.randint(0, 3)) for node in range(draw.randint(1, 12))]
+
+
+def test_packing_follows_its_rule(spark):
+    for seed in range(60):
+        requests, nodes = drawn(seed, -1 if seed % 3 == 0 else 0)
+        assert pack(requests, nodes) == one_by_one(requests, nodes)
+    pools = {p: drawn(100 + p) for p in range(6)}
+    r = spark.createDataFrame([(p, *x) for p, (a, _) in pools.items() for x in a], "pool long, task long, min_cpu int, max_cpu int, memory int, scratch int, gpu int")
+    n = spark.createDataFrame([(p, *x) for p, (_, b) in pools.items() for x in b if p < 5], "pool long, node long, cpu int, memory int, scratch int, gpu int")
+    got = {(x.pool, x.task): x.node for x in schedule.pack(r, n, "pool").collect()}
+    assert got == {(p, t): x for p, (a, b) in pools.items() for t, x in one_by_one(a, b if p < 5 else []).items()}
+
+
+def test_requests_that_do_not_say_what_they_need_fit_nothing():
+    assert pack([(1, 2, None, 10, 0, 0), (2, None, 1, 10, 0, 0), (3, 1, 1, 10, 0, 0)], [(1, 4, 100, 0, 0), (2, 9, 100, 0, 0)]) == {1: 1, 2: None, 3: 2}
+
+
+def test_packing_does_not_look_at_all_nodes_for_each_request():
+    requests = [(i, 1 + i % 8, 1 + i % 8, 1 + i % 4, 0, 0) for i in range(20000)]
+    began = time.time()
+    assert len(pack(requests, [(i, 16, 8, 0, 0) for i in range(5000)])) == 20000
+    assert time.time() - began < 5
+
+
 def test_free_capacity(spark):
     nodes = spark.createDataFrame([("a", 4, 2000), ("b", 4, 2000)], "node string, cpu int, memory int")
     launchers = spark.createDataFrame([("l1", "a"), ("l2", None)], "launcher string, node string")
