@@ -214,18 +214,11 @@ SHAPE = ("gpu", "min_cpu", "max_cpu", "memory", "scratch")
 
 def place_shapes(shapes: pd.DataFrame, nodes: pd.DataFrame) -> list[int]:
     """How many requests of each row of ``shapes`` (SHAPE and n) find a place, by the rule of ``pack_requests``."""
-    free = [[n.gpu, n.cpu, n.memory, n.scratch, n.node] for n in nodes.itertuples()]
+    free = Free(nodes[["gpu", "cpu", "memory", "scratch", "node"]].itertuples(index=False, name=None))
     placed = dict.fromkeys(shapes.index, 0)
     order = shapes.sort_values(["gpu", "min_cpu", "memory", "scratch", "max_cpu"], ascending=[False, False, False, False, True])
     for r in order.itertuples():
-        while placed[r.Index] < r.n:
-            best = min((f for f in free if f[0] >= r.gpu and f[1] >= r.min_cpu and f[2] >= r.memory and f[3] >= r.scratch), default=None)
-            if best is None:
-                break
-            best[0] -= r.gpu
-            best[1] = max(0, best[1] - r.max_cpu)
-            best[2] -= r.memory
-            best[3] -= r.scratch
+        while placed[r.Index] < r.n and free.place(r.gpu, r.min_cpu, r.max_cpu, r.memory, r.scratch) is not None:
             placed[r.Index] += 1
             if not (r.gpu or r.max_cpu or r.memory or r.scratch):  # takes nothing: all of them fit
                 placed[r.Index] = r.n

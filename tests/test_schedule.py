@@ -1,3 +1,4 @@
+import collections
 import random
 import time
 
@@ -69,6 +70,25 @@ def test_packing_does_not_look_at_all_nodes_for_each_request():
     assert time.time() - began < 5
 
 
+def test_plan_follows_the_rule_of_packing():
+    for seed in range(60):
+        requests, nodes = drawn(seed)
+        requests = [(i, *r[1:]) for i, r in enumerate(sorted(requests, key=lambda r: r[2]))]  # of one need, the least max_cpu comes first
+        shapes = collections.Counter((r[5], *r[1:5]) for r in requests)
+        left = collections.Counter((r[5], *r[1:5]) for r in requests if one_by_one(requests, nodes)[r[0]] is None)
+        counted = pd.DataFrame([(*s, n) for s, n in shapes.items()], columns=[*schedule.SHAPE, "n"])
+        placed = schedule.place_shapes(counted, pd.DataFrame(nodes, columns=["node", "cpu", "memory", "scratch", "gpu"]))
+        assert placed == [n - left[s] for s, n in shapes.items()]
+
+
+def test_plan_does_not_look_at_all_nodes_for_each_request():
+    shapes = pd.DataFrame([(0, 1 + i, 1 + i, 1, 0, 4000) for i in range(8)], columns=[*schedule.SHAPE, "n"])
+    nodes = pd.DataFrame([(i, 16, 8, 0, 0) for i in range(5000)], columns=["node", "cpu", "memory", "scratch", "gpu"])
+    began = time.time()
+    assert sum(schedule.place_shapes(shapes, nodes)) > 10000
+    assert time.time() - began < 5
+
+
 def test_free_capacity(spark):
     nodes = spark.createDataFrame([("a", 4, 2000), ("b", 4, 2000)], "node string, cpu int, memory int")
     launchers = spark.createDataFrame([("l1", "a"), ("l2", None)], "launcher string, node string")
