@@ -18,9 +18,15 @@ def closure(edges: DataFrame, child: str = "child", parent: str = "parent", most
 
     Paths double in each round: a shortest path of more than L and up to 2 L steps is one of exactly L steps and one of at
     most L. A round writes the pairs it finds and no others again. Cycles end by themselves, since only new pairs go on. A
-    path of more than ``most`` steps is an error, not a shorter answer.
+    path of more than ``most`` steps is an error, not a shorter answer. Where no node has two parents or is its own ancestor,
+    ``forest`` finds the same pairs with less.
     """
     first = edges.select(F.col(child).alias("child"), F.col(parent).alias("parent"), F.lit(1).alias("depth")).where("child is not null and parent is not null")
+    ends = materialize(first.groupBy("child").agg(F.min("parent").alias("parent"), F.max("parent").alias("_last")), "closure")
+    if ends.where(~F.col("parent").eqNullSafe(F.col("_last"))).isEmpty():
+        found = forest(ends.select("child", "parent"), most)
+        if found is not None:
+            return found
     known = [materialize(first.distinct(), "closure")]
     length = 1
     while True:
@@ -37,6 +43,38 @@ def closure(edges: DataFrame, child: str = "child", parent: str = "parent", most
         length *= 2
 
 
+def forest(step: DataFrame, most: int) -> DataFrame | None:
+    """``closure`` of a table (child, parent) in which each child is once; None where a node is its own ancestor.
+
+    A pair then has one path, so nothing found has to be compared with what is known. A round of length L keeps the L-th ancestor of every node
+    and all ancestors, up to L steps, of those nodes that are an L-th ancestor: the pairs of more than L and up to 2 L steps are the join
+    of the two. They are only joined when the result is read; what is written is a row for each node and round, and the kept ancestors,
+    of ever fewer nodes where paths meet.
+    """
+    length, jump = 1, step
+    near = step.withColumn("depth", F.lit(1))
+    pairs = [near]
+    while True:
+        ends = jump.select(F.col("parent").alias("child")).distinct()
+        kept = near.join(materialize(ends, "forest-ends"), "child", "left_semi")
+        if length > 1:  # near has up to half of length
+            half = kept.where(F.col("depth") == length // 2).select("child", F.col("parent").alias("_via"))
+            upper = near.select(F.col("child").alias("_via"), "parent", (F.col("depth") + length // 2).alias("depth"))
+            kept = kept.union(half.join(upper, "_via").select("child", "parent", "depth"))
+        near = materialize(kept, "forest-near")
+        if near.isEmpty():
+            return functools.reduce(DataFrame.union, pairs)
+        if not near.where("child = parent").isEmpty():
+            return None
+        if length >= most:
+            raise ValueError(f"a path of more than {most} steps")
+        above = near.select(F.col("child").alias("_via"), F.col("parent").alias("_above"), "depth")
+        far = jump.select("child", F.col("parent").alias("_via")).join(above, "_via")
+        pairs.append(far.select("child", F.col("_above").alias("parent"), (F.col("depth") + length).alias("depth")))
+        jump = materialize(far.where(F.col("depth") == length).select("child", F.col("_above").alias("parent")), "forest-jump")
+        length *= 2
+
+
 def solve(roots: DataFrame, needs: Callable[[DataFrame], DataFrame], key: str = "n") -> DataFrame:
     """(key, level): all subproblems that roots need, each once, found level by level.
 

@@ -85,6 +85,39 @@ def test_closure_of_paths_of_many_lengths(spark):
         recursion.closure(spark.createDataFrame([(i, i + 1) for i in range(9)], "child long, parent long"), most=2).count()
 
 
+def ancestors(up):
+    """{(child, parent): depth} of a map from each child to its one parent, by walking up."""
+    found = {}
+    for child in up:
+        at, depth = up.get(child), 1
+        while at is not None and (child, at) not in found:
+            found[child, at] = depth
+            at, depth = up.get(at), depth + 1
+    return found
+
+
+def test_closure_where_each_child_has_one_parent(spark):
+    import random
+
+    r = random.Random(5)
+    tree, chain = {i: r.randint(0, i - 1) for i in range(1, 60)}, {i: i + 1 for i in range(21)}
+    tails = {1: 2, 2: 3, 3: 1, 4: 1, 5: 4, 10: 11, 20: 20, 21: 20}
+    for up in (tree, chain, tails, {1: 0}, {}):
+        df = spark.createDataFrame([(a, b) for a, b in up.items() for _ in range(1 + a % 2)] + [(7, None), (None, 7)], "child long, parent long")
+        rows = [((x.child, x.parent), x.depth) for x in recursion.closure(df).collect()]
+        assert sorted(rows) == sorted(ancestors(up).items())
+    ring = spark.createDataFrame([(1, 2), (2, 1), (3, 1)], "child long, parent long")
+    assert recursion.closure(ring, most=2).count() == 6
+
+
+def test_closure_of_a_tree_does_not_write_all_pairs(spark, monkeypatch):
+    written, write = [], recursion.materialize
+    monkeypatch.setattr(recursion, "materialize", lambda df, name: written.append(write(df, name)) or written[-1])
+    pairs = recursion.closure(spark.range(2, 1 << 14).selectExpr("id AS child", "id div 2 AS parent")).count()
+    assert pairs == sum(i.bit_length() - 1 for i in range(1 << 14) if i)
+    assert sum(t.count() for t in written) < 2 / 3 * pairs
+
+
 def down_body(rows):
     import pandas as pd
 
